@@ -1,0 +1 @@
+"""Intentionally empty: the workload is batch only, so no stream operator is provided."""
