@@ -52,8 +52,7 @@ def compare(spark, con, folder, run, sql):
     a = canonical(left, [left_cols.index(c) for c in names])
     b = canonical(right, [right_cols.index(c) for c in names])
     if a != b:
-        only_a = [x for x in a if x not in set(b)][:3]
-        only_b = [x for x in b if x not in set(a)][:3]
+        only_a, only_b = sorted(set(a) - set(b))[:3], sorted(set(b) - set(a))[:3]
         return False, f"rows {len(a)} vs {len(b)}; only here {only_a}; only SQL {only_b}"
     return len(a) > 0, f"{len(a)} rows"
 
@@ -65,7 +64,7 @@ def main() -> int:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
     spark = build_session("check", "local[8]", **{
-        "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     bad = 0
