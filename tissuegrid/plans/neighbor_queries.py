@@ -57,13 +57,13 @@ def knn_in_class(t):
 
 @query("knn_orders_in_class", f"""WITH o AS (SELECT o_orderkey AS id, o_orderstatus || o_orderpriority AS cls,
   o_totalprice / 1000 AS x, (o_orderdate::DATE - DATE '1995-01-01')::DOUBLE AS y FROM orders)
-SELECT query_id, ref_id, distance, rank FROM {_near_sql(5, D2, "a.id <> b.id AND a.cls = b.cls", "o", "o")}""")
+SELECT query_id, ref_id, round(distance, 3) AS distance, rank FROM {_near_sql(5, D2, "a.id <> b.id AND a.cls = b.cls", "o", "o")}""")
 def knn_orders_in_class(t):
     """Larger than the broadcast bound, so it runs on pivot cells."""
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("double")
     p = t.orders.select(F.col("o_orderkey").alias("id"), F.array(F.col("o_totalprice") / 1000, day).alias("v"),
                         F.concat("o_orderstatus", "o_orderpriority").alias("cls"))
-    return _out(nb.knn_join(p, p, 5, by="cls", exclude_self=True, broadcast_rows=10_000))
+    return rounded(nb.knn_join(p, p, 5, by="cls", exclude_self=True, broadcast_rows=10_000), "distance", digits=3)
 
 
 RADIUS = """pd AS (SELECT a.id AS query_id, b.id AS ref_id, abs(a.x - b.x) + abs(a.y - b.y) AS d FROM e a JOIN e b ON a.id <> b.id),
