@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tissuegrid.functions import likelihood as lk
 from tissuegrid.operators.impute import dense_vectors, gene_axis
 from tissuegrid.operators.ranking import hash_order
-from tissuegrid.session import materialize
+from tissuegrid.session import materialize, spread
 
 STEP = 0.3
 CURVATURE_FLOOR = 1e-3
@@ -120,7 +120,7 @@ def likelihood_table(spark: SparkSession, sigmas=lk.SIGMAS) -> DataFrame:
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for s in batch["sigma"]:
-                table = lk.count_table(s)
+                table = lk.count_table(int(s))
                 yield pd.DataFrame({"sigma": s, "k": range(len(table)), "q": list(table)})
 
     return base.mapInPandas(build, "sigma int, k int, q array<double>")
@@ -174,7 +174,7 @@ def fit_spots(
                                 "n_iter": list(n), "converged": list(ok)})
 
     key = f"id {spots.schema['id'].dataType.simpleString()}"
-    return spots.mapInPandas(fit, f"{key}, n_umi double, weights array<double>, n_iter int, converged boolean")
+    return spread(spots, "id").mapInPandas(fit, f"{key}, n_umi double, weights array<double>, n_iter int, converged boolean")
 
 
 def long_weights(fitted: DataFrame, types: list[str]) -> DataFrame:
@@ -197,8 +197,7 @@ def sample_entries(entries: DataFrame, n: int = MAX_FIT_ENTRIES, seed: int = 0)
 def score_sigmas(entries: DataFrame, sigmas) -> DataFrame:
     """``(sigma, score)``: negative log-likelihood at the best of five rate multipliers."""
     spark = entries.sparkSession
-    tables = likelihood_table(spark, sigmas).orderBy("sigma", "k").toPandas()
-    packed = {int(s): np.stack(g["q"].to_numpy()) for s, g in tables.groupby("sigma")}
+    packed = {int(s): lk.count_table(int(s)) for s in sigmas}
     shared = spark.sparkContext.broadcast((packed, lk.rate_grid()))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,7 +209,7 @@ def score_sigmas(entries: DataFrame, sigmas) -> DataFrame:
                 for s, table in packed.items() for m in MULTIPLIERS
             ], columns=["sigma", "mult", "nll"])
 
-    part = entries.select(F.col("x").cast("double"), F.col("y").cast("double")).mapInPandas(
+    part = spread(entries.select(F.col("x").cast("double"), F.col("y").cast("double"))).mapInPandas(
         score, "sigma int, mult double, nll double")
     return part.groupBy("sigma", "mult").agg(F.sum("nll").alias("nll")).groupBy("sigma").agg(
         F.min("nll").alias("score"))

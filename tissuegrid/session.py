@@ -75,3 +75,13 @@ def release(df: DataFrame) -> None:
         if root in folder:
             target = spark._jvm.org.apache.hadoop.fs.Path(folder)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Even out rows whose cost lies in computing, not in bytes, over all cores.
+
+    A fixed count keeps the adaptive planner from merging the small partitions again.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
