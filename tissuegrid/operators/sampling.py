@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tissuegrid.operators.ranking import hash_order, hash_uniform, row_numbers
-from tissuegrid.session import materialize
+from tissuegrid.session import materialize, release
 
 
 def _hash_int(key: Column, seed: int) -> Column:
@@ -69,3 +71,51 @@ def random_mix(counts: DataFrame, mixes: DataFrame, k: int, k_min: int, seed: in
     return chosen.join(counts, "id").groupBy("mix_id", "gene").agg(
         F.sum(F.col("_w") * F.col("value")).alias("value")
     )
+
+
+def farthest_points(points: DataFrame, n: int, batch: int = 4096) -> DataFrame:
+    """Farthest-point sampling from the lowest id: ``(id, pick)`` with ``pick = 1 .. n``.
+
+    The rule is sequential, but many picks fit in one pass: the ``batch`` points that are now
+    farthest come to the driver, and picking among them is exact for as long as the best one
+    beats every point left behind, whose distances can only shrink.
+    """
+    spark = points.sparkSession
+    id_type = points.schema["id"].dataType.simpleString()
+    first = points.orderBy("id").select("id", "v").first()
+    if first is None or n < 1:
+        return points.limit(0).select("id", F.lit(1).cast("long").alias("pick"))
+    picked, fresh = [first["id"]], np.array([first["v"]], float)
+    state = points.select("id", "v", F.lit(float("inf")).alias("gap"))
+    stage = None
+    while len(picked) < n:
+        shared = spark.sparkContext.broadcast(fresh)
+
+        @F.pandas_udf("double")
+        def shrink(v: pd.Series, gap: pd.Series, shared=shared) -> pd.Series:
+            x = np.stack(v.to_numpy())
+            out = gap.to_numpy().copy()
+            for p in shared.value:
+                out = np.minimum(out, np.sqrt(((x - p) ** 2).sum(1)))
+            return pd.Series(out)
+
+        new = materialize(state.select("id", "v", shrink("v", "gap").alias("gap")), "gaps")
+        if stage is not None:
+            release(stage)
+        state = stage = new
+        top = state.orderBy(F.col("gap").desc(), "id").limit(batch).toPandas()
+        ids, v, gap = top["id"].to_numpy(), np.stack(top["v"].to_numpy()), top["gap"].to_numpy().copy()
+        bound = gap[-1] if len(top) == batch else -1.0
+        by_id = np.argsort(ids, kind="stable")
+        ids, v, gap = ids[by_id], v[by_id], gap[by_id]
+        new_picks = []
+        while len(picked) < n:
+            best = int(gap.argmax())
+            if new_picks and gap[best] <= bound:
+                break
+            picked.append(ids[best])
+            new_picks.append(v[best])
+            gap = np.minimum(gap, np.sqrt(((v - v[best]) ** 2).sum(1)))
+        fresh = np.array(new_picks)
+    rows = [(i.item() if hasattr(i, "item") else i, k) for k, i in enumerate(picked, 1)]
+    return spark.createDataFrame(rows, f"id {id_type}, pick long")

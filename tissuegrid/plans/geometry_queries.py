@@ -273,3 +273,27 @@ SELECT patch_id, px, py, round((h - h0) / (h1 - h0) * 255, 4) AS h_level, round(
 def stain_unmix(t):
     px = _pixels(t).withColumnRenamed("image_id", "patch_id")
     return rounded(ig.unmix_stains(px).select("patch_id", "px", "py", "h_level", "e_level"), "h_level", "e_level", digits=4)
+
+
+@query("cell_image_features")
+def cell_image_features(t):
+    """Shape and stain features of every user's polygon on images painted from order lines."""
+    from tissuegrid.operators.cellimage import image_features
+    from tissuegrid.sources.cells import tiles_from_pixels
+
+    angle = 2 * math.pi * (F.col("event_id") % 12) / 12.0
+    u = F.col("user_id")
+    radius = 2 + 6 * F.col("value") / (F.col("value") + 100)
+    at = t.events.groupBy(u.alias("cell_id"), (F.col("event_id") % 12).alias("seq")).agg(
+        F.avg(radius * F.cos(angle) + 8 + u % 80).alias("x"), F.avg(radius * F.sin(angle) + 8 + u * 7 % 45).alias("y"))
+    rings = ge.ring_arrays(at)
+    shrunk = F.transform("polygon", lambda p: F.struct(
+        (p["x"] * 0.5 + (8 + F.col("cell_id") % 80) * 0.5).alias("x"),
+        (p["y"] * 0.5 + (8 + F.col("cell_id") * 7 % 45) * 0.5).alias("y")))
+    images = F.array(F.lit("A"), F.lit("N"), F.lit("R"))
+    cells = rings.select(F.element_at(images, (F.col("cell_id") % 3 + 1).cast("int")).alias("image_id"), "cell_id",
+                         F.when(F.col("cell_id") % 5 > 0, F.col("polygon")).alias("cell_polygon"),
+                         shrunk.alias("nucleus_polygon"))
+    tiles = tiles_from_pixels(_pixels(t), 64)
+    return image_features(cells, tiles, 64).select("cell_id", F.posexplode("features").alias("feature", "value")).transform(
+        lambda d: rounded(d, "value", digits=4))

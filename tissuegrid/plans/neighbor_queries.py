@@ -361,3 +361,43 @@ def measured_overwrite(t):
     counts = vw.sc_brand_counts(t)
     measured = counts.where("gene < 'Brand#15'").withColumn("value", F.col("value") * 0.5)
     return im.overwrite_measured(counts, measured)
+
+
+# ---- sequential sampling and learned models --------------------------------------------------------
+
+@query("farthest_point_sampling", f"""WITH RECURSIVE {E}, nn AS (SELECT (count(*) * 0.8)::INT AS n FROM e),
+  st(step, pick, id, x, y, d) AS (
+    SELECT 1, (SELECT min(id) FROM e), id, x, y, sqrt((x - (SELECT arg_min(x, id) FROM e)) ** 2 + (y - (SELECT arg_min(y, id) FROM e)) ** 2) FROM e
+    UNION ALL
+    SELECT step + 1, b.id, a.id, a.x, a.y, least(a.d, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2))
+    FROM st a, (SELECT id, x, y FROM st ORDER BY d DESC, id LIMIT 1) b, nn WHERE step < n)
+SELECT DISTINCT pick AS id, step::BIGINT AS pick FROM st""")
+def farthest_point_sampling(t):
+    from tissuegrid.operators.sampling import farthest_points
+    c = gr.points(vw.cells(t), ["x", "y"])
+    return farthest_points(c, int(c.count() * 0.8))
+
+
+@query("attention_labels")
+def attention_labels(t):
+    """Graph attention fill-up over all cells; a third is labelled, few epochs keep the check quick."""
+    from tissuegrid.operators import gat
+    c = gat.with_order(vw.cells(t))
+    nodes = c.select("id", "order", "v", F.when(F.col("id") % 3 == 0, F.col("label")).alias("label"))
+    edges = gr.knn_edges(vw.cells(t), ["x", "y"], 10)
+    return gat.fill_labels(nodes, edges, 10, gat.GatConfig(hidden=16, epochs=5, block_nodes=128))[0]
+
+
+@query("domain_adaptation")
+def domain_adaptation(t):
+    """Autoencoder reconstruction of all spots on the reference platform after a few epochs."""
+    from tissuegrid.operators import cvae
+    from tissuegrid.operators.normalize import fraction_scale
+    from tissuegrid.operators.sampling import sample_per_class
+    st, sc = vw.st_brand_counts(t), vw.sc_brand_counts(t)
+    axis = im.gene_axis(st)
+    few = sample_per_class(vw.types(t), 5, seed=2)
+    sc = fraction_scale(sc.join(few, "id", "left_semi"), 1e4)
+    config = cvae.CvaeConfig(epochs=5, samples=2000)
+    _, spots, _ = cvae.adapt_domains(fraction_scale(st, 1e4), sc, axis, 5, config)
+    return rounded(spots.select("id", F.posexplode("v").alias("ix", "value")), "value", digits=3)
