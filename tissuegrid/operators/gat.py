@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -153,10 +154,10 @@ def graph_blocks(nodes: DataFrame, edges: DataFrame, block_nodes: int) -> DataFr
     second = near.join(e, F.col("node") == F.col("src")).select("block", F.col("dst").alias("node"), F.lit(2).alias("ring"))
     members = near.unionByName(second).groupBy("block", "node").agg(F.min("ring").alias("ring"))
     rows = members.join(nodes.select(F.col("id").alias("node"), "v", F.coalesce("label", F.lit(-1)).cast("int").alias("label")), "node")
-    links = near.join(e, F.col("node") == F.col("src")).select("block", "src", "dst")
+    links = near.join(e, F.col("node") == F.col("src")).select(F.col("block").alias("at"), "src", "dst")
     id_type = nodes.schema["id"].dataType.simpleString()
 
-    def packed(key, members: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    def packed(key: tuple[Any, ...], members: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         m = members.sort_values(["ring", "node"]).reset_index(drop=True)
         at = pd.Series(np.arange(len(m)), index=m["node"])
         n_own, n_mid = int((m["ring"] == 0).sum()), int((m["ring"] <= 1).sum())
@@ -169,7 +170,7 @@ def graph_blocks(nodes: DataFrame, edges: DataFrame, block_nodes: int) -> DataFr
             "n_mid": [n_mid], "width": [x.shape[1]], "x": [x.tobytes()],
             "src": [src[order].astype(np.int64).tobytes()], "dst": [dst[order].astype(np.int64).tobytes()]})
 
-    out = rows.groupBy("block").cogroup(links.groupBy("block")).applyInPandas(
+    out = rows.groupBy("block").cogroup(links.groupBy("at")).applyInPandas(
         packed, f"block long, ids array<{id_type}>, label array<int>, n_mid int, width int, x binary, src binary, dst binary")
     return materialize(out, "blocks")
 

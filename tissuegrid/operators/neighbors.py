@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -279,7 +280,7 @@ def _blocked_knn(q, r, k, metric, exclude_self, ties, dim, block_rows) -> DataFr
         F.pmod(F.xxhash64("loc"), "parts").cast("int").alias("part"), "loc", "ids", "v",
     )
 
-    def meet(key, asks_part: pd.DataFrame, locs_part: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple[Any, ...], asks_part: pd.DataFrame, locs_part: pd.DataFrame) -> pd.DataFrame:
         locs_part = locs_part.sort_values("loc", kind="stable")
         loc, ids = locs_part["loc"].to_numpy(), locs_part["ids"].to_numpy()
         ask = asks_part["ask"].to_numpy()

@@ -73,6 +73,20 @@ def random_mix(counts: DataFrame, mixes: DataFrame, k: int, k_min: int, seed: in
     )
 
 
+def _shrink_gaps(picks):
+    """Column function: distance to the nearest pick so far, given a broadcast of new picks."""
+
+    @F.pandas_udf("double")
+    def shrink(v: pd.Series, gap: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy())
+        out = gap.to_numpy().copy()
+        for p in picks.value:
+            out = np.minimum(out, np.sqrt(((x - p) ** 2).sum(1)))
+        return pd.Series(out)
+
+    return shrink
+
+
 def farthest_points(points: DataFrame, n: int, batch: int = 4096) -> DataFrame:
     """Farthest-point sampling from the lowest id: ``(id, pick)`` with ``pick = 1 .. n``.
 
@@ -89,16 +103,7 @@ def farthest_points(points: DataFrame, n: int, batch: int = 4096) -> DataFrame:
     state = points.select("id", "v", F.lit(float("inf")).alias("gap"))
     stage = None
     while len(picked) < n:
-        shared = spark.sparkContext.broadcast(fresh)
-
-        @F.pandas_udf("double")
-        def shrink(v: pd.Series, gap: pd.Series, shared=shared) -> pd.Series:
-            x = np.stack(v.to_numpy())
-            out = gap.to_numpy().copy()
-            for p in shared.value:
-                out = np.minimum(out, np.sqrt(((x - p) ** 2).sum(1)))
-            return pd.Series(out)
-
+        shrink = _shrink_gaps(spark.sparkContext.broadcast(fresh))
         new = materialize(state.select("id", "v", shrink("v", "gap").alias("gap")), "gaps")
         if stage is not None:
             release(stage)

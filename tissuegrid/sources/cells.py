@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -47,8 +48,9 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
 
 def measurement_names(features: DataFrame) -> list[str]:
     """Columns of the feature table: the names the second feature carries."""
-    row = features.orderBy("file", "pos").select(F.map_keys("measurements").alias("k")).limit(2).collect()
-    return list(row[-1]["k"]) if row else []
+    rows = features.orderBy("file", "pos").select("pos", F.map_keys("measurements").alias("k")).limit(2).collect()
+    rows = [r for r in rows if r["pos"] == 1] or rows[:1]
+    return list(rows[0]["k"]) if rows else []
 
 
 def number_cells(cells: DataFrame, order: Sequence[str], prefix: str = "cell_") -> DataFrame:
@@ -172,7 +174,7 @@ def tiles_from_pixels(pixels: DataFrame, size: int = 256) -> DataFrame:
         (F.col("px") % size).cast("int").alias("ix"), (F.col("py") % size).cast("int").alias("iy"), "r", "g", "b")
     extent = pixels.groupBy("image_id").agg((F.max("px") + 1).cast("int").alias("width"), (F.max("py") + 1).cast("int").alias("height"))
 
-    def paint(key, g: pd.DataFrame) -> pd.DataFrame:
+    def paint(key: tuple[Any, ...], g: pd.DataFrame) -> pd.DataFrame:
         tile = np.full((size, size, 3), 255, np.uint8)
         tile[g["iy"], g["ix"]] = g[["r", "g", "b"]].to_numpy(np.uint8)
         return pd.DataFrame([(*key, tile.tobytes())], columns=["image_id", "tx", "ty", "rgb"])
