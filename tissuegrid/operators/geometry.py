@@ -1,14 +1,13 @@
 """Polygons as vertex and edge tables.
 
 Area, centroid, perimeter and circle overlap are sums over edges, so they aggregate map-side and
-a polygon with very many vertices is never gathered into one row. Convex hulls are reduced in
-stages: hull per batch, hull per salted group, hull per polygon.
+a polygon with very many vertices is never gathered into one row. Convex hulls are taken of
+bounded chunks first, then of what is left per polygon.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +19,9 @@ from tissuegrid.operators.ranking import row_numbers
 from tissuegrid.session import materialize
 
 
+HULL_CHUNK = 4096
+
+
 # ---- assembly ------------------------------------------------------------------------------
 
 def ring_edges(vertices: DataFrame) -> DataFrame:
@@ -137,16 +139,16 @@ def circle_overlap(edges: DataFrame, circles: DataFrame) -> DataFrame:
 
 def _hull(points: np.ndarray) -> np.ndarray:
     """Counter-clockwise hull, collinear points removed."""
-    pts = np.unique(points, axis=0)
+    pts = sorted(set(map(tuple, points.tolist())))
     if len(pts) < 3:
-        return pts
+        return np.array(pts)
     chains = []
-    for seq in (pts, pts[::-1]):
-        chain: list[np.ndarray] = []
+    for seq in (pts, reversed(pts)):
+        chain: list[tuple[float, float]] = []
         for p in seq:
             while len(chain) > 1:
-                u, v = chain[-1] - chain[-2], p - chain[-2]
-                if u[0] * v[1] - u[1] * v[0] > 0:
+                (ax, ay), (bx, by) = chain[-2], chain[-1]
+                if (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax) > 0:
                     break
                 chain.pop()
             chain.append(p)
@@ -154,35 +156,33 @@ def _hull(points: np.ndarray) -> np.ndarray:
     return np.array(chains[0] + chains[1])
 
 
-def hull_points(points: DataFrame) -> DataFrame:
-    """``(cell_id, x, y)`` -> ``(cell_id, hull array<struct<x,y>>, n_points)``."""
-    key = points.schema["cell_id"]
-    flat = T.StructType([key, T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+POINTS = "array<struct<x: double, y: double>>"
 
-    def shrink(cell, pdf: pd.DataFrame) -> pd.DataFrame:
-        h = _hull(pdf[["x", "y"]].to_numpy(float))
-        return pd.DataFrame({"cell_id": [cell] * len(h), "x": h[:, 0], "y": h[:, 1]})
 
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for cell, g in batch.groupby("cell_id", sort=False):
-                yield shrink(cell, g)
+_ARRAYS = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("x", "y")])
 
-    def per_group(key_values, pdf: pd.DataFrame) -> pd.DataFrame:
-        return shrink(key_values[0], pdf)
 
-    part = points.select("cell_id", F.col("x").cast("double"), F.col("y").cast("double")).mapInPandas(per_batch, flat)
-    salted = part.withColumn("_salt", F.spark_partition_id() % 64)
-    merged = salted.groupBy("cell_id", "_salt").applyInPandas(per_group, flat)
+@F.pandas_udf(_ARRAYS)
+def _hull_of(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    hulls = [_hull(np.column_stack([x, y])) for x, y in zip(xs, ys)]
+    return pd.DataFrame({"x": [h[:, 0] for h in hulls], "y": [h[:, 1] for h in hulls]})
 
-    def finish(key_values, pdf: pd.DataFrame) -> pd.DataFrame:
-        h = _hull(pdf[["x", "y"]].to_numpy(float))
-        return pd.DataFrame({"cell_id": [key_values[0]], "hull": [[{"x": p[0], "y": p[1]} for p in h]]})
 
-    hulls = merged.groupBy("cell_id").applyInPandas(finish, T.StructType([key, T.StructField(
-        "hull", T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))]))
+def hull_points(points: DataFrame) -> DataFrame:
+    """``(cell_id, x, y)`` -> ``(cell_id, hull array<struct<x,y>>, n_points)``.
+
+    Chunks of bounded size are reduced to their hulls first; a hull of hulls is the hull.
+    """
     n = points.groupBy("cell_id").agg(F.count("*").alias("n_points"))
-    return hulls.join(n, "cell_id")
+    chunk = F.pmod(F.xxhash64("x", "y"), F.ceil(F.col("n_points") / HULL_CHUNK))
+    part = points.select("cell_id", F.col("x").cast("double"), F.col("y").cast("double")).join(n, "cell_id").groupBy(
+        "cell_id", "n_points", chunk.alias("_chunk")).agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y"))
+    reduced = part.select("cell_id", "n_points", _hull_of("x", "y").alias("h"))
+    whole = reduced.groupBy("cell_id", "n_points").agg(
+        F.flatten(F.collect_list("h.x")).alias("x"), F.flatten(F.collect_list("h.y")).alias("y"))
+    hull = F.arrays_zip("h.x", "h.y").cast(POINTS)
+    return whole.select("cell_id", "n_points", _hull_of("x", "y").alias("h")).select(
+        "cell_id", hull.alias("hull"), "n_points")
 
 
 def hull_edges(hulls: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,18 +24,34 @@ def gene_axis(genes: DataFrame) -> DataFrame:
     return materialize(axis.select("gene", (F.col("_rn") - 1).cast("int").alias("ix")), "genes")
 
 
+def _scatter(fill):
+    """Column function: a cell's (position, value) pairs over a copy of the fill vector."""
+
+    @F.pandas_udf("array<double>")
+    def scatter(ix: pd.Series, value: pd.Series) -> pd.Series:
+        base, out = fill.value, []
+        for i, v in zip(ix, value):
+            row = base.copy()
+            row[i] = v
+            out.append(row)
+        return pd.Series(out)
+
+    return scatter
+
+
 def dense_vectors(counts: DataFrame, axis: DataFrame, default: DataFrame | None = None) -> DataFrame:
-    """``(id, v)`` over the gene axis. ``default`` gives ``zero_z`` per gene for absent entries."""
+    """``(id, v)`` over the gene axis. ``default`` gives ``zero_z`` per gene for absent entries.
+
+    The fill vector is as long as the gene axis, and so is a cell's group at most.
+    """
+    fill = np.zeros(axis.count())
+    if default is not None:
+        known = default.join(axis, "gene").select("ix", "zero_z").toPandas()
+        fill[known["ix"]] = known["zero_z"]
+    scatter = _scatter(counts.sparkSession.sparkContext.broadcast(fill))
     entries = counts.join(axis, "gene").groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("ix", F.col("value").cast("double")))).alias("m"))
-    if default is None:
-        fill = F.array_repeat(F.lit(0.0), axis.count())
-    else:
-        ordered = F.sort_array(F.collect_list(F.struct("ix", "zero_z")))
-        fill = default.join(axis, "gene").agg(F.transform(ordered, lambda e: e["zero_z"])).scalar()
-    # One entry per gene of the axis, so a cell's group is as short as the axis.
-    return entries.withColumn("fill", fill).select(
-        "id", F.transform("fill", lambda z, i: F.coalesce(F.try_element_at(F.col("m"), i), z)).alias("v"))
+        F.collect_list(F.struct("ix", F.col("value").cast("double").alias("value"))).alias("e"))
+    return entries.select("id", scatter("e.ix", "e.value").alias("v"))
 
 
 def neighbor_weights(near: DataFrame, lone: str = "nearest", coincident: str = "equal") -> DataFrame:
@@ -113,8 +131,9 @@ def impute_global(
 
 def zscore_vectors(counts: DataFrame, axis: DataFrame) -> DataFrame:
     """Z-scored dense vectors; constant genes score 0 everywhere."""
+    counts = materialize(counts, "counts")
     n = counts.agg(F.count_distinct("id")).scalar()
-    moments = gene_moments(counts, n)
+    moments = materialize(gene_moments(counts, n), "moments")
     safe = F.when(F.col("std") > 0, F.col("std"))
     zero = moments.select("gene", F.coalesce(-F.col("mean") / safe, F.lit(0.0)).alias("zero_z"))
     zero = axis.join(zero, "gene", "left").select("gene", F.coalesce("zero_z", F.lit(0.0)).alias("zero_z"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tissuegrid.session import materialize
+
 
 def contingency(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("y_true", "y_pred").agg(F.count("*").alias("n"))
@@ -35,7 +37,7 @@ def _choose2(n: Column) -> Column:
 
 
 def adjusted_rand(pairs: DataFrame) -> DataFrame:
-    table = contingency(pairs)
+    table = materialize(contingency(pairs), "contingency")
     rows, cols = _margins(table)
     one = table.agg(F.sum(_choose2(F.col("n"))).alias("i"), F.sum("n").alias("n"))
     one = one.withColumn("a", rows.agg(F.sum(_choose2(F.col("n")))).scalar())
@@ -56,7 +58,7 @@ def _entropy(margin: DataFrame, n: Column) -> Column:
 
 def normalized_mutual_info(pairs: DataFrame) -> DataFrame:
     """Mutual information over the mean of the entropies, natural log; 1 when both are 0."""
-    table = contingency(pairs)
+    table = materialize(contingency(pairs), "contingency")
     rows, cols = _margins(table)
     total = table.agg(F.sum("n")).scalar()
     joint = (
@@ -73,7 +75,7 @@ def normalized_mutual_info(pairs: DataFrame) -> DataFrame:
 
 def macro_f1(pairs: DataFrame) -> DataFrame:
     """Unweighted mean of per-label F1 over every label seen on either side."""
-    table = contingency(pairs)
+    table = materialize(contingency(pairs), "contingency")
     hit = (F.col("y_true") == F.col("y_pred")).cast("long") * F.col("n")
     truth = table.select(F.col("y_true").alias("label"), F.col("n").alias("t"),
                          F.lit(0).cast("long").alias("p"), hit.alias("tp"))
@@ -99,9 +101,9 @@ def enrichment(
     Per domain: weight of its labels inside the domain over their whole weight. The background
     domain adds ``1 - share of cells`` once per label. The answer is the mean of all entries.
     """
-    per_label = cells.groupBy("label", "region").agg(
+    per_label = materialize(cells.groupBy("label", "region").agg(
         F.sum("weight").alias("w"), F.count("*").alias("n")
-    )
+    ), "per-label")
     named = domain_labels.where(F.col("domain") != background)
     ratios = (
         per_label.join(named, "label").groupBy("domain")

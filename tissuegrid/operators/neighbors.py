@@ -204,8 +204,8 @@ def _blocked_knn(q, r, k, metric, exclude_self, ties, dim, block_rows) -> DataFr
             best = d2.argmin(1)
             yield batch.assign(pivot=best.astype("int32"), gap=np.sqrt(d2[np.arange(len(best)), best]))
 
-    fields = [locs.schema[c] for c in ("cls", "v", "ids", "loc")]
-    placed = locs.select("cls", "v", "ids", "loc").mapInPandas(
+    fields = [locs.schema[c] for c in ("cls", "v", "loc")]
+    placed = locs.select("cls", "v", "loc").mapInPandas(
         assign, T.StructType([*fields, T.StructField("pivot", T.IntegerType()), T.StructField("gap", T.DoubleType())])
     )
     placed = materialize(placed, "placed")
@@ -256,50 +256,53 @@ def _blocked_knn(q, r, k, metric, exclude_self, ties, dim, block_rows) -> DataFr
                     qi, pi = np.nonzero(hit)
                     out = rows.iloc[qi][["ask", "cls", "v"]].copy()
                     out["pivot"] = cell[pi].astype("int32")
+                    limit = bound + slack
+                    out["bound"] = (limit ** 2 / 2 if metric == "cosine" else limit)[qi]
                     yield out
 
     probes = asks.select("ask", "cls", "v").mapInPandas(
         probe, T.StructType([asks.schema["ask"], asks.schema["cls"], asks.schema["v"],
-                             T.StructField("pivot", T.IntegerType())])
+                             T.StructField("pivot", T.IntegerType()), T.StructField("bound", T.DoubleType())])
     )
     probes = materialize(probes, "probes")
 
     # Work units of bounded size on both sides, however full a cell or however many ask it.
     asked = probes.groupBy("cls", "pivot").agg(F.count("*").alias("asked"))
-    units = cell_stats.join(asked, ["cls", "pivot"]).select(
+    units = materialize(cell_stats.join(asked, ["cls", "pivot"]).select(
         "cls", "pivot",
         F.ceil(F.col("n") / block_rows).cast("int").alias("parts"),
         F.ceil(F.col("asked") / QUERY_ROWS).cast("int").alias("chunks"),
-    )
+    ), "units")
     left = probes.join(units, ["cls", "pivot"]).select(
         "cls", "pivot", F.pmod(F.xxhash64("ask"), "chunks").cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "ask", "v",
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "ask", "v", "bound",
     )
     right = placed.join(units, ["cls", "pivot"]).select(
         "cls", "pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-        F.pmod(F.xxhash64("loc"), "parts").cast("int").alias("part"), "loc", "ids", "v",
+        F.pmod(F.xxhash64("loc"), "parts").cast("int").alias("part"), "loc", "v",
     )
 
     def meet(key: tuple[Any, ...], asks_part: pd.DataFrame, locs_part: pd.DataFrame) -> pd.DataFrame:
         locs_part = locs_part.sort_values("loc", kind="stable")
-        loc, ids = locs_part["loc"].to_numpy(), locs_part["ids"].to_numpy()
-        ask = asks_part["ask"].to_numpy()
-        found = [
-            pd.DataFrame({"ask": ask[qi], "loc": loc[ri], "ids": ids[ri], "distance": dist})
-            for qi, ri, dist, _ in nearest(
-                place(_matrix(asks_part["v"]), 0), place(_matrix(locs_part["v"]), 1), want, metric, ties)
-        ]
-        return pd.concat(found) if found else pd.DataFrame(columns=["ask", "loc", "ids", "distance"])
+        loc, ask, bound = (x.to_numpy() for x in (locs_part["loc"], asks_part["ask"], asks_part["bound"]))
+        found = []
+        for qi, ri, dist, _ in nearest(
+                place(_matrix(asks_part["v"]), 0), place(_matrix(locs_part["v"]), 1), want, metric, ties):
+            near = dist <= bound[qi]
+            found.append(pd.DataFrame({"ask": ask[qi[near]], "loc": loc[ri[near]], "distance": dist[near]}))
+        return pd.concat(found) if found else pd.DataFrame(columns=["ask", "loc", "distance"])
 
     keys = ["cls", "pivot", "chunk", "part"]
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        meet, T.StructType([asks.schema["ask"], T.StructField("loc", id_type),
-                            T.StructField("ids", T.ArrayType(id_type)), T.StructField("distance", T.DoubleType())])
+        meet, T.StructType([asks.schema["ask"], T.StructField("loc", id_type), T.StructField("distance", T.DoubleType())])
     )
     rank = F.rank() if ties else F.row_number()
     order = [F.col("distance")] if ties else [F.col("distance"), F.col("loc")]
     best = met.withColumn("_rk", rank.over(Window.partitionBy("ask").orderBy(*order))).where(F.col("_rk") <= want)
-    lists = best.select("ask", "distance", F.explode("ids").alias("ref_id"))
+    # Only locations with copies stand for more than their own id.
+    piles = locs.where(F.size("ids") > 1).select("loc", "ids")
+    lists = best.join(piles, "loc", "left").select(
+        "ask", "distance", F.explode(F.coalesce("ids", F.array("loc"))).alias("ref_id"))
     order = [F.col("distance")] if ties else [F.col("distance"), F.col("ref_id")]
     lists = lists.withColumn("_rk", rank.over(Window.partitionBy("ask").orderBy(*order))).where(F.col("_rk") <= want)
     lists = lists.groupBy("ask").agg(F.sort_array(F.collect_list(F.struct("distance", "ref_id"))).alias("found"))

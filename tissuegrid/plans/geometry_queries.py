@@ -52,7 +52,7 @@ def polygon_measures(t):
 @query("polygon_radius", f"""WITH {VERT}
 SELECT cell_id, round(max(sqrt((x1 - sx / (3 * a2)) ** 2 + (y1 - sy / (3 * a2)) ** 2)), 4) AS radius FROM ed JOIN ms USING (cell_id) GROUP BY 1""")
 def polygon_radius(t):
-    edges = ge.ring_edges(_vertices(t))
+    edges = vw.shared(ge.ring_edges(_vertices(t)))
     return rounded(ge.ring_radius(edges, ge.ring_measures(edges)), "radius", digits=4)
 
 
@@ -103,7 +103,7 @@ def _cells(edges):
     30.0 + cell_id % 50 AS r FROM ed), {DISC}
 SELECT spot_id, cell_id, round(frac, 6) AS frac FROM fr""")
 def circle_overlap(t):
-    edges = ge.ring_edges(_vertices(t))
+    edges = vw.shared(ge.ring_edges(_vertices(t)))
     c = F.col("cell_id")
     circles = edges.select("cell_id").distinct().select(
         "cell_id", (c % 3).alias("spot_id"), (7.0 * c + 20).alias("cx"), (3.0 * c - 10).alias("cy"),
@@ -113,7 +113,7 @@ def circle_overlap(t):
 
 @query("nearest_spot_join", f"""WITH {VERT}, {NEAR} SELECT spot_id, cell_id, round(d, 4) AS distance FROM nr WHERE rk = 1 AND d <= 20 + radius""")
 def nearest_spot_join(t):
-    edges = ge.ring_edges(_vertices(t))
+    edges = vw.shared(ge.ring_edges(_vertices(t)))
     return rounded(sp.nearest_spots(_cells(edges), _spots(t), 40.0), "distance", digits=4)
 
 
@@ -121,7 +121,7 @@ def nearest_spot_join(t):
   cp AS (SELECT *, row_number() OVER (PARTITION BY spot_id ORDER BY md5('0:' || cell_id::VARCHAR), cell_id) AS rn FROM fr WHERE frac > 0)
 SELECT spot_id, cell_id, round(frac, 6) AS frac FROM cp WHERE rn <= 3""")
 def overlap_matrix(t):
-    edges = ge.ring_edges(_vertices(t))
+    edges = vw.shared(ge.ring_edges(_vertices(t)))
     return rounded(sp.overlap_matrix(_cells(edges), _spots(t), edges, 40.0, max_cells=3), "frac")
 
 
@@ -130,7 +130,7 @@ def overlap_matrix(t):
   ci AS (SELECT spot_id, cell_id, cx, cy, 30.0 AS r FROM ak WHERE rn <= 10), {DISC}
 SELECT spot_id, cell_id, round(frac, 6) AS frac FROM fr""")
 def overlap_from_assignment(t):
-    edges = ge.ring_edges(_vertices(t))
+    edges = vw.shared(ge.ring_edges(_vertices(t)))
     given = edges.select("cell_id").distinct().withColumn("spot_id", F.col("cell_id") % 9)
     return rounded(sp.overlap_from_assignment(given, _spots(t), edges, 60.0).select("spot_id", "cell_id", "frac"), "frac")
 

@@ -32,7 +32,7 @@ WHERE log_fold > {fold} AND mean > {expr}"""
 
 
 def _profiles(t):
-    return mx.type_profiles(vw.sc_counts(t), vw.types(t))
+    return mx.type_profiles(vw.shared(vw.sc_counts(t)), vw.types(t))
 
 
 def _markers(t, fold, expr):
@@ -55,7 +55,8 @@ def marker_genes_bulk(t):
 @query("marker_gene_union", f"""WITH a AS ({_markers_sql(1.25, 3e-4)}), b AS ({_markers_sql(1.0, 2e-4)})
 SELECT gene FROM a UNION SELECT gene FROM b""")
 def marker_gene_union(t):
-    return mx.gene_union(_markers(t, 1.25, 3e-4), _markers(t, 1.0, 2e-4))
+    profiles, bulk = vw.shared(_profiles(t)), vw.shared(mx.bulk_vector(vw.st_counts(t)))
+    return mx.gene_union(*[mx.marker_genes(profiles, bulk, 5, fold, level) for fold, level in ((1.25, 3e-4), (1.0, 2e-4))])
 
 
 @query("celltype_mean_profile",
@@ -84,7 +85,7 @@ def bulk_vector(t):
 SELECT id, gene, value, n_umi FROM st JOIN sz USING (id)
 WHERE n_umi BETWEEN 1000 AND 15200 AND gene IN (SELECT p_partkey FROM part WHERE p_size > 10)""")
 def restrict_counts(t):
-    counts = vw.st_counts(t)
+    counts = vw.shared(vw.st_counts(t))
     genes = t.part.where("p_size > 10").select(F.col("p_partkey").alias("gene"))
     return mx.restrict_counts(counts, mx.library_sizes(counts), genes, 1000, 15200).select(
         "id", "gene", "value", "n_umi")
@@ -105,7 +106,7 @@ SELECT (SELECT count(*) FROM co) AS n_coords, (SELECT count(*) FROM cn) AS n_cou
   (SELECT count(*) FROM sh) > 0 AND (SELECT count(*) FROM sh) =
   greatest((SELECT count(*) FROM co), (SELECT count(*) FROM cn)) AS consistent""")
 def barcode_intersection(t):
-    counts = vw.st_counts(t)
+    counts = vw.shared(vw.st_counts(t))
     coords = t.supplier.select(F.col("s_suppkey").alias("id"))
     return mx.barcode_report(coords, counts, mx.library_sizes(counts)).select(
         *[F.col(c).cast("long").alias(c) for c in ("n_coords", "n_counts", "n_sizes", "n_shared")],
@@ -119,25 +120,25 @@ SIZED = f"""sc AS ({SC}), sz AS (SELECT id, sum(value) AS n_umi FROM sc GROUP BY
 @query("library_normalize", f"""WITH {SIZED}
 SELECT id, gene, round(value / n_umi * target, 6) AS value FROM sc JOIN sz USING (id), md""")
 def library_normalize(t):
-    return rounded(nz.library_normalize(vw.sc_counts(t)), "value")
+    return rounded(nz.library_normalize(vw.shared(vw.sc_counts(t))), "value")
 
 
 @query("log_norm_median", f"""WITH {SIZED}
 SELECT id, gene, round(ln(value / n_umi * target + 1), 6) AS value FROM sc JOIN sz USING (id), md""")
 def log_norm_median(t):
-    return rounded(nz.log_to_median(vw.sc_counts(t)), "value")
+    return rounded(nz.log_to_median(vw.shared(vw.sc_counts(t))), "value")
 
 
 @query("log_norm_million", f"""WITH {SIZED}
 SELECT id, gene, round(ln(value / n_umi * 1e6 + 1), 6) AS value FROM sc JOIN sz USING (id)""")
 def log_norm_million(t):
-    return rounded(nz.log_per_million(vw.sc_counts(t)), "value")
+    return rounded(nz.log_per_million(vw.shared(vw.sc_counts(t))), "value")
 
 
 @query("fraction_scale", f"""WITH {SIZED}
 SELECT id, gene, round(value / n_umi * 1e4, 6) AS value FROM sc JOIN sz USING (id)""")
 def fraction_scale(t):
-    return rounded(nz.fraction_scale(vw.sc_counts(t)), "value")
+    return rounded(nz.fraction_scale(vw.shared(vw.sc_counts(t))), "value")
 
 
 @query("median_library_size", f"WITH {SIZED} SELECT round(target, 6) AS target FROM md")
@@ -162,7 +163,7 @@ def unlog_heuristic(t):
 SELECT sc.id, sc.gene, round((value - mu) / nullif(sd, 0), 6) + 0.0 AS z,
   round(-mu / nullif(sd, 0), 6) + 0.0 AS zero_z FROM sc JOIN m USING (gene)""")
 def gene_zscore(t):
-    counts = vw.sc_brand_counts(t)
+    counts = vw.shared(vw.sc_brand_counts(t))
     n = mx.library_sizes(counts).agg(F.count("*")).scalar()
     return rounded(nz.gene_zscore(counts, n), "z", "zero_z")
 
@@ -226,7 +227,7 @@ def quantiles_by_class(t):
   g AS (SELECT id, sum(value) AS got FROM rc GROUP BY 1), w AS (SELECT id, sum(value) AS want FROM st GROUP BY 1)
 SELECT id, gene, round_even(value / got * want, 0) AS value FROM rc JOIN g USING (id) JOIN w USING (id)""")
 def rescale_reconstruction(t):
-    raw = vw.st_brand_counts(t)
+    raw = vw.shared(vw.st_brand_counts(t))
     return nz.rescale_to_totals(raw.withColumn("value", F.sqrt("value")), raw)
 
 
@@ -235,7 +236,7 @@ def rescale_reconstruction(t):
 SELECT id, gene, round(0.3 * st.value + 0.7 * coalesce(rc.value, 0), 6) AS value
 FROM st LEFT JOIN rc USING (id, gene)""")
 def blend_reconstruction(t):
-    raw = vw.st_brand_counts(t)
+    raw = vw.shared(vw.st_brand_counts(t))
     recon = raw.where("value > 200").withColumn("value", F.col("value") * 2)
     return rounded(nz.blend(raw, recon, 0.7), "value")
 
@@ -245,7 +246,7 @@ def blend_reconstruction(t):
   r AS (SELECT *, row_number() OVER (ORDER BY value DESC, gene DESC, id DESC) AS rk FROM st WHERE value > 0)
 SELECT id, gene, value FROM r, n WHERE rk <= keep""")
 def drop_lowest_45pct(t):
-    counts = vw.st_brand_counts(t)
+    counts = vw.shared(vw.st_brand_counts(t))
     n_genes = counts.select("gene").distinct().count()
     return mx.keep_top_share(counts, n_genes, t.supplier.count()).select("id", "gene", "value")
 
@@ -260,19 +261,20 @@ RENORM = f"""{PROFILE},
 SELECT gene, cell_type, round(mean * (total / (SELECT sum(total) FROM bulk) / avg), 9) AS mean
 FROM mu JOIN av USING (gene) JOIN bulk USING (gene)""")
 def renorm_reference(t):
-    counts = vw.sc_counts(t)
-    bulk = mx.bulk_vector(vw.st_counts(t))
+    counts = vw.shared(vw.sc_counts(t))
+    bulk = vw.shared(mx.bulk_vector(vw.st_counts(t)))
     seen = mx.library_sizes(counts).join(vw.types(t), "id")
     props = seen.groupBy("cell_type").agg(F.count("*").cast("double").alias("weight"))
     total = bulk.agg(F.sum("total"))
-    return rounded(mx.renormalized_profiles(_profiles(t), bulk, total, props), "mean", digits=9)
+    profiles = vw.shared(mx.type_profiles(counts, vw.types(t)))
+    return rounded(mx.renormalized_profiles(profiles, bulk, total, props), "mean", digits=9)
 
 
 @query("bulk_design", f"""WITH {PROFILE}
 SELECT gene, cell_type, round(mean * (SELECT sum(total) FROM bulk), 4) AS x, total AS b
 FROM mu JOIN bulk USING (gene) WHERE total >= 10 AND gene IN (SELECT p_partkey FROM part WHERE p_size <= 25)""")
 def bulk_design(t):
-    bulk = mx.bulk_vector(vw.st_counts(t))
+    bulk = vw.shared(mx.bulk_vector(vw.st_counts(t)))
     genes = t.part.where("p_size <= 25").select(F.col("p_partkey").alias("gene"))
     return rounded(mx.bulk_design(_profiles(t), bulk, bulk.agg(F.sum("total")), genes), "x", digits=4)
 
@@ -293,7 +295,7 @@ def overlap_weighted_mean(t):
 @query("grand_sum_normalize", f"""WITH st AS ({ST_BRAND})
 SELECT id, gene, round(value / (SELECT sum(value) FROM st), 9) AS value FROM st""")
 def grand_sum_normalize(t):
-    return rounded(mx.grand_sum_normalize(vw.st_brand_counts(t)), "value", digits=9)
+    return rounded(mx.grand_sum_normalize(vw.shared(vw.st_brand_counts(t))), "value", digits=9)
 
 
 @query("mean_impute", """WITH lg AS (
@@ -483,6 +485,6 @@ def initial_labels(t):
   wt AS (SELECT m, ix, w / sum(w) OVER (PARTITION BY m) AS w FROM dr WHERE active)
 SELECT m AS mix_id, gene, round(sum(w * value), 6) AS value FROM wt JOIN ids USING (ix) JOIN sc USING (id) GROUP BY 1, 2""")
 def pseudo_mixtures(t):
-    counts = vw.sc_brand_counts(t)
+    counts = vw.shared(vw.sc_brand_counts(t))
     mixes = counts.select(F.col("id").alias("mix_id")).distinct()
     return rounded(sampling.random_mix(counts, mixes, k=8, k_min=2), "value")

@@ -39,12 +39,12 @@ def _cell_lines(t):
 
 
 def _profiles(t):
-    return mx.type_profiles(_cell_lines(t), vw.types(t))
+    return mx.type_profiles(vw.shared(_cell_lines(t)), vw.types(t))
 
 
 def _inputs(t):
-    counts = _spot_lines(t)
-    profiles = _profiles(t)
+    counts = vw.shared(_spot_lines(t))
+    profiles = vw.shared(_profiles(t))
     axis = gene_axis(profiles)
     spots = materialize(dc.spot_rows(counts, mx.library_sizes(counts), axis), "spots")
     return spots, dc.Profiles(profiles, axis)
@@ -78,7 +78,7 @@ def _q_sql(sigma: float) -> str:
 
 
 def _entries(t):
-    counts = _spot_lines(t)
+    counts = vw.shared(_spot_lines(t))
     sizes = mx.library_sizes(counts)
     bulk = mx.bulk_vector(counts)
     share = bulk.select("gene", (F.col("total") / bulk.agg(F.sum("total")).scalar()).alias("share"))

@@ -270,7 +270,7 @@ def _query_types(t):
 
 @query("neighbor_weights", f"WITH {IMP}, {_imp_near(50, True)} SELECT query_id, ref_id, round(w, 6) AS weight FROM wt")
 def neighbor_weights(t):
-    counts, spots = vw.sc_brand_counts(t), vw.st_brand_counts(t)
+    counts, spots = vw.shared(vw.sc_brand_counts(t)), vw.st_brand_counts(t)
     axis = im.gene_axis(counts)
     near = nb.knn_join(im.dense_vectors(spots, axis).join(_query_types(t), "id"),
                        im.dense_vectors(counts, axis).join(vw.types(t), "id"), 50, metric="cosine", by="cell_type")
@@ -280,14 +280,14 @@ def neighbor_weights(t):
 @query("impute_in_class", f"""WITH {IMP}, {_imp_near(50, True)}
 SELECT query_id AS id, gene, round(sum(w * value), 6) AS value FROM wt JOIN sc ON sc.id = ref_id GROUP BY 1, 2""")
 def impute_in_class(t):
-    counts = vw.sc_brand_counts(t)
+    counts = vw.shared(vw.sc_brand_counts(t))
     return rounded(im.impute_in_class(vw.st_brand_counts(t), _query_types(t), counts, vw.types(t), counts, 50), "value")
 
 
 @query("impute_global", f"""WITH {IMP}, {_imp_near(50, False)}
 SELECT query_id AS id, gene, round(sum(w * value), 6) AS value FROM wt JOIN sc ON sc.id = ref_id GROUP BY 1, 2""")
 def impute_global(t):
-    counts = vw.sc_brand_counts(t)
+    counts = vw.shared(vw.sc_brand_counts(t))
     axis = im.gene_axis(counts)
     return rounded(im.impute_global(im.dense_vectors(vw.st_brand_counts(t), axis),
                                     im.dense_vectors(counts, axis), counts, 50), "value")
@@ -305,7 +305,7 @@ SELECT query_id AS id, gene, round(sum(w * value), 6) AS value FROM wt JOIN sc O
 @query("impute_from_image", _imp_image_sql())
 def impute_from_image(t):
     """One label maps to another class, one is unknown to the reference."""
-    counts = vw.sc_brand_counts(t)
+    counts = vw.shared(vw.sc_brand_counts(t))
     axis = im.gene_axis(counts)
     mapping = t.spark.createDataFrame([("AUTOMOBILE", "TRUCK"), ("BUILDING", "MACHINERY")], "cell_type string, class string")
     return rounded(im.impute_from_image(
@@ -325,7 +325,7 @@ def impute_from_image(t):
 SELECT query_id AS id, 'acctbal' AS gene, round(sum(w * c_acctbal), 4) + 0.0 AS value FROM wt JOIN customer ON c_custkey = ref_id GROUP BY 1""")
 def impute_protein(t):
     protein = t.customer.select(F.col("c_custkey").alias("id"), F.lit("acctbal").alias("gene"), F.col("c_acctbal").alias("value"))
-    return rounded(im.impute_protein(vw.st_brand_counts(t), vw.sc_brand_counts(t), protein, 50), "value", digits=4)
+    return rounded(im.impute_protein(vw.shared(vw.st_brand_counts(t)), vw.shared(vw.sc_brand_counts(t)), protein, 50), "value", digits=4)
 
 
 KERNEL = f"""sc AS ({SC_BRAND}), st AS ({ST_BRAND}),
@@ -352,13 +352,13 @@ def kernel_expression(t):
   FROM kr LEFT JOIN sc USING (id, gene)), tt AS (SELECT sum(value) AS total FROM sc), ms AS (SELECT sum(sr) AS mass FROM bo)
 SELECT id, gene, round((0.95 * sr / mass + (1 - 0.95) * r) * total, 6) AS value FROM bo, tt, ms""")
 def spatial_balance(t):
-    return rounded(im.spatial_balance(vw.sc_brand_counts(t), _kernel(t)), "value")
+    return rounded(im.spatial_balance(vw.shared(vw.sc_brand_counts(t)), _kernel(t)), "value")
 
 
 @query("measured_overwrite", f"""WITH sc AS ({SC_BRAND}), m AS (SELECT id, gene, 0.5 * value AS value FROM sc WHERE gene < 'Brand#15')
 SELECT id, gene, coalesce(m.value, sc.value) AS value FROM sc LEFT JOIN m USING (id, gene)""")
 def measured_overwrite(t):
-    counts = vw.sc_brand_counts(t)
+    counts = vw.shared(vw.sc_brand_counts(t))
     measured = counts.where("gene < 'Brand#15'").withColumn("value", F.col("value") * 0.5)
     return im.overwrite_measured(counts, measured)
 
@@ -394,7 +394,7 @@ def domain_adaptation(t):
     from tissuegrid.operators import cvae
     from tissuegrid.operators.normalize import fraction_scale
     from tissuegrid.operators.sampling import sample_per_class
-    st, sc = vw.st_brand_counts(t), vw.sc_brand_counts(t)
+    st, sc = vw.shared(vw.st_brand_counts(t)), vw.shared(vw.sc_brand_counts(t))
     axis = im.gene_axis(st)
     few = sample_per_class(vw.types(t), 5, seed=2)
     sc = fraction_scale(sc.join(few, "id", "left_semi"), 1e4)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tissuegrid.session import materialize
 from tissuegrid.sources.tables import Tables
 
 # The same views in SQL, for the oracles.
@@ -22,6 +23,11 @@ EMB = ("SELECT vec_id AS id, label, embedding::DOUBLE[] AS v, embedding[1]::DOUB
        " embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings")
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """Count tables that a query reads more than once are computed once."""
+    return materialize(df, "counts")
+
+
 def st_counts(t: Tables) -> DataFrame:
     """Spots are suppliers, genes are parts."""
     return t.lineitem.groupBy(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("gene")).agg(
