@@ -22,7 +22,7 @@ def brute(q, r, k, metric, same_class=None, exclude=False, ties=False):
                 d = 1 - a @ b / na / nb_
             else:
                 d = np.sqrt(((a - b) ** 2).sum())
-            rows.append((round(d, 9), rid))
+            rows.append((float(np.round(d, 10)), rid))
         rows.sort()
         if ties and rows:
             rows = [x for x in rows if x[0] <= rows[min(k, len(rows)) - 1][0]]
@@ -35,7 +35,7 @@ def brute(q, r, k, metric, same_class=None, exclude=False, ties=False):
 def as_dict(df):
     out = {}
     for row in df.collect():
-        out.setdefault(row["query_id"], []).append((round(row["distance"], 9), row["ref_id"], row["rank"]))
+        out.setdefault(row["query_id"], []).append((row["distance"], row["ref_id"], row["rank"]))
     return {k: sorted(v) for k, v in out.items()}
 
 
@@ -49,7 +49,8 @@ def check(spark, q, r, k, **how):
         got = as_dict(nb.knn_join(qd, rd, k, metric=metric, by=by, **how, **form))
         for qid, rows in want.items():
             found = [x[:2] for x in got.get(qid, [])]
-            assert sorted(found) == rows, (form, qid)
+            assert [x[1] for x in sorted(found)] == [x[1] for x in rows], (form, qid)
+            assert np.allclose([x[0] for x in sorted(found)], [x[0] for x in rows], atol=1e-9)
             if not ties:
                 assert sorted(x[2] for x in got.get(qid, [])) == list(range(1, len(rows) + 1))
 

@@ -66,7 +66,7 @@ def test_tiles_and_cell_features_across_tile_borders(spark, tmp_path):
     img = rng.integers(80, 255, (70, 90, 3), dtype=np.uint8)
     img[20:45, 20:45] = (110, 60, 130)
     (tmp_path / "i.ppm").write_bytes(b"P6\n90 70\n255\n" + img.tobytes())
-    ring = [{"x": 32 + 9 * np.cos(a), "y": 32 + 9 * np.sin(a)} for a in np.linspace(0, 2 * np.pi, 12, endpoint=False)]
+    ring = [{"x": float(32 + 9 * np.cos(a)), "y": float(32 + 9 * np.sin(a))} for a in np.linspace(0, 2 * np.pi, 12, endpoint=False)]
     cells = spark.createDataFrame([("i.ppm", "c1", ring, None), ("i.ppm", "c2", None, ring), ("i.ppm", "c3", ring, ring)],
                                   "image_id string, cell_id string, cell_polygon array<struct<x:double,y:double>>, nucleus_polygon array<struct<x:double,y:double>>")
     got = {}

@@ -15,8 +15,8 @@ from tissuegrid.functions.scalars import homography
 from tissuegrid.operators.ranking import hash_order, row_numbers
 from tissuegrid.sources.tables import require_columns
 
-_FEATURE = ("struct<geometry: struct<coordinates: array<array<array<double>>>>,"
-            " properties: struct<measurements: map<string,double>>>")
+_GEOMETRY = "struct<coordinates: array<array<array<double>>>>"
+_PROPERTIES = "struct<measurements: map<string,double>>"
 _NUCLEUS = "struct<contour: array<array<double>>, centroid: array<double>, type: int>"
 
 SLIDE_TYPES = (".svs", ".tif", ".ndpi")
@@ -34,11 +34,12 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     ``lines=True`` reads one feature per line, which splits across tasks.
     """
     if lines:
-        raw = spark.read.schema(_FEATURE.removeprefix("struct<").removesuffix(">")).json(path)
+        raw = spark.read.schema(f"geometry {_GEOMETRY}, properties {_PROPERTIES}").json(path)
         rows = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"),
                           F.struct("geometry", "properties").alias("f"))
     else:
-        raw = spark.read.schema(f"features array<{_FEATURE}>").option("multiLine", True).json(path)
+        raw = spark.read.schema(
+            f"features array<struct<geometry: {_GEOMETRY}, properties: {_PROPERTIES}>>").option("multiLine", True).json(path)
         rows = raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode("features").alias("pos", "f"))
     return rows.select(
         "file", "pos", _points(F.try_element_at("f.geometry.coordinates", F.lit(1))).alias("polygon"),
