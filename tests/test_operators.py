@@ -418,6 +418,29 @@ def test_strong_prior_follows_neighbours():
     assert two.tolist() == [1, 1]
 
 
+@pytest.mark.parametrize("moves", ["joint", "single"])
+def test_effect_of_a_feature_is_found(spark, moves):
+    """One feature doubles or halves one gene; the sampler must see its sign and nothing else needs to."""
+    from tissuegrid.operators import morphology as mo
+
+    rng = np.random.default_rng(12)
+    matrix = np.full((4, 1), 0.25)
+    x = rng.choice([-1.0, 1.0], 60)
+    rate = matrix[:, 0] * 80 * np.exp(np.outer(x, [0.7, 0, 0, 0]))
+    base = spark.createDataFrame([(i, [float(v) for v in rng.poisson(rate[i])], 80.0) for i in range(60)], "spot_id long, v array<double>, size double")
+    overlap = spark.createDataFrame([(i, i, 1.0) for i in range(60)], "spot_id long, cell_id long, frac double")
+    labels = spark.createDataFrame([(i, 0) for i in range(60)], "id long, label long")
+    feats = spark.createDataFrame([(i, [float(x[i])]) for i in range(60)], "id long, v array<double>")
+    model = asg.SpotModel(matrix, lk.count_table(10), lk.rate_grid(), 0.0, 0)
+    blocks = mo.spot_blocks(base, overlap, labels, feats)
+    low, high = mo.gene_scores(blocks, model, [np.zeros((1, 4)), np.array([[0.7, 0, 0, 0]])])
+    assert high[0] < low[0] and np.allclose(high[1:], low[1:])
+    beta, gamma = mo.sample_effects(blocks, model, iterations=24, seed=3, moves=moves)
+    assert gamma[0, 0] == 1 and 0.4 < beta[0, 0] < 1.0
+    got = {r["id"]: r["factor"] for r in mo.factors(feats, np.array([[9.0, 0, 0, 0]])).collect()}
+    assert max(f[0] for f in got.values()) == 5.0 and all(f[1] == 1.0 for f in got.values())
+
+
 # ---- models ---------------------------------------------------------------------------------------
 
 def _numeric(f, v, i, h=1e-6):

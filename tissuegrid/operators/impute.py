@@ -130,8 +130,7 @@ def impute_global(
 
 
 def zscore_vectors(counts: DataFrame, axis: DataFrame) -> DataFrame:
-    """Z-scored dense vectors; constant genes score 0 everywhere."""
-    counts = materialize(counts, "counts")
+    """Z-scored dense vectors; constant genes score 0 everywhere. Reads ``counts`` three times."""
     n = counts.agg(F.count_distinct("id")).scalar()
     moments = materialize(gene_moments(counts, n), "moments")
     safe = F.when(F.col("std") > 0, F.col("std"))

@@ -42,12 +42,13 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
-def _unit(v: np.ndarray, extra: int | None = None) -> np.ndarray:
-    """Unit rows. ``extra`` adds two axes so that a zero row keeps cosine 0 to everything."""
+def _unit(v: np.ndarray, extra: int) -> np.ndarray:
+    """Unit rows with two more axes: a zero query (0) or reference (1) gets an axis of its own.
+
+    Every row then has length one, and a zero row keeps cosine 0 to everything.
+    """
     size = np.sqrt((v * v).sum(1, keepdims=True))
     out = v / np.where(size == 0, 1.0, size)
-    if extra is None:
-        return out
     pad = np.zeros((len(v), 2))
     pad[size[:, 0] == 0, extra] = 1.0
     return np.hstack([out, pad])
@@ -120,10 +121,9 @@ def knn_join(
         raise ValueError(f"unknown metric {metric}")
     cls = F.col(by) if by else F.lit(0)
     q = queries.select("id", "v", cls.alias("cls"))
-    r = refs.select("id", "v", cls.alias("cls"))
-    head = r.limit(broadcast_rows + 1).agg(
-        F.count("*").alias("n"), F.max(F.size("v")).alias("d")
-    ).first()
+    # Computed once: its size decides the form, and either form reads it again.
+    r = materialize(refs.select("id", "v", cls.alias("cls")), "references")
+    head = r.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     small = head["n"] <= broadcast_rows and head["n"] * (head["d"] or 0) * 8 <= BROADCAST_BYTES
     if small:
         return _broadcast_knn(q, r, k, metric, exclude_self, ties)
@@ -143,7 +143,7 @@ def _broadcast_knn(q, r, k, metric, exclude_self, ties) -> DataFrame:
     groups = {}
     for c, g in table.groupby("cls", sort=False):
         v = _matrix(g["v"])
-        groups[c] = (g["id"].to_numpy(), _unit(v) if metric == "cosine" else v)
+        groups[c] = (g["id"].to_numpy(), _unit(v, 1) if metric == "cosine" else v)
     shared = q.sparkSession.sparkContext.broadcast(groups)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,7 +155,7 @@ def _broadcast_knn(q, r, k, metric, exclude_self, ties) -> DataFrame:
                 own = g["id"].to_numpy()
                 v = _matrix(g["v"])
                 for qi, ri, dist, rank in nearest(
-                    _unit(v) if metric == "cosine" else v, ref, want, metric, ties
+                    _unit(v, 0) if metric == "cosine" else v, ref, want, metric, ties
                 ):
                     out = pd.DataFrame({"query_id": own[qi], "ref_id": ids[ri],
                                         "distance": dist, "rank": rank})

@@ -38,19 +38,24 @@ def propagate(
     edges: DataFrame, mass: DataFrame, rounds: int, clamped: DataFrame | None = None, eps: float = EPS,
     normalize: bool = True,
 ) -> DataFrame:
-    """``rounds`` of neighbour sums; nodes in ``clamped`` return to their starting mass each round."""
+    """``rounds`` of neighbour sums; nodes in ``clamped`` return to their starting mass each round.
+
+    What a clamped node would receive is never used, so its incoming edges are dropped up front.
+    """
     e = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1.0))
-    e = materialize(e.select("src", "dst", "weight"), "edges")
+    e = e.select("src", "dst", "weight")
     held = None
     if clamped is not None:
         held = materialize(mass.join(clamped.select("id"), "id", "left_semi"), "clamped")
+        e = e.join(clamped.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst", "weight")
+    e = materialize(e, "edges")
     stage = None
     for i in range(rounds):
         mass = _spread(e, mass)
         if normalize:
             mass = _row_normalize(mass, eps)
         if held is not None:
-            mass = mass.join(held.select("id").distinct(), "id", "left_anti").unionByName(held)
+            mass = mass.unionByName(held)
         if (i + 1) % ROUNDS_PER_STAGE == 0 and i + 1 < rounds:
             fresh = materialize(mass, "mass")
             if stage is not None:

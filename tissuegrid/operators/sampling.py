@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tissuegrid.operators.ranking import hash_order, hash_uniform, row_numbers
-from tissuegrid.session import materialize, release
+from tissuegrid.session import materialize, release, stage_root
 
 
 def _hash_int(key: Column, seed: int) -> Column:
@@ -92,35 +94,39 @@ def farthest_points(points: DataFrame, n: int, batch: int = 4096) -> DataFrame:
 
     The rule is sequential, but many picks fit in one pass: the ``batch`` points that are now
     farthest come to the driver, and picking among them is exact for as long as the best one
-    beats every point left behind, whose distances can only shrink.
+    beats every point left behind, whose distances can only shrink. Picks are appended to a
+    stage table pass by pass, so the driver never holds more than one batch.
     """
     spark = points.sparkSession
-    id_type = points.schema["id"].dataType.simpleString()
-    first = points.orderBy("id").select("id", "v").first()
-    if first is None or n < 1:
-        return points.limit(0).select("id", F.lit(1).cast("long").alias("pick"))
-    picked, fresh = [first["id"]], np.array([first["v"]], float)
+    schema = f"id {points.schema['id'].dataType.simpleString()}, pick long"
+    path = f"{stage_root(spark)}/picks-{uuid.uuid4().hex}"
+
+    def keep(ids: list, done: int) -> None:
+        rows = [(i.item() if hasattr(i, "item") else i, done + k) for k, i in enumerate(ids, 1)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+    first = points.orderBy("id").select("id", "v").limit(1).collect() if n > 0 else []
+    keep([r["id"] for r in first], 0)
+    done, fresh = len(first), np.array([r["v"] for r in first], float)
     state = points.select("id", "v", F.lit(float("inf")).alias("gap"))
     stage = None
-    while len(picked) < n:
+    while 0 < done < n:
         shrink = _shrink_gaps(spark.sparkContext.broadcast(fresh))
         new = materialize(state.select("id", "v", shrink("v", "gap").alias("gap")), "gaps")
         if stage is not None:
             release(stage)
         state = stage = new
         top = state.orderBy(F.col("gap").desc(), "id").limit(batch).toPandas()
+        bound = top["gap"].iloc[-1] if len(top) == batch else -1.0
+        top = top.sort_values("id", kind="stable")
         ids, v, gap = top["id"].to_numpy(), np.stack(top["v"].to_numpy()), top["gap"].to_numpy().copy()
-        bound = gap[-1] if len(top) == batch else -1.0
-        by_id = np.argsort(ids, kind="stable")
-        ids, v, gap = ids[by_id], v[by_id], gap[by_id]
-        new_picks = []
-        while len(picked) < n:
+        picks: list[int] = []
+        while done + len(picks) < n:
             best = int(gap.argmax())
-            if new_picks and gap[best] <= bound:
+            if picks and gap[best] <= bound:
                 break
-            picked.append(ids[best])
-            new_picks.append(v[best])
+            picks.append(best)
             gap = np.minimum(gap, np.sqrt(((v - v[best]) ** 2).sum(1)))
-        fresh = np.array(new_picks)
-    rows = [(i.item() if hasattr(i, "item") else i, k) for k, i in enumerate(picked, 1)]
-    return spark.createDataFrame(rows, f"id {id_type}, pick long")
+        keep(list(ids[picks]), done)
+        done, fresh = done + len(picks), v[picks]
+    return spark.read.schema(schema).parquet(path)

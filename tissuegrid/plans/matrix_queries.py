@@ -428,6 +428,47 @@ def top_interactions(t):
         "pair", "score", "sender", "receiver")
 
 
+# ---- tables behind figures -----------------------------------------------------------------
+
+@query("gene_layer", f"""WITH st AS ({ST_BRAND}), d AS (SELECT s_suppkey AS id, coalesce(value, 0) AS value
+  FROM supplier LEFT JOIN st ON st.id = s_suppkey AND gene = 'Brand#12'),
+  b AS (SELECT quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM d)
+SELECT id, value, round((least(greatest(value, lo), hi) - lo) / (hi - lo), 6) AS shown FROM d, b""")
+def gene_layer(t):
+    from tissuegrid.operators.plotdata import gene_layer as layer
+    spots = t.supplier.select(F.col("s_suppkey").alias("id"))
+    return rounded(layer(vw.st_brand_counts(t), spots, "Brand#12", 0.05), "shown")
+
+
+@query("proportion_layer", f"""WITH st AS ({ST_BRAND}), sh AS (SELECT id, gene, value / sum(value) OVER (PARTITION BY id) AS share FROM st)
+SELECT s_suppkey AS id, n_name AS region, gene, round(share, 6) AS share FROM supplier JOIN nation ON n_nationkey = s_nationkey
+LEFT JOIN sh ON sh.id = s_suppkey WHERE n_name = (SELECT min(n_name) FROM nation JOIN supplier ON s_nationkey = n_nationkey)""")
+def proportion_layer(t):
+    from tissuegrid.operators.plotdata import proportion_layer as layer
+    counts = vw.shared(vw.st_brand_counts(t))
+    shares = nz.fraction_scale(counts, 1.0).withColumnRenamed("value", "share")
+    spots = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select(
+        F.col("s_suppkey").alias("id"), F.col("n_name").alias("region"))
+    first = spots.agg(F.min("region")).scalar()
+    return rounded(layer(spots.withColumn("_first", first).where("region = _first").drop("_first"), shares), "share").select(
+        "id", "region", "gene", "share")
+
+
+@query("cell_layer", """SELECT vec_id AS id, CASE WHEN label IN (2, 5) THEN label END AS label FROM embeddings
+WHERE embedding[1] > -0.2 AND embedding[1] < 0.15 AND embedding[2] > -0.1 AND embedding[2] < 0.3""")
+def cell_layer(t):
+    from tissuegrid.operators.plotdata import cell_layer as layer
+    return layer(vw.cells(t), "label", [2, 5], (-0.2, 0.15, -0.1, 0.3)).select("id", "label")
+
+
+@query("binary_assignment", """SELECT DISTINCT l_suppkey AS spot_id, o_custkey AS cell_id, 1.0::DOUBLE AS frac
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def binary_assignment(t):
+    from tissuegrid.operators.spots import binary_assignment as assign
+    return assign(t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("l_suppkey").alias("spot_id"), F.col("o_custkey").alias("cell_id")))
+
+
 # ---- sampling ------------------------------------------------------------------------------
 
 @query("sample_per_class", f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY cell_type ORDER BY md5('7:' || id::VARCHAR), id) AS rn

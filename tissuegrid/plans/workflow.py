@@ -351,7 +351,8 @@ def enhance_from_image(
     subclass_map: DataFrame | None = None, k: int = 50, normalize_measured: bool = False, out: str | None = None,
 ) -> DataFrame:
     """Image mode: search in the shared reconstruction space; measured genes keep their values."""
-    sc, st = nz.log_per_million(reference.counts), nz.log_to_median(spatial.counts)
+    sc = materialize(nz.log_per_million(reference.counts), "sc")
+    st = materialize(nz.log_to_median(spatial.counts), "st")
     q = cvae.reconstruct(impute.zscore_vectors(st, axis), model, "st")
     r = cvae.reconstruct(impute.zscore_vectors(sc, axis), model, "sc")
     predicted = impute.impute_from_image(

@@ -63,7 +63,12 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    # Progress shows up under the stage's name in the job list.
+    spark.sparkContext.setJobDescription(f"tissuegrid: {label}")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.sparkContext.setJobDescription(None)
     return spark.read.schema(df.schema).parquet(path)
 
 
