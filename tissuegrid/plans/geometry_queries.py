@@ -151,21 +151,21 @@ def hull_shape_features(t):
 
 
 @query("inside_spot_hull", """WITH c AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
-  pt AS (SELECT x, y FROM c WHERE id % 5 = 0), pr AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM pt a, pt b WHERE a.x <> b.x OR a.y <> b.y),
+  pt AS (SELECT 0.7 * x AS x, 0.7 * y AS y FROM c), pr AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM pt a, pt b WHERE a.x <> b.x OR a.y <> b.y),
   hu AS (SELECT pr.* FROM pr WHERE NOT EXISTS (SELECT 1 FROM pt WHERE (x2 - x1) * (pt.y - y1) - (y2 - y1) * (pt.x - x1) < 0))
 SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM hu WHERE (x2 - x1) * (c.y - y1) - (y2 - y1) * (c.x - x1) < 0)""")
 def inside_spot_hull(t):
     cells = vw.cells(t).select("id", "x", "y")
-    return ge.inside_hull(cells, cells.where("id % 5 = 0")).select("id")
+    return ge.inside_hull(cells, cells.select((0.7 * F.col("x")).alias("x"), (0.7 * F.col("y")).alias("y"))).select("id")
 
 
 @query("tissue_mask_filter", """WITH c AS (SELECT l_orderkey AS id, l_linenumber AS line, l_extendedprice / 40 AS x, l_orderkey % 1500 + 0.5 AS y FROM lineitem),
-  pa AS (SELECT DISTINCT (s_suppkey * 37 % 2000)::BIGINT AS qx, (s_suppkey * 91 % 1200)::BIGINT AS qy FROM supplier WHERE s_suppkey % 3 = 0)
+  pa AS (SELECT DISTINCT (s_suppkey * 37 % 2000)::BIGINT AS qx, (s_suppkey * 91 % 1200)::BIGINT AS qy FROM supplier)
 SELECT id, line FROM c WHERE EXISTS (SELECT 1 FROM pa WHERE round_even(x, 0) BETWEEN qx AND qx + 255 AND round_even(y, 0) BETWEEN qy AND qy + 255)""")
 def tissue_mask_filter(t):
     cells = t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"),
                               (F.col("l_extendedprice") / 40).alias("x"), (F.col("l_orderkey") % 1500 + 0.5).alias("y"))
-    patches = t.supplier.where("s_suppkey % 3 = 0").select(
+    patches = t.supplier.select(
         (F.col("s_suppkey") * 37 % 2000).alias("x"), (F.col("s_suppkey") * 91 % 1200).alias("y"))
     return ge.in_tissue(cells, patches).select("id", "line")
 

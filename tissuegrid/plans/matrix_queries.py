@@ -280,14 +280,14 @@ def bulk_design(t):
 
 
 @query("overlap_weighted_mean", f"""WITH ov AS (SELECT l_suppkey AS spot_id, o_custkey AS cell_id, sum(l_discount) AS frac
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING sum(l_discount) > 0.001),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING sum(l_discount) > 0),
   sc AS ({SC_BRAND}), tt AS (SELECT spot_id, sum(frac) AS total FROM ov GROUP BY 1)
 SELECT ov.spot_id, gene, round(sum(frac * value) / any_value(total), 6) AS value
 FROM ov JOIN sc ON sc.id = cell_id JOIN tt ON tt.spot_id = ov.spot_id GROUP BY 1, 2""")
 def overlap_weighted_mean(t):
     ov = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
         F.col("l_suppkey").alias("spot_id"), F.col("o_custkey").alias("cell_id")
-    ).agg(F.sum("l_discount").alias("frac")).where("frac > 0.001")
+    ).agg(F.sum("l_discount").alias("frac")).where("frac > 0")
     values = vw.sc_brand_counts(t).withColumnRenamed("id", "cell_id")
     return rounded(mx.overlap_mean(ov, values), "value")
 
@@ -347,11 +347,10 @@ def roi_filter(t):
     return in_box(vw.cells(t), -0.1, 0.1, -0.05, 0.2).select("id", "x", "y")
 
 
-@query("slice_filter", """SELECT vec_id AS id, 's' || (vec_id % 7)::VARCHAR AS slice_id FROM embeddings
-WHERE vec_id % 7 IN (1, 3)""")
+@query("slice_filter", """SELECT event_id AS id, event_type AS slice_id FROM events WHERE event_type IN ('click', 'view')""")
 def slice_filter(t):
-    cells = vw.cells(t).select("id", F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("slice_id"))
-    return cells.where(F.col("slice_id").isin("s1", "s3"))
+    return t.events.where(F.col("event_type").isin("click", "view")).select(
+        F.col("event_id").alias("id"), F.col("event_type").alias("slice_id"))
 
 
 @query("label_subset", """SELECT vec_id AS id, CASE WHEN label IN (1, 4, 7) THEN label END AS label FROM embeddings""")
@@ -411,17 +410,17 @@ def natural_sort(t):
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
   sp AS (SELECT pair, score, split_part(pair, '/', 1)::BIGINT AS a, split_part(pair, '/', 2)::BIGINT AS b FROM lr)
 SELECT pair, round(score, 4) AS score, n_name AS sender, c_mktsegment AS receiver FROM sp
-JOIN supplier ON s_suppkey = a JOIN nation ON n_nationkey = s_nationkey JOIN customer ON c_custkey = b
-WHERE c_mktsegment = 'MACHINERY' AND s_nationkey % 2 = 0
+JOIN supplier ON s_suppkey = a JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey JOIN customer ON c_custkey = b
+WHERE c_mktsegment = 'MACHINERY' AND r_name = 'ASIA'
 ORDER BY sp.score DESC, pair LIMIT 100""")
 def top_interactions(t):
     from tissuegrid.operators.plotdata import top_interactions as top
     scores = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
         F.concat_ws("/", F.col("l_suppkey").cast("string"), F.col("o_custkey").cast("string")).alias("pair")
     ).agg(F.sum("l_extendedprice").alias("score"))
-    senders = t.supplier.where("s_nationkey % 2 = 0").join(
-        t.nation, F.col("s_nationkey") == F.col("n_nationkey")
-    ).select(F.col("s_suppkey").cast("string").alias("cell"), F.col("n_name").alias("sender"))
+    asia = t.nation.join(t.region.where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    senders = t.supplier.join(asia, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").cast("string").alias("cell"), F.col("n_name").alias("sender"))
     receivers = t.customer.where("c_mktsegment = 'MACHINERY'").select(
         F.col("c_custkey").cast("string").alias("cell"), F.col("c_mktsegment").alias("receiver"))
     return rounded(top(scores, senders, receivers, 100), "score", digits=4).select(

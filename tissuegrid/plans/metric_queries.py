@@ -126,22 +126,22 @@ def argmax_label_accuracy(t):
 
 
 @query("region_raster_join", f"""WITH {BASE},
-  mk AS (SELECT l_quantity::BIGINT AS px, l_linenumber::BIGINT AS py,
+  mk AS (SELECT floor(l_extendedprice / 1000)::BIGINT AS px, l_suppkey AS py,
     CASE l_returnflag WHEN 'A' THEN 'AFRICA' WHEN 'N' THEN 'ASIA' ELSE 'EUROPE' END AS domain,
-    CASE l_returnflag WHEN 'A' THEN 2 WHEN 'N' THEN 1 ELSE 0 END AS rk FROM lineitem WHERE l_discount = 0.03),
+    CASE l_returnflag WHEN 'A' THEN 2 WHEN 'N' THEN 1 ELSE 0 END AS rk FROM lineitem),
   px AS (SELECT px, py, arg_min(domain, rk) AS y_true FROM mk GROUP BY 1, 2),
-  lc AS (SELECT domain AS y_pred, trunc((o_custkey % 600) / 8.0 * 0.8)::BIGINT AS px, trunc((o_orderkey % 90) / 8.0 * 0.8)::BIGINT AS py
+  lc AS (SELECT domain AS y_pred, trunc((o_custkey % 600) / 4.0 * 0.8)::BIGINT AS px, trunc((o_orderkey % 130) * 0.8)::BIGINT AS py
     FROM orders JOIN dl ON label = o_orderpriority)
 SELECT coalesce(y_true, 'other') AS y_true, y_pred, count(*) AS n FROM lc LEFT JOIN px USING (px, py) GROUP BY 1, 2""")
 def region_raster_join(t):
     flag = F.col("l_returnflag")
-    mask = t.lineitem.where("l_discount = 0.03").select(
-        F.col("l_quantity").cast("long").alias("px"), F.col("l_linenumber").cast("long").alias("py"),
+    mask = t.lineitem.select(
+        F.floor(F.col("l_extendedprice") / 1000).alias("px"), F.col("l_suppkey").alias("py"),
         F.when(flag == "A", "AFRICA").when(flag == "N", "ASIA").otherwise("EUROPE").alias("domain"),
         F.when(flag == "A", 2).when(flag == "N", 1).otherwise(0).alias("domain_rank"))
     cells = t.orders.select(F.col("o_orderpriority").alias("label"),
-                            ((F.col("o_custkey") % 600) / 8.0).alias("x"),
-                            ((F.col("o_orderkey") % 90) / 8.0).alias("y"))
+                            ((F.col("o_custkey") % 600) / 4.0).alias("x"),
+                            (F.col("o_orderkey") % 130).alias("y"))
     return mt.contingency(mt.pairs_from_mask(cells, mask, _domains(t), 0.8))
 
 

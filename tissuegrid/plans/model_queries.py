@@ -161,14 +161,16 @@ def potts_prior(t):
     return rounded(asg.potts_prior(_edges(t), cells, every, 10.0), "prior")
 
 
-@query("smooth_prior", f"""WITH {NBR}, f AS (SELECT min(dst) AS other FROM ed WHERE src = 0)
-SELECT round(exp(-10.0 * sum(CASE WHEN CASE WHEN e.id = other THEN 3 ELSE label END <> 2 THEN w ELSE 0 END) / count(*)), 9) AS prior
-FROM ed JOIN e ON e.id = dst, f WHERE src = 0""")
+@query("smooth_prior", f"""WITH {NBR}, f AS (SELECT src AS id, min(dst) AS other FROM ed GROUP BY 1)
+SELECT f.id, f.other, round(-10.0 * sum(CASE WHEN CASE WHEN e.id = f.other THEN 3 ELSE label END <> 2 THEN w ELSE 0 END) / count(*), 6) + 0.0 AS prior
+FROM f JOIN ed ON src = f.id JOIN e ON e.id = dst GROUP BY 1, 2""")
 def smooth_prior(t):
+    """Log prior of every cell for one candidate, with its first neighbour imagined relabelled."""
     cells = vw.cells(t).select("id", F.col("label").cast("long").alias("label"))
     edges = materialize(_edges(t), "edges")
-    other = edges.where("src = 0").agg(F.min("dst")).first()[0]
-    return rounded(asg.smooth_prior(edges, cells, 0, 2, other, 3, 10.0), "prior", digits=9)
+    asks = edges.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("other")).select(
+        "id", "other", F.lit(2).alias("candidate"), F.lit(3).alias("other_label"))
+    return rounded(asg.smooth_prior(edges, cells, asks, 10.0, log=True).select("id", "other", "prior"), "prior")
 
 
 @query("morphology_factor", """WITH b AS (SELECT i - 1 AS feature, p_brand AS gene, sin((i * length(p_brand) + ascii(substr(p_brand, 7, 1)))::DOUBLE) AS beta

@@ -160,13 +160,13 @@ def softmax_attention(t):
 
 def _lpa_sql(rounds: int, tail: str) -> str:
     steps = [f"""WITH {E}, nn AS {_near_sql(10, D2)}, ed AS ({SYM}),
-  cl AS (SELECT unnest(range(0, 10)) AS label), tr AS (SELECT id, label FROM e WHERE id % 3 = 0),
+  cl AS (SELECT unnest(range(0, 10)) AS label), tr AS (SELECT id, label FROM e WHERE z > 0),
   p0 AS (SELECT id, label, 1.0::DOUBLE AS p FROM tr UNION ALL
-         SELECT e.id, cl.label, 0.1::DOUBLE FROM e, cl WHERE e.id % 3 <> 0)"""]
+         SELECT e.id, cl.label, 0.1::DOUBLE FROM e, cl WHERE e.z <= 0)"""]
     for i in range(rounds):
         steps.append(f"""s{i} AS (SELECT src AS id, label, sum(p) AS p FROM ed JOIN p{i} ON p{i}.id = dst GROUP BY 1, 2),
   n{i} AS (SELECT id, label, p / (sum(p) OVER (PARTITION BY id) + 1e-12) AS p FROM s{i}),
-  p{i + 1} AS MATERIALIZED (SELECT * FROM n{i} WHERE id % 3 <> 0 UNION ALL SELECT id, label, 1.0::DOUBLE FROM tr)""")
+  p{i + 1} AS MATERIALIZED (SELECT * FROM n{i} WHERE id NOT IN (SELECT id FROM tr) UNION ALL SELECT id, label, 1.0::DOUBLE FROM tr)""")
     last = f"""lb AS (SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY round(p, 12) DESC, label) AS rn
   FROM p{rounds}) WHERE rn = 1)"""
     return ",\n  ".join([*steps, last]) + tail.format(last=f"p{rounds}")
@@ -175,8 +175,8 @@ def _lpa_sql(rounds: int, tail: str) -> str:
 def _lpa_inputs(t):
     c = vw.cells(t).withColumn("label", F.col("label").cast("long"))
     edges = gr.knn_edges(c, ["x", "y"], 10)
-    known = c.where("id % 3 = 0").select("id", "label")
-    free = c.where("id % 3 <> 0").select("id")
+    known = c.where("z > 0").select("id", "label")
+    free = c.where("z <= 0").select("id")
     mass = lp.one_hot_mass(known).unionByName(
         lp.uniform_mass(free, t.spark.range(10).withColumnRenamed("id", "label")))
     return c, edges, known, mass
@@ -199,7 +199,7 @@ def lpa_labels(t):
   zl AS (SELECT id, i, (v[i] - m) / s AS z FROM e, unnest(range(1, 65)) AS r(i) JOIN zs USING (i)),
   sz AS (SELECT id, list(z ORDER BY i) AS z FROM zl GROUP BY 1),
   vt AS (SELECT query_id AS id, lb.label, sum(exp(list_dot_product(a.z, b.z) / (sqrt(list_dot_product(a.z, a.z)) * sqrt(list_dot_product(b.z, b.z)) + 1e-10))) AS w
-    FROM nn JOIN lb ON lb.id = ref_id JOIN sz a ON a.id = query_id JOIN sz b ON b.id = ref_id WHERE query_id % 3 <> 0 GROUP BY 1, 2),
+    FROM nn JOIN lb ON lb.id = ref_id JOIN sz a ON a.id = query_id JOIN sz b ON b.id = ref_id WHERE query_id NOT IN (SELECT id FROM tr) GROUP BY 1, 2),
   nw AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(w, 10) DESC, label) AS rn FROM vt) WHERE rn = 1)
 SELECT lb.id, coalesce(nw.label, lb.label)::BIGINT AS label FROM lb LEFT JOIN nw ON nw.id = lb.id"""))
 def lpa_likelihood_refine(t):
@@ -234,7 +234,7 @@ def lpa_smooth_slices(t):
 def _conv_sql(rounds: int) -> str:
     steps = [f"""WITH {E}, nn AS {_near_sql(10, D2)}, eu AS ({SYM}), dg AS (SELECT src AS id, count(*) AS d FROM eu GROUP BY 1),
   ed AS (SELECT src, dst, 1 / sqrt(a.d * b.d) AS w FROM eu JOIN dg a ON a.id = src JOIN dg b ON b.id = dst),
-  p0 AS (SELECT id, label, 1.0::DOUBLE AS p FROM e WHERE id % 3 = 0)"""]
+  p0 AS (SELECT id, label, 1.0::DOUBLE AS p FROM e WHERE z > 0)"""]
     for i in range(rounds):
         steps.append(f"p{i + 1} AS MATERIALIZED (SELECT src AS id, label, sum(w * p) AS p FROM ed JOIN p{i} ON p{i}.id = dst GROUP BY 1, 2)")
     return ",\n  ".join(steps) + f"\nSELECT id, label::BIGINT AS label, round(p, 6) AS p FROM p{rounds}"
@@ -380,10 +380,10 @@ def farthest_point_sampling(t):
 
 @query("attention_labels")
 def attention_labels(t):
-    """Graph attention fill-up over all cells; a third is labelled, few epochs keep the check quick."""
+    """Graph attention fill-up over all cells; those on one side are labelled, few epochs keep the check quick."""
     from tissuegrid.operators import gat
     c = gat.with_order(vw.cells(t))
-    nodes = c.select("id", "order", "v", F.when(F.col("id") % 3 == 0, F.col("label")).alias("label"))
+    nodes = c.select("id", "order", "v", F.when(F.col("z") > 0, F.col("label")).alias("label"))
     edges = gr.knn_edges(vw.cells(t), ["x", "y"], 10)
     return gat.fill_labels(nodes, edges, 10, gat.GatConfig(hidden=16, epochs=5, block_nodes=128))[0]
 
