@@ -84,3 +84,31 @@ def test_adaptation_and_attention_fill(spark, slide):
     assert found.all_labels.count() == 75
     kept = found.all_labels.join(found.labels.select("id", F.col("label").alias("own")), "id")
     assert kept.where("label <> own").count() == 0
+
+
+def test_image_mode_enhancement_keeps_measured_genes(spark, slide):
+    measured = slide["counts"].where("gene < 'g2'")
+    axis = wf.impute.gene_axis(measured)
+    config = cvae.CvaeConfig(epochs=2, samples=120)
+    ref = slide["ref"]
+    model, _, _ = cvae.adapt_domains(
+        wf.nz.fraction_scale(measured), wf.nz.fraction_scale(ref.counts.join(axis, "gene", "left_semi").drop("ix")), axis, 3, config)
+    labels = slide["spots"].select("id", F.when(F.col("x") < 150, "A").otherwise("unseen").alias("cell_type"))
+    got = wf.enhance_from_image(wf.Spatial(measured, slide["spots"]), ref, labels, model, axis, k=8)
+    kept = got.join(measured.withColumnRenamed("value", "raw"), ["id", "gene"])
+    assert kept.count() == measured.count() and kept.where("value <> raw").count() == 0
+    assert got.where("gene >= 'g2'").count() > 0 and got.where("value < 0").count() == 0
+
+
+def test_transfer_between_sections(spark):
+    rng = np.random.default_rng(2)
+    rows, feats = [], []
+    for i in range(90):
+        kind = i % 2
+        rows.append((i, i // 30, float(rng.normal() + 6 * kind), float(rng.normal()), float(i // 30), 0, kind))
+        feats += [(i, "f1", float(kind + 0.1 * rng.normal())), (i, "f2", float(rng.normal()))]
+    cells = spark.createDataFrame(rows, "id long, section int, x double, y double, z double, label int, cell_type int")
+    features = spark.createDataFrame(feats, "id long, feature string, value double")
+    out = wf.transfer_sections(cells, features, [0], {0: [1, 2]}, gat.GatConfig(hidden=8, epochs=12, lr=0.05, dropout=0.0, block_nodes=32), 2, 6)
+    both = out.withColumnRenamed("label", "got").join(cells, "id")
+    assert both.count() == 90 and both.where("got = cell_type").count() > 75

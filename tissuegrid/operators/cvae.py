@@ -22,6 +22,7 @@ from tissuegrid.session import materialize, spread
 
 BN_EPS = 1e-5
 BN_MOMENTUM = 0.1
+TASK_ROWS = 256
 
 
 @dataclass
@@ -193,12 +194,22 @@ def scaled(v: np.ndarray, scale, top: float, log: bool) -> np.ndarray:
     return ((np.log1p(v) if log else v) - scale[0]) / scale[1] * top
 
 
+def vector_scale(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Lower end and width per position of dense vectors."""
+    rows = vectors.select(F.posexplode("v").alias("ix", "value")).groupBy("ix").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi")).orderBy("ix").toPandas()
+    lo, hi = rows["lo"].to_numpy(float), rows["hi"].to_numpy(float)
+    return lo, np.where(hi > lo, hi - lo, 1.0)
+
+
 # ---- training and use ----------------------------------------------------------------------------
 
 def train(rows: DataFrame, model: Cvae) -> Cvae:
     c = model.config
-    n_steps = max(1, -(-rows.count() // c.batch))
-    base = materialize(spread(rows, "key"), "rows")
+    n_rows = rows.count()
+    n_steps = max(1, -(-n_rows // c.batch))
+    # Batch statistics need enough rows per task and step.
+    base = materialize(spread(rows, "key", at_most=n_rows // (TASK_ROWS * n_steps)), "rows")
     opt = Adam(c.lr, pack(model.params).size)
     spark = rows.sparkSession
     for epoch in range(c.epochs):

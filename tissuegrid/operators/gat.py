@@ -188,7 +188,7 @@ def train(blocks: DataFrame, n_classes: int, config: GatConfig | None = None) ->
     spark = blocks.sparkSession
     p = new_params(blocks.first()["width"], n_classes, c)
     opt, losses = Adam(c.lr, pack(p).size), []
-    blocks = materialize(spread(blocks, "block"), "blocks")
+    blocks = materialize(spread(blocks, "block", at_most=blocks.count()), "blocks")
     for epoch in range(c.epochs):
         shared = spark.sparkContext.broadcast(p)
 

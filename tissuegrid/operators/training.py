@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MERGE_WIDTH = 8
+# Widths of the merge stages; the wide one only pays on clusters with many tasks.
+WIDE_MERGE, MERGE_WIDTH = 256, 8
+WIDE_ABOVE = 64
 
 
 def pack(params: dict[str, np.ndarray]) -> np.ndarray:
@@ -43,8 +45,12 @@ def summed(df: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarra
     def merge(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"g": [sum(np.frombuffer(b) for b in g["g"]).tobytes()]})
 
-    parts = df.mapInPandas(partial, "g binary").withColumn("_slot", F.spark_partition_id() % MERGE_WIDTH)
-    rows = parts.groupBy("_slot").applyInPandas(merge, "g binary").collect()
+    parts = df.mapInPandas(partial, "g binary")
+    wide = df.sparkSession.sparkContext.defaultParallelism > WIDE_ABOVE
+    for width in (WIDE_MERGE, MERGE_WIDTH) if wide else (MERGE_WIDTH,):
+        # Partition numbers follow the slots of the stage before, so each stage merges evenly.
+        parts = parts.withColumn("_slot", F.spark_partition_id() % width).groupBy("_slot").applyInPandas(merge, "g binary")
+    rows = parts.collect()
     if not rows:
         raise ValueError("no rows to train on")
     return sum(np.frombuffer(bytes(r["g"])) for r in rows)

@@ -350,11 +350,17 @@ def enhance_from_image(
     spatial: Spatial, reference: Reference, labels: DataFrame, model: cvae.Cvae, axis: DataFrame,
     subclass_map: DataFrame | None = None, k: int = 50, normalize_measured: bool = False, out: str | None = None,
 ) -> DataFrame:
-    """Image mode: search in the shared reconstruction space; measured genes keep their values."""
+    """Image mode: search in the shared reconstruction space; measured genes keep their values.
+
+    ``model`` is a trained autoencoder over ``axis``; its input scaling is refitted on the z-scores.
+    """
     sc = materialize(nz.log_per_million(reference.counts), "sc")
     st = materialize(nz.log_to_median(spatial.counts), "st")
-    q = cvae.reconstruct(impute.zscore_vectors(st, axis), model, "st")
-    r = cvae.reconstruct(impute.zscore_vectors(sc, axis), model, "sc")
+    zq = materialize(impute.zscore_vectors(st, axis), "zscores")
+    zr = materialize(impute.zscore_vectors(sc, axis), "zscores")
+    model = replace(model, config=replace(model.config, log=False),
+                    scale_st=cvae.vector_scale(zq), scale_sc=cvae.vector_scale(zr))
+    q, r = cvae.reconstruct(zq, model, "st"), cvae.reconstruct(zr, model, "sc")
     predicted = impute.impute_from_image(
         q, labels.select("id", "cell_type"), r, reference.types, sc, subclass_map, k)
     measured = st if normalize_measured else spatial.counts

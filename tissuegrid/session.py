@@ -82,11 +82,13 @@ def release(df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, at_most: int | None = None) -> DataFrame:
     """Even out rows whose cost lies in computing, not in bytes, over all cores.
 
     A fixed count keeps the adaptive planner from merging the small partitions again.
     """
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if at_most is not None:
+        n = max(1, min(n, at_most))
     return df.repartition(n, *keys)
