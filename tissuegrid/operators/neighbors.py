@@ -63,11 +63,14 @@ def _squared(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return np.maximum((q * q).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2 * (q @ r.T), 0.0)
 
 
-def nearest(q: np.ndarray, r: np.ndarray, k: int, metric: str, ties: bool = False):
+def nearest(q: np.ndarray, r: np.ndarray, k: int, metric: str, ties: bool = False,
+            limit: np.ndarray | None = None):
     """Per query row the ``k`` first reference rows by (rounded distance, position).
 
     Yields ``(query position, reference position, distance, rank)`` arrays per slice. Distances
     of the finalists are recomputed pairwise, so the fast product form only preselects.
+    ``limit`` is an upper bound of each query's k-th Euclidean distance over all references; where
+    it leaves few candidates it saves the partial sort.
     """
     if not len(r) or not len(q):
         return
@@ -76,7 +79,10 @@ def nearest(q: np.ndarray, r: np.ndarray, k: int, metric: str, ties: bool = Fals
     for start in range(0, len(q), step):
         part = q[start:start + step]
         d2 = _squared(part, r)
-        if len(r) > k:
+        close = None if limit is None else d2 <= (limit[start:start + step] ** 2)[:, None]
+        if close is not None and np.count_nonzero(close) <= 4 * k * len(part):
+            qi, ri = np.nonzero(close)
+        elif len(r) > k:
             kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
             slack = 1e-9 * (1.0 + kth + rmax + (part * part).sum(1))
             qi, ri = np.nonzero(d2 <= (kth + slack)[:, None])
@@ -92,9 +98,10 @@ def nearest(q: np.ndarray, r: np.ndarray, k: int, metric: str, ties: bool = Fals
         first = np.searchsorted(qi, np.arange(len(part)))
         rank = np.arange(len(qi)) - first[qi]
         keep = rank < k
-        if ties:
-            last = dist[np.minimum(first + k - 1, len(dist) - 1)]
-            keep |= dist <= last[qi]
+        if ties and len(dist):
+            # Position of the k-th entry of each query; queries without k entries keep all.
+            at = np.minimum(first + k - 1, len(dist) - 1)
+            keep |= dist <= dist[at][qi]
         yield qi[keep] + start, ri[keep], dist[keep], rank[keep] + 1
 
 
@@ -190,7 +197,9 @@ def _blocked_knn(q, r, k, metric, exclude_self, ties, dim, block_rows) -> DataFr
 
     sizes = locs.agg(F.count("*").alias("n"), F.count_distinct("cls").alias("c")).first()
     per_pivot = 8 * (dim + 2 + sizes["c"] * (want + 3))
-    n_pivots = max(1, min(math.ceil(sizes["n"] / block_rows), MAX_PIVOTS, PIVOT_BYTES // per_pivot))
+    # About a quarter block of locations per pivot and class: fine enough to prune, few groups.
+    wanted = math.ceil(4 * sizes["n"] / (block_rows * max(sizes["c"], 1)))
+    n_pivots = max(1, min(wanted, MAX_PIVOTS, PIVOT_BYTES // per_pivot))
     picked = locs.orderBy(F.xxhash64("v"), "loc").select("v").limit(n_pivots).toPandas()
     pivots = _matrix(picked["v"])
     pivots = spark.sparkContext.broadcast(_unit(pivots, 1) if metric == "cosine" else pivots)
@@ -286,8 +295,9 @@ def _blocked_knn(q, r, k, metric, exclude_self, ties, dim, block_rows) -> DataFr
         locs_part = locs_part.sort_values("loc", kind="stable")
         loc, ask, bound = (x.to_numpy() for x in (locs_part["loc"], asks_part["ask"], asks_part["bound"]))
         found = []
+        limit = np.sqrt(2 * bound) if metric == "cosine" else bound
         for qi, ri, dist, _ in nearest(
-                place(_matrix(asks_part["v"]), 0), place(_matrix(locs_part["v"]), 1), want, metric, ties):
+                place(_matrix(asks_part["v"]), 0), place(_matrix(locs_part["v"]), 1), want, metric, ties, limit * (1 + 1e-9)):
             near = dist <= bound[qi]
             found.append(pd.DataFrame({"ask": ask[qi[near]], "loc": loc[ri[near]], "distance": dist[near]}))
         return pd.concat(found) if found else pd.DataFrame(columns=["ask", "loc", "distance"])
