@@ -174,7 +174,7 @@ def fit_spots(
                                 "n_iter": list(n), "converged": list(ok)})
 
     key = f"id {spots.schema['id'].dataType.simpleString()}"
-    return spread(spots, "id").mapInPandas(fit, f"{key}, n_umi double, weights array<double>, n_iter int, converged boolean")
+    return spread(spots, "id", rows=64).mapInPandas(fit, f"{key}, n_umi double, weights array<double>, n_iter int, converged boolean")
 
 
 def long_weights(fitted: DataFrame, types: list[str]) -> DataFrame:
@@ -209,7 +209,8 @@ def score_sigmas(entries: DataFrame, sigmas) -> DataFrame:
                 for s, table in packed.items() for m in MULTIPLIERS
             ], columns=["sigma", "mult", "nll"])
 
-    part = spread(entries.select(F.col("x").cast("double"), F.col("y").cast("double"))).mapInPandas(
+    pairs = entries.select(F.col("x").cast("double"), F.col("y").cast("double"))
+    part = spread(pairs, rows=20_000).mapInPandas(
         score, "sigma int, mult double, nll double")
     return part.groupBy("sigma", "mult").agg(F.sum("nll").alias("nll")).groupBy("sigma").agg(
         F.min("nll").alias("score"))

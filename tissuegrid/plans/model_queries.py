@@ -102,7 +102,7 @@ def negative_log_likelihood(t):
 def sigma_scores(t):
     """Best-multiplier likelihood over the sigma window."""
     entries = _entries(t).withColumn("ix", F.xxhash64("gene"))
-    return rounded(dc.score_sigmas(dc.sample_entries(entries), dc.sigma_window(100)), "score", digits=3)
+    return rounded(dc.score_sigmas(vw.shared(dc.sample_entries(entries)), dc.sigma_window(100)), "score", digits=3)
 
 
 # ---- deconvolution -----------------------------------------------------------------------------

@@ -82,13 +82,17 @@ def release(df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def spread(df: DataFrame, *keys: str, at_most: int | None = None) -> DataFrame:
+def spread(df: DataFrame, *keys: str, at_most: int | None = None, rows: int | None = None) -> DataFrame:
     """Even out rows whose cost lies in computing, not in bytes, over all cores.
 
-    A fixed count keeps the adaptive planner from merging the small partitions again.
+    A fixed count keeps the adaptive planner from merging the small partitions again. ``rows``
+    asks for that many rows per task, but never for fewer tasks than cores; it counts the rows
+    first, so pass a stored frame. ``at_most`` limits the tasks outright.
     """
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if rows is not None:
+        n = min(n, max(spark.sparkContext.defaultParallelism, df.count() // rows))
     if at_most is not None:
         n = max(1, min(n, at_most))
     return df.repartition(n, *keys)
