@@ -18,7 +18,7 @@ from tissuegrid.operators.impute import dense_vectors, gene_axis
 from tissuegrid.operators.ranking import hash_order
 from tissuegrid.session import materialize, spread
 
-STEP = 0.3
+DAMPING = 0.3
 CURVATURE_FLOOR = 1e-3
 RIDGE = 1e-7
 START_SIGMA = 100
@@ -87,7 +87,7 @@ def fit_one(
         d = (vectors * (values / scale)) @ vectors.T + RIDGE * np.eye(n)
         target = pull / scale + d @ w
         u = _on_simplex(d, target) if constrain else nonnegative_quadratic(d, target)
-        step = STEP * (u - w)
+        step = DAMPING * (u - w)
         w = w + step
         if np.abs(step).sum() <= tol:
             return w, i, True
