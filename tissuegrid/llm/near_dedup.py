@@ -1,0 +1,272 @@
+"""Near-duplicate groups: one-permutation MinHash, banded buckets, star-shaped candidate edges.
+
+1. Every text becomes its set of word shingles. One hash of each shingle fills ``BANDS * ROWS`` bins
+   (one-permutation hashing); an empty bin borrows from the first filled bin in a random order of
+   its own (optimal densification). Texts with equal sets are folded into one representative.
+2. Bands of ``ROWS`` bins give buckets. In a bucket every member is paired with the bucket's hub
+   only, the member that shares buckets with the most texts, so a group of n texts gives n pairs.
+3. Pairs whose signatures agree enough are confirmed on full shingle sets.
+4. A star can miss a link between two members that are both unlike the hub. Buckets that still hold
+   several components are therefore compared once more across components, in blocks of bounded
+   size inside tasks, first for the most alike pair of each member and component, then, for what is
+   still apart, for all of them. Only pairs whose signatures agree come out, and all are confirmed.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tissuegrid.llm.common import connected, materialize, release
+from tissuegrid.llm.textarrays import SPACE, Words, batches, byte_table
+
+WIDTH = 5
+#: Links: 100 * intersection >= PERCENT * union.
+PERCENT = 75
+#: At a similarity of 0.75 a pair shares no bucket with probability (1 - 0.75**5)**48 = 2e-6.
+BANDS, ROWS = 48, 5
+#: Standard deviations below the threshold down to which signatures count as alike.
+SLACK = 4.5
+#: Members of a bucket per block when components are compared.
+BLOCK = 1000
+
+_SETS = "doc_id long, n_shingles long, set_a long, set_b long, bands array<int>, signature binary"
+
+
+def _least_agreement(percent: int, bins: int) -> int:
+    p = percent / 100
+    return max(1, int(np.floor(p * bins - SLACK * np.sqrt(bins * p * (1 - p)))))
+
+
+class Signer:
+    """One-permutation signatures of sorted distinct 64-bit hashes."""
+
+    def __init__(self, bands: int, rows: int):
+        self.bands, self.rows, self.k = bands, rows, bands * rows
+        width = (1 << 64) // self.k
+        self.bounds = np.arange(self.k, dtype=np.uint64) * np.uint64(width)
+        rng = np.random.Generator(np.random.PCG64(7))
+        # For each bin an order of all bins in which it looks for a filled one.
+        self.order = np.argsort(rng.random((self.k, self.k)), axis=1)
+        self.salt = rng.integers(1, 1 << 62, size=self.rows, dtype=np.uint64) | np.uint64(1)
+
+    def bins(self, values: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(values, self.bounds)
+        end = np.append(at[1:], len(values))
+        filled = at < end
+        least = np.where(filled, values[np.minimum(at, len(values) - 1)], np.uint64(0))
+        empty = np.flatnonzero(~filled)
+        if len(empty):
+            order = self.order[empty]
+            least[empty] = least[order[np.arange(len(empty)), filled[order].argmax(axis=1)]]
+        return least
+
+    def __call__(self, values: np.ndarray) -> tuple[np.ndarray, bytes]:
+        least = self.bins(values)
+        band = (least.reshape(self.bands, self.rows) * self.salt).sum(axis=1)
+        band ^= band >> np.uint64(32)
+        return band.astype(np.uint32).view(np.int32), (least & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def shingle_sets(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Set size, 128-bit set digest, band hashes and signature of each text (null for empty sets)."""
+
+    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+
+        signer, table = Signer(bands, rows), byte_table(SPACE, fold=True)
+        for frame in frames:
+            for first, raw in batches(frame["text"]):
+                out = []
+                for values in Words(raw, table).shingle_sets(width):
+                    if not len(values):
+                        out.append((0, None, None, None, None))
+                        continue
+                    digest = np.frombuffer(hashlib.blake2b(values.tobytes(), digest_size=16).digest(), dtype=np.int64)
+                    out.append((len(values), int(digest[0]), int(digest[1]), *signer(values)))
+                ids = frame["doc_id"].iloc[first:first + len(raw)]
+                got = pd.DataFrame(out, columns=["n_shingles", "set_a", "set_b", "bands", "signature"], index=ids.index)
+                got["set_a"], got["set_b"] = got["set_a"].astype("Int64"), got["set_b"].astype("Int64")
+                got.insert(0, "doc_id", ids)
+                yield got
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sign, _SETS)
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
+    block: int = BLOCK,
+) -> DataFrame:
+    """(``doc_id``, ``n_shingles``, ``component_id``, ``kept``), one row per row of ``docs``.
+
+    Words are runs of characters other than space and control white space, A-Z lower-cased. A text
+    with fewer than ``width`` words is one shingle; a text without words, or null, has an empty set
+    and is linked with nothing. Rows with the same ``doc_id`` are one document: they share a
+    component, each reports its own set. A row with a null ``doc_id`` is linked with nothing and has
+    a null component; it is kept. Other columns are ignored.
+    """
+    sets = materialize(shingle_sets(docs, width, bands, rows), "sets")
+    full = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    # The digest's minimum is combined before the shuffle: a set that many texts have stays small.
+    reps = materialize(full.groupBy("set_a", "set_b").agg(
+        F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "signature"), "doc_id").alias("s"))
+        .select("set_a", "set_b", "node", "s.bands", "s.signature"), "representatives")
+    links = _links(docs, full, reps, width, percent, block)
+    component = materialize(links, "components")
+    group = reps.select("set_a", "set_b", "node").join(component, "node", "left").select(
+        "set_a", "set_b", F.coalesce("component", "node").alias("component"))
+    group = materialize(group, "groups")
+    out = sets.select("doc_id", "n_shingles", "set_a", "set_b").join(group, ["set_a", "set_b"], "left")
+    # Rows without a set, or without an id, stand alone.
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    component_id = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
+    return out.select("doc_id", "n_shingles", component_id.alias("component_id"),
+                      F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
+
+
+def _links(docs: DataFrame, full: DataFrame, reps: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """(``node``, ``component``) over representatives that have a link."""
+    bins_needed = _least_agreement(percent, BANDS * ROWS)
+    exploded = reps.select("node", F.posexplode("bands").alias("band", "value")).select(
+        "node", F.xxhash64("band", "value").alias("bucket"))
+    counts = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = materialize(exploded.join(materialize(counts, "buckets"), "bucket"), "members")
+    # Ids that stand in rows with different sets tie those sets together.
+    twins = (full.groupBy("doc_id").agg(F.min("set_a").alias("x"), F.max("set_a").alias("y")).where("x <> y")
+             .select("doc_id").join(full.select("doc_id", "set_a", "set_b"), "doc_id")
+             .join(reps.select("set_a", "set_b", "node"), ["set_a", "set_b"])
+             .select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    found = [twins]
+    busy = shared.select("node").distinct()
+    signatures = materialize(reps.select("node", "signature").join(busy, "node", "left_semi"), "signatures")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(busy, "node", "left_semi")
+    members = materialize(_sets_of(texts, width), "shingles")
+
+    degree = shared.groupBy("node").agg(F.sum("members").alias("degree"))
+    ranked = shared.join(materialize(degree, "degrees"), "node")
+    hubs = ranked.groupBy("bucket").agg(
+        F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("top")).select(
+        "bucket", (-F.col("top.minus")).alias("hub"))
+    star = shared.join(materialize(hubs, "hubs"), "bucket").where("node <> hub").select(
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    alike = _agreeing(star, signatures, bins_needed)
+    found.append(materialize(_confirmed(alike, members, percent), "links"))
+    component = materialize(connected(_union(found)), "components")
+
+    for best_only in (True, False):
+        pairs = materialize(_across(shared, signatures, component, bins_needed, block, best_only), "pairs")
+        if pairs.isEmpty():
+            break
+        more = materialize(_confirmed(pairs, members, percent), "links")
+        if not more.isEmpty():
+            found.append(more)
+            # Components found so far stand for all earlier links.
+            held = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            component = materialize(connected(held.unionByName(more)), "components")
+        release(pairs)
+    return component
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _sets_of(texts: DataFrame, width: int) -> DataFrame:
+    """(``node``, ``shingles``) of the texts that are in some pair."""
+
+    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = byte_table(SPACE, fold=True)
+        for frame in frames:
+            for first, raw in batches(frame["text"]):
+                got = Words(raw, table).shingle_sets(width)
+                yield pd.DataFrame({"node": frame["node"].iloc[first:first + len(raw)].to_numpy(),
+                                    "shingles": [v.view(np.int64) for v in got]})
+
+    return texts.mapInPandas(sets, "node long, shingles array<long>")
+
+
+def _agreeing(pairs: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
+    """Pairs whose signatures agree in at least ``least`` bins."""
+
+    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            x = np.frombuffer(b"".join(frame["x"]), dtype=np.uint8).reshape(len(frame), -1)
+            y = np.frombuffer(b"".join(frame["y"]), dtype=np.uint8).reshape(len(frame), -1)
+            yield frame.loc[(x == y).sum(axis=1) >= least, ["a", "b"]]
+
+    left = signatures.select(F.col("node").alias("a"), F.col("signature").alias("x"))
+    right = signatures.select(F.col("node").alias("b"), F.col("signature").alias("y"))
+    return pairs.join(left, "a").join(right, "b").mapInPandas(keep, "a long, b long")
+
+
+def _confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets are alike enough."""
+    left = members.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = members.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - both
+    near = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union)
+    return near.select("a", "b").distinct()
+
+
+def _across(
+    shared: DataFrame, signatures: DataFrame, component: DataFrame, least: int, block: int, best_only: bool,
+) -> DataFrame:
+    """Agreeing pairs between components that meet in a bucket.
+
+    A bucket's largest component is compared with the members of the others, and these among each
+    other. Both sides are cut into parts of about ``block`` members; a group of the shuffle is one
+    part of the smaller side with one part of either, so its size is bounded whatever the bucket holds.
+    """
+    placed = shared.select("bucket", "node").join(component, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    placed = materialize(placed, "placed")
+    per = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = per.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("components"), F.sum("n").alias("total"),
+        F.max(F.struct("n", (-F.col("component")).alias("minus"))).alias("top")).where("components > 1").select(
+        "bucket", "total", F.col("top.n").alias("largest"), (-F.col("top.minus")).alias("main"))
+    rows = placed.join(materialize(main, "mixed"), "bucket").join(signatures, "node")
+    parts = lambda n: F.ceil(n / F.lit(float(block))).cast("int")
+    rows = rows.withColumn("minor", F.col("component") != F.col("main")).withColumn(
+        "small", parts(F.col("total") - F.col("largest"))).withColumn("large", parts(F.col("largest")))
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("small")).otherwise(F.col("large"))).cast("int")
+    rows = rows.withColumn("part", mine)
+    # Parts of the largest component are numbered after those of the others.
+    to_small = lambda q: F.struct(F.least(q, F.col("part")).alias("i"), F.greatest(q, F.col("part")).alias("j"))
+    to_large = lambda p: F.struct(F.col("part").alias("i"), (F.col("small") + p).alias("j"))
+    from_large = lambda q: F.struct(q.alias("i"), (F.col("small") + F.col("part")).alias("j"))
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    cells = F.when(F.col("minor"), F.concat(
+        F.transform(each(F.col("small")), to_small), F.transform(each(F.col("large")), to_large)
+    )).otherwise(F.transform(each(F.col("small")), from_large))
+    rows = rows.select("bucket", F.explode(cells).alias("cell"), "node", "component", "minor", "signature")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        small = frame[frame["minor"]]
+        x = np.frombuffer(b"".join(small["signature"]), dtype=np.uint8).reshape(len(small), -1)
+        y = np.frombuffer(b"".join(frame["signature"]), dtype=np.uint8).reshape(len(frame), -1)
+        node, owner = frame["node"].to_numpy(), frame["component"].to_numpy()
+        a, b = [], []
+        for i, (n, c) in enumerate(zip(small["node"].to_numpy(), small["component"].to_numpy())):
+            agree = (y == x[i]).sum(axis=1)
+            near = np.flatnonzero((agree >= least) & (owner != c))
+            if best_only and len(near):
+                near = near[np.argsort(-agree[near], kind="stable")]
+                near = near[np.unique(owner[near], return_index=True)[1]]
+            a += [n] * len(near)
+            b += node[near].tolist()
+        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype=np.int64)
+        return out.drop_duplicates()
+
+    got = rows.groupBy("bucket", "cell").applyInPandas(compare, "a long, b long")
+    return got.distinct()
