@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tissuegrid.llm import byte_bpe, near_dedup, packing, token_counts
+from tissuegrid.llm import byte_bpe, language, line_dedup, near_dedup, packing, token_counts, toxicity
 from tissuegrid.llm.common import table
 
 #: Vocabulary files; every operator takes the path as an argument.
@@ -26,6 +26,22 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@_query
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document (``doc_id``) and every raw page (``page_id``)."""
+    docs = language.document_evidence(table(spark, folder, "documents"))
+    pages = language.page_evidence(table(spark, folder, "pages"))
+    rows = docs.unionByName(pages, allowMissingColumns=True)
+    return language.identify(rows, ["doc_id", "page_id"])
+
+
+@_query
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's cleaned text with the offsets of what was removed."""
+    cleaned = line_dedup.remove_repeats(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_chars", "text", "removed")
+
+
 @_query
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, folder, "documents"), WORD_BPE)
@@ -47,6 +63,12 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), WORD_BPE)
 
 
+@_query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
 ORACLES["op4_near_dedup"] = r"""
 WITH RECURSIVE words AS (
     SELECT doc_id, regexp_extract_all(
