@@ -2,23 +2,27 @@
 
 The library splits at white space before it merges, and its special strings hold none, so a text's
 ids are the ids of its space-separated chunks in a row. Chunks repeat, so each task encodes a chunk
-once while it is remembered. Chunks are cut at plain spaces and line feeds only; whatever else a
-chunk holds (other white space, special strings, any script) is left to the library.
+once while it is remembered. A new chunk of plain Latin text is lower-cased and split as the
+vocabulary file says, and each part it has not seen goes to the library's merge model; any other
+chunk (other scripts or white space, special strings, text that is not in composed form) goes
+through the whole library.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from collections.abc import Iterable
 
 import numpy as np
 
-#: Chunks remembered per Python worker (about 70 MB); beyond that it starts anew.
+#: Chunks, and parts of chunks, remembered per Python worker: about 60 MB for each generation.
 REMEMBERED = 250_000
 #: Longer chunks are encoded each time they come.
 LONGEST = 48
-#: Characters handed to the library at once.
-JOINED = 1 << 15
+#: Fixed value: the split pattern of the word-level vocabulary file.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _loaded: dict[str, "WordCache"] = {}
 
@@ -40,50 +44,83 @@ def load(path: str):
     return tokenizer
 
 
+class Memory(dict):
+    """A dict of bounded size: what was not asked for in the last generation is forgotten."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key]
+        return value
+
+    def unknown(self, keys: set[str]) -> list[str]:
+        """Keys that must be computed; those of the last generation are taken over."""
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        old, new = self.old, []
+        for k in keys:
+            if k not in self:
+                if k in old:
+                    self[k] = old[k]
+                else:
+                    new.append(k)
+        return new
+
+
 class WordCache:
     def __init__(self, path: str):
+        import json
+
+        import regex
+
+        from tissuegrid.llm.byte_bpe import byte_characters
+
         self.tokenizer = load(path)
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.split = regex.compile(SPLIT)
+        # The short way is for vocabularies that normalise and split as described above.
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        steps = [n.get("type") for n in (told.get("normalizer") or {}).get("normalizers", [])]
+        patterns = [t.get("pattern", {}).get("Regex") for t in (told.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.short = steps == ["NFC", "Replace", "Lowercase"] and patterns == [SPLIT, None]
+        self.bytes = str.maketrans({i: c for i, c in enumerate(byte_characters())})
+        self.words, self.parts = Memory(), Memory()
 
     def encode(self, texts: Iterable[str | None]) -> list[list[bytes]]:
         """Per text the little-endian 32-bit ids of its chunks; joined they are the text's ids."""
         split = [t.replace("\n", " ").split(" ") if isinstance(t, str) and t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.known[""] = b""
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
+        new = self.words.unknown(set().union(*split))
         long = {}
-        if new:
-            fresh = [w for w in new if len(w) <= LONGEST]
-            for group in _groups(fresh):
-                known.update(zip(group, self._ids(group)))
-            for w in new:
-                if len(w) > LONGEST:
-                    long[w] = np.asarray(
-                        self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        for w, ids in zip(new, self._encoded(new)):
+            (self.words if len(w) <= LONGEST else long)[w] = ids
+        known = self.words
         if long:
             return [[long[w] if w in long else known[w] for w in words] for words in split]
         return [[known[w] for w in words] for words in split]
 
-    def _ids(self, group: list[str]) -> list[bytes]:
-        """Ids of each chunk: one call for all, cut by where each token starts."""
-        got = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
-        ids = np.asarray(got.ids, dtype="<u4")
-        lengths = np.fromiter((len(w) + 1 for w in group), dtype=np.int64, count=len(group))
-        starts = np.fromiter((o[0] for o in got.offsets), dtype=np.int64, count=len(ids))
-        cut = np.searchsorted(starts, np.cumsum(lengths))
-        begin = np.concatenate(([0], cut[:-1]))
-        return [ids[a:b].tobytes() for a, b in zip(begin.tolist(), cut.tolist())]
-
-
-def _groups(words: list[str]):
-    held, size = [], 0
-    for w in words:
-        if held and size + len(w) > JOINED:
-            yield held
-            held, size = [], 0
-        held.append(w)
-        size += len(w) + 1
-    if held:
-        yield held
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        plain = {i: self.split.findall(w.lower()) for i, w in enumerate(chunks) if self.short and _is_plain(w)}
+        new = self.parts.unknown(set().union(*plain.values())) if plain else []
+        long = {}
+        for p in new:
+            mapped = p.encode().decode("latin-1").translate(self.bytes)
+            ids = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
+            (self.parts if len(p) <= LONGEST else long)[p] = ids
+        known = self.parts
+        return [b"".join([long[p] if p in long else known[p] for p in plain[i]]) if i in plain else np.asarray(
+            self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            for i, w in enumerate(chunks)]
+
+
+#: Latin letters up to U+024F without the one whose lower case depends on the rule set (U+0130).
+_PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]*")
+
+
+def _is_plain(chunk: str) -> bool:
+    """Printable Latin text without white space, special strings or uncomposed letters."""
+    return _PLAIN.fullmatch(chunk) is not None and "<|" not in chunk and (
+        chunk.isascii() or unicodedata.is_normalized("NFC", chunk))
