@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tissuegrid.llm import byte_bpe, language, line_dedup, near_dedup, packing, token_counts, toxicity
+from tissuegrid.llm import byte_bpe, language, line_dedup, near_dedup, packing, token_counts, toxicity, vector_dedup
 from tissuegrid.llm.common import table
 
 #: Vocabulary files; every operator takes the path as an argument.
@@ -63,6 +63,11 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), WORD_BPE)
 
 
+@_query
+def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, folder, "embeddings"))
+
+
 @_query
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -97,3 +102,24 @@ WITH RECURSIVE words AS (
 SELECT s.doc_id, len(s.s) AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept
 FROM sets s JOIN least l ON l.node = s.doc_id
 """
+
+ORACLES["op8_embedding_dedup"] = """
+WITH RECURSIVE vectors AS MATERIALIZED (
+    SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+), usable AS (
+    SELECT * FROM vectors WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0
+    AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+    SELECT p.vec_id AS a, q.vec_id AS b FROM usable p JOIN usable q ON p.label = q.label AND p.vec_id <> q.vec_id
+    AND len(p.v) = len(q.v) WHERE list_cosine_similarity(p.v, q.v) >= 0.93
+), reach AS (
+    SELECT vec_id AS node, vec_id AS seen FROM vectors
+    UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen
+), least AS (
+    SELECT node, min(seen) AS component_id FROM reach GROUP BY node
+), counts AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT v.vec_id, coalesce(c.n, 0) AS n_links, l.component_id, v.vec_id = l.component_id AS kept
+FROM vectors v JOIN least l ON l.node = v.vec_id LEFT JOIN counts c ON c.a = v.vec_id
+"""

@@ -1,0 +1,268 @@
+"""Near-duplicate vectors by an epsilon grid order join.
+
+Unit vectors are projected on the leading principal directions of the table; a grid whose cells are
+as wide as the greatest distance of a linked pair orders them lexicographically. The ordered
+sequence is cut into intervals of bounded size; two intervals are compared only if their boxes in
+the leading dimensions come within that distance, and inside a task the comparison halves the
+intervals again and again, skipping halves that are provably apart, down to small blocks that one
+matrix product settles. The projection never lengthens a distance, so no pair is lost whatever the
+directions; they only decide how much is skipped.
+
+Equal vectors are folded first and counted, so a vector that a third of all rows hold is one row.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tissuegrid.llm.common import connected, limit_batches, materialize
+
+COSINE = 0.93
+#: Leading principal directions that order and prune.
+LEADING = 6
+#: Vectors per interval, and per block that is compared outright.
+INTERVAL, LEAF = 512, 64
+
+
+def near_vectors(
+    vectors: DataFrame, cosine: float = COSINE, leading: int = LEADING, interval: int = INTERVAL, leaf: int = LEAF,
+) -> DataFrame:
+    """(``vec_id``, ``n_links``, ``component_id``, ``kept``), one row per row of ``vectors``.
+
+    ``vectors`` has ``vec_id``, ``embedding`` (array of numbers) and ``label``. Two rows are linked when
+    their labels are equal and not null, their vectors have one length and their cosine in double
+    precision is at least ``cosine``. A null, empty or zero vector, or one with a null or non-finite
+    component, links with nothing, as does a row with a null id (its component is null, it is kept).
+    Rows with the same id are one vector for the counts when they are equal, and share a component
+    in any case. Other columns are ignored.
+    """
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
+    number = lambda x: x.cast("double")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(number(x)) & (F.abs(number(x)) < float("inf")))
+    some = F.exists("embedding", lambda x: number(x) != 0)
+    valid = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & some, F.lit(False))
+    folded = rows.where(valid).distinct().groupBy("label", "embedding").agg(
+        F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    folded = materialize(folded, "vectors")
+    blocks = materialize(_intervals(folded, cosine, leading, interval), "intervals")
+    met = _met(blocks, cosine, leaf)
+    links = met.groupBy("node").agg(F.sum("links").alias("links"))
+    # An id with several vectors ties them together.
+    groups = folded.select("label", "embedding", "node", "copies")
+    edges = met.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    members = rows.where(valid).join(groups, ["label", "embedding"]).select("vec_id", "node", "copies")
+    members = materialize(members.distinct(), "members")
+    twins = members.groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
+    twins = members.join(twins.select("vec_id"), "vec_id").select(F.col("vec_id").alias("a"), F.col("node").alias("b"))
+    component = connected(edges.unionByName(twins))
+    per_node = materialize(groups.select("label", "embedding", "node", "copies").join(links, "node", "left").join(
+        component, "node", "left").select(
+        "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"),
+        F.coalesce("component", "node").alias("component")), "groups")
+    out = rows.withColumn("label", F.when(valid, F.col("label"))).join(per_node, ["label", "embedding"], "left")
+    component_id = F.coalesce("component", "vec_id")
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
+                      component_id.alias("component_id"),
+                      F.coalesce(F.col("vec_id") == component_id, F.lit(True)).alias("kept"))
+
+
+def _reach(cosine: float) -> float:
+    """Distance of unit vectors at that cosine, with room for rounding."""
+    return float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9
+
+
+def _stack(values: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in values])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    # Scaled first, so that squares neither overflow nor vanish.
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def directions(folded: DataFrame, leading: int) -> dict[int, np.ndarray]:
+    """Per vector length the leading principal directions (length x up to ``leading``)."""
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for size, part in frame.groupby(frame["embedding"].map(len)):
+                x = np.hstack([np.ones((len(part), 1)), _unit(_stack(part["embedding"]))])
+                total[size] = total.get(size, 0) + x.T @ x
+        for size, s in total.items():
+            i, j = np.triu_indices(size + 1)
+            yield pd.DataFrame({"size": size, "i": i, "j": j, "s": s[i, j]})
+
+    # One row per pair of dimensions reaches the driver.
+    got = folded.select("embedding").mapInPandas(sums, "size int, i int, j int, s double").groupBy(
+        "size", "i", "j").agg(F.sum("s").alias("s")).toPandas()
+    out = {}
+    for size, part in got.groupby("size"):
+        s = np.zeros((size + 1, size + 1))
+        s[part["i"], part["j"]] = part["s"]
+        n, mean = s[0, 0], s[0, 1:] / s[0, 0]
+        upper = s[1:, 1:]
+        covariance = (upper + upper.T - np.diag(np.diag(upper))) / n - np.outer(mean, mean)
+        out[int(size)] = np.linalg.eigh(covariance)[1][:, ::-1][:, :leading]
+    return out
+
+
+def _intervals(folded: DataFrame, cosine: float, leading: int, interval: int) -> DataFrame:
+    """Packed runs of the grid-ordered sequence: vectors, ids and the box of their projections."""
+    spark = folded.sparkSession
+    axes = spark.sparkContext.broadcast(directions(folded, leading))
+    label = folded.schema["label"].dataType
+    reach = _reach(cosine)
+
+    def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for size, part in frame.groupby(frame["embedding"].map(len)):
+                x = _unit(_stack(part["embedding"]))
+                p = x @ axes.value[size]
+                yield part[["label", "node", "copies"]].assign(
+                    size=size, cell=list(np.floor(p / reach).astype(np.int32)), projected=list(p),
+                    vector=[v.tobytes() for v in x])
+
+    flat = T.StructType([
+        T.StructField("label", label), T.StructField("node", T.LongType()), T.StructField("copies", T.LongType()),
+        T.StructField("size", T.IntegerType()), T.StructField("cell", T.ArrayType(T.IntegerType())),
+        T.StructField("projected", T.ArrayType(T.DoubleType())), T.StructField("vector", T.BinaryType())])
+    order = ["label", "size", "cell", "node"]
+    # The id in the order lets a single crowded cell span many partitions.
+    ordered = folded.mapInPandas(project, flat).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, at, held = TaskContext.get().partitionId(), 0, []
+
+        def block() -> pd.DataFrame:
+            nonlocal at
+            p = np.array([h[5] for h in held])
+            at += 1
+            return pd.DataFrame({
+                "block": [(part << 32) + at], "label": [held[0][0]], "size": [held[0][3]],
+                "low": [p.min(axis=0)], "high": [p.max(axis=0)], "projected": [p.tobytes()],
+                "node": [np.array([h[1] for h in held], dtype=np.int64).tobytes()],
+                "copies": [np.array([h[2] for h in held], dtype=np.int64).tobytes()],
+                "vectors": [b"".join(h[6] for h in held)]})
+
+        for frame in frames:
+            for row in frame.itertuples(index=False, name=None):
+                if held and (len(held) == interval or row[0] != held[0][0] or row[3] != held[0][3]):
+                    yield block()
+                    held = []
+                held.append(row)
+        if held:
+            yield block()
+
+    packed = T.StructType([
+        T.StructField("block", T.LongType()), T.StructField("label", label), T.StructField("size", T.IntegerType()),
+        T.StructField("low", T.ArrayType(T.DoubleType())), T.StructField("high", T.ArrayType(T.DoubleType())),
+        *(T.StructField(n, T.BinaryType()) for n in ("projected", "node", "copies", "vectors"))])
+    return ordered.mapInPandas(pack, packed)
+
+
+def _met(blocks: DataFrame, cosine: float, leaf: int) -> DataFrame:
+    """(``node``, ``links``, ``root``) for each pair of intervals in which the node has a link."""
+    reach = _reach(cosine)
+    box = blocks.select("block", "label", "size", "low", "high")
+
+    def cells(d: int):
+        """Grid cells that the box, widened by half the reach, touches in one of its leading dimensions."""
+        low, high = (F.coalesce(F.try_element_at(c, F.lit(d)), F.lit(0.0)) for c in ("low", "high"))
+        return F.sequence(F.floor(low / reach - 0.5).cast("int"), F.floor(high / reach + 0.5).cast("int"))
+
+    def spread(mark: str) -> DataFrame:
+        out = box.withColumn("x", F.explode(cells(1))).withColumn("y", F.explode(cells(2)))
+        return out.select("label", "size", "x", "y", *(F.col(c).alias(f"{c}_{mark}") for c in ("block", "low", "high")))
+
+    gap = F.aggregate(
+        F.zip_with(F.arrays_zip("low_a", "high_a"), F.arrays_zip("low_b", "high_b"), lambda a, b: F.greatest(
+            a["low_a"] - b["high_b"], b["low_b"] - a["high_a"], F.lit(0.0))),
+        F.lit(0.0), lambda t, g: t + g * g)
+    # Boxes within reach of each other share a cell once both are widened.
+    pairs = spread("a").join(spread("b"), ["label", "size", "x", "y"]).where(
+        (F.col("block_a") <= F.col("block_b")) & (gap <= reach * reach)).select("block_a", "block_b").distinct()
+    payload = ["size", "projected", "node", "copies", "vectors"]
+    side = lambda m: blocks.select(*(F.col(c).alias(f"{c}_{m}") for c in ["block", *payload]))
+    joined = pairs.join(side("a"), "block_a").join(side("b"), "block_b")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                a = _unpacked(row.size_a, row.projected_a, row.node_a, row.copies_a, row.vectors_a)
+                b = _unpacked(row.size_b, row.projected_b, row.node_b, row.copies_b, row.vectors_b)
+                out = _links(a, b, row.block_a == row.block_b, cosine, reach, leaf)
+                if len(out):
+                    yield out
+
+    # Few intervals travel in one Arrow batch, as each holds hundreds of vectors.
+    spark = blocks.sparkSession
+    joined = joined.repartition(F.col("block_a"), F.col("block_b"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        return materialize(joined.mapInPandas(compare, "node long, links long, root long"), "compared")
+    finally:
+        limit_batches(spark)
+
+
+def _unpacked(size: int, projected: bytes, node: bytes, copies: bytes, vectors: bytes):
+    node = np.frombuffer(node, dtype=np.int64)
+    return (np.frombuffer(projected, dtype=np.float64).reshape(len(node), -1), node,
+            np.frombuffer(copies, dtype=np.int64), np.frombuffer(vectors, dtype=np.float64).reshape(len(node), size))
+
+
+def _links(a, b, same: bool, cosine: float, reach: float, leaf: int) -> pd.DataFrame:
+    """Weighted link counts and, for each node with a link, the least node it reaches in the two intervals."""
+    pa, node_a, copies_a, xa = a
+    pb, node_b, copies_b, xb = b
+    linked = np.zeros((len(node_a), len(node_b)), dtype=bool)
+
+    def join(a0: int, a1: int, b0: int, b1: int) -> None:
+        if same and b1 <= a0:
+            return  # the mirror image is compared
+        apart = np.maximum(0, np.maximum(pa[a0:a1].min(axis=0) - pb[b0:b1].max(axis=0),
+                                         pb[b0:b1].min(axis=0) - pa[a0:a1].max(axis=0)))
+        if (apart * apart).sum() > reach * reach:
+            return
+        if a1 - a0 <= leaf and b1 - b0 <= leaf:
+            linked[a0:a1, b0:b1] = xa[a0:a1] @ xb[b0:b1].T >= cosine
+        elif a1 - a0 >= b1 - b0:
+            m = (a0 + a1) // 2
+            join(a0, m, b0, b1)
+            join(m, a1, b0, b1)
+        else:
+            m = (b0 + b1) // 2
+            join(a0, a1, b0, m)
+            join(a0, a1, m, b1)
+
+    join(0, len(node_a), 0, len(node_b))
+    if same:
+        linked |= linked.T
+        np.fill_diagonal(linked, False)
+    if not linked.any():
+        return pd.DataFrame()
+    root_a, root_b = node_a, node_b
+    far = np.iinfo(np.int64).max
+    while True:
+        before = root_a.sum(dtype=np.float64) + root_b.sum(dtype=np.float64)
+        root_a = np.minimum(root_a, np.where(linked, root_b[None, :], far).min(axis=1))
+        if same:
+            root_b = root_a
+        else:
+            root_b = np.minimum(root_b, np.where(linked, root_a[:, None], far).min(axis=0))
+        if root_a.sum(dtype=np.float64) + root_b.sum(dtype=np.float64) == before:
+            break
+    out = [pd.DataFrame({"node": node_a, "links": linked @ copies_b, "root": root_a})]
+    if not same:
+        out.append(pd.DataFrame({"node": node_b, "links": linked.T @ copies_a, "root": root_b}))
+    both = pd.concat(out)
+    return both[both["links"] > 0]
+
