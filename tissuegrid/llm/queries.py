@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tissuegrid.llm import byte_bpe, language, line_dedup, near_dedup, packing, token_counts, toxicity, vector_dedup
+from tissuegrid.llm import byte_bpe, fingerprints, language, line_dedup, near_dedup, packing, token_counts, toxicity, vector_dedup
 from tissuegrid.llm.common import table
 
 #: Vocabulary files; every operator takes the path as an argument.
@@ -53,6 +53,11 @@ def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+@_query
+def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, folder, "documents"))
+
+
 @_query
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, folder, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
