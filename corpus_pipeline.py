@@ -3,20 +3,69 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tissuegrid.llm import packing
-from tissuegrid.llm.common import materialize, table
+from tissuegrid.llm import language, line_dedup, near_dedup, packing, toxicity
+from tissuegrid.llm.common import limit_batches, materialize, prepare, table
 from tissuegrid.llm.queries import WORD_BPE
 
 
+def _ready(docs: DataFrame) -> DataFrame:
+    """The same documents, their session set up for the operators."""
+    limit_batches(prepare(docs.sparkSession))
+    return docs
+
+
+def _chosen(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id stands in ``decisions``; rows without an id stay, as nothing can be decided on them."""
+    named = docs.where(F.col("doc_id").isNotNull()).join(decisions.select("doc_id").distinct(), "doc_id", "left_semi")
+    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is established; those without a letter or a likely language go."""
+    found = language.identify(language.document_evidence(_ready(docs)), ["doc_id"])
+    return _chosen(docs, found.where("accepted"))
+
+
+def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    weights = toxicity.train(_ready(docs), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, weights)
+    # An id of which any text is toxic goes.
+    bad = scored.where("predicted = 1").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the least id, once."""
+    groups = near_dedup.near_duplicates(_ready(docs))
+    kept = materialize(groups.where("kept and doc_id is not null").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n")), "kept-documents")
+    once = _chosen(docs, kept.where("n = 1"))
+    several = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return once.unionByName(several.dropDuplicates(["doc_id"]))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines and sentences that an earlier document holds."""
+    return line_dedup.remove_repeats(_ready(docs)).select(*docs.columns)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, WORD_BPE)
+    """Every piece of every document with its place in a training sequence."""
+    return packing.pack(_ready(docs), WORD_BPE)
 
 
 STAGES = [
+    ("language ID", language_id),
+    ("toxicity", toxic_texts),
+    ("MinHash near-dedup", near_duplicates),
+    ("substring dedup", repeated_lines),
     ("best-fit packing", best_fit_packing),
 ]
 
+# Trained models, trigram tables and best-fit packing have no SQL form.
 ORACLE_SQL = None
 
 

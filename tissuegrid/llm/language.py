@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tissuegrid.llm.common import materialize, with_missing
@@ -117,12 +117,6 @@ def _text_evidence(rows: DataFrame, model: np.ndarray, key: list[str]) -> DataFr
         run, f"{kinds}, declared string, host string, evidence array<double>, letters long")
 
 
-def _normal(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs)
-    total = sum((F.exp(x - top) for x in logs), F.lit(0.0))
-    return [F.exp(x - top) / total for x in logs]
-
-
 def identify(
     rows: DataFrame, key: list[str], languages: tuple[str, ...] = LANGUAGES, temper: float = TEMPER,
     smooth: float = SMOOTH, accept: float = ACCEPT, letters: int = LETTERS,
@@ -144,8 +138,10 @@ def identify(
     scored = scored.withColumn("suffix", F.coalesce(suffix, F.lit(""))).withColumn("domain", domain).withColumn(
         "site", F.coalesce("host", F.lit(""))).withColumn("said", F.coalesce("declared", F.lit("")))
     spoken = [F.element_at("evidence", i + 1) * temper for i in range(n)]
-    heard = F.when(F.col("letters") > 0, F.array(*_normal(spoken)))  # what the text alone says
-    scored = scored.withColumn("heard", heard)
+    # What the text alone says; the evidence's greatest entry is zero.
+    scored = scored.withColumn("spoken", F.transform("evidence", lambda x: F.exp(x * temper)))
+    scored = scored.withColumn("heard", F.when(F.col("letters") > 0, F.transform(
+        "spoken", lambda x: x / F.aggregate("spoken", F.lit(0.0), lambda t, o: t + o))))
 
     def soft(*by: str) -> DataFrame:
         return scored.where(F.col("heard").isNotNull()).groupBy(*by).agg(
@@ -157,22 +153,31 @@ def identify(
     out = scored
     for level in ("suffix", "domain", "site", "said"):
         out = out.join(materialize(soft(level), f"soft-{level}"), level, "left")
-    own = [F.coalesce(F.element_at("heard", i + 1), F.lit(0.0)) for i in range(n)]
-    total = sum(whole)
-    prior = [(F.lit(whole[i] + 1.0) - own[i]) / (F.lit(total + n) - sum(own[1:], own[0])) for i in range(n)]
-    root = prior
-    for level in ("suffix", "domain", "site"):
-        counts = [F.greatest(F.coalesce(F.element_at(f"{level}_n", i + 1), F.lit(0.0)) - own[i], F.lit(0.0)) for i in range(n)]
-        size = sum(counts[1:], counts[0])
-        prior = [(counts[i] + smooth * prior[i]) / (size + smooth) for i in range(n)]
-    # P(declared | language) relative to P(declared): soft counts of the declaration against all rows.
-    said = [F.greatest(F.coalesce(F.element_at("said_n", i + 1), F.lit(0.0)) - own[i], F.lit(0.0)) for i in range(n)]
-    said_size = sum(said[1:], said[0])
-    declared = [F.when(F.col("said") == "", F.lit(0.0)).otherwise(
-        F.ln((said[i] + smooth * root[i]) / (said_size + smooth)) - F.ln(root[i])) for i in range(n)]
-    text = [F.when(F.col("letters") > 0, spoken[i]).otherwise(F.lit(0.0)) for i in range(n)]
-    posterior = F.array(*_normal([F.ln(prior[i]) + declared[i] + text[i] for i in range(n)]))
-    out = out.withColumn("posterior", posterior).withColumn("probability", F.array_max("posterior"))
+    # Each step is a column of its own, used several times by the next, so that no expression is repeated.
+    item = lambda c, i: F.element_at(c, i + 1)
+    none = F.array(*[F.lit(0.0)] * n)
+    out = out.withColumn("own", F.coalesce("heard", none))
+    total = float(sum(whole))
+    out = out.withColumn("root", F.array(*[
+        (F.lit(whole[i] + 1.0) - item("own", i)) / (F.lit(total + n) - F.when(F.col("heard").isNull(), 0.0).otherwise(1.0))
+        for i in range(n)]))
+    prior = "root"
+    for level in ("suffix", "domain", "site", "said"):
+        counts, size, above = f"{level}_c", f"{level}_s", "root" if level == "said" else prior
+        out = out.withColumn(counts, F.zip_with(F.coalesce(f"{level}_n", none), "own", lambda c, o: F.greatest(c - o, F.lit(0.0))))
+        out = out.withColumn(size, F.aggregate(counts, F.lit(0.0), lambda t, c: t + c))
+        out = out.withColumn(f"{level}_p", F.array(*[
+            (item(counts, i) + smooth * item(above, i)) / (F.col(size) + smooth) for i in range(n)]))
+        prior = f"{level}_p"
+    # The declaration counts by P(declared | language) relative to P(declared).
+    told = F.col("said") != ""
+    out = out.withColumn("logs", F.array(*[
+        F.ln(item("site_p", i)) + F.when(told, F.ln(item("said_p", i)) - F.ln(item("root", i))).otherwise(0.0)
+        + F.when(F.col("letters") > 0, spoken[i]).otherwise(0.0) for i in range(n)]))
+    out = out.withColumn("top", F.array_max("logs"))
+    out = out.withColumn("odds", F.transform("logs", lambda x: F.exp(x - F.col("top"))))
+    out = out.withColumn("posterior", F.transform("odds", lambda x: x / F.aggregate("odds", F.lit(0.0), lambda t, o: t + o)))
+    out = out.withColumn("probability", F.array_max("posterior"))
     best = F.element_at(F.array(*map(F.lit, languages)), F.array_position("posterior", F.col("probability")).cast("int"))
     return out.select(*key, "declared", "host", best.alias("lang"), F.round("probability", 9).alias("probability"),
                       ((F.col("letters") >= letters) & (F.col("probability") >= accept)).alias("accepted"))

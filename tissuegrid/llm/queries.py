@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tissuegrid.llm import byte_bpe, fingerprints, language, line_dedup, near_dedup, packing, token_counts, toxicity, vector_dedup
+from tissuegrid.llm import byte_bpe, fingerprints, language, licenses, line_dedup, near_dedup, packing, token_counts, toxicity, vector_dedup
 from tissuegrid.llm.common import table
 
 #: Vocabulary files; every operator takes the path as an argument.
@@ -73,6 +73,11 @@ def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, folder, "embeddings"))
 
 
+@_query
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @_query
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
