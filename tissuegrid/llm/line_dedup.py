@@ -24,6 +24,9 @@ from tissuegrid.llm.common import materialize
 #: Fewest words of a line, and of a sentence, that is compared at all.
 LINE_WORDS, SENTENCE_WORDS = 3, 8
 
+# Names that no table is expected to have.
+_ID, _BODY, _CUT = "__cut_id", "__cut_body", "__cut_spans"
+
 _LINE = re.compile(r"[^\n]*\n?")
 _SENTENCE = re.compile(r"[^.!?]+(?:[.!?]+(?!\s)[^.!?]*)*[.!?]*\s*")
 _EDGE = " .,;:!?\"'()[]{}-*#|"
@@ -119,14 +122,13 @@ def remove_repeats(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words
     Every row is returned. Null and empty texts are unchanged (``n_chars`` null or 0, nothing
     removed). Rows equal in ``doc_id`` and ``text`` are one document and give equal rows; rows with
     one id and different texts are different documents. Null ids rank last. Columns named
-    ``removed``, ``body`` or ``n_chars`` are replaced.
+    ``removed`` or ``n_chars`` are replaced, all others kept.
     """
-    docs = _identified(docs.drop("removed", "body"))
-    spans = removals(docs, line_words, sentence_words)
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "removed")
-    joined = docs.join(spans, (F.col("body") == F.col("_body")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    spans = removals(_identified(docs.select("doc_id", "text")), line_words, sentence_words)
+    spans = spans.select(F.col("doc_id").alias(_ID), F.col("body").alias(_BODY), F.col("removed").alias(_CUT))
+    docs = docs.drop("removed").withColumn("doc_id", F.col("doc_id").cast("long"))
+    joined = docs.join(spans, (F.xxhash64("text") == F.col(_BODY)) & F.col("doc_id").eqNullSafe(F.col(_ID)), "left")
     pair = "array<struct<a:int,b:int>>"
-    cleaned = joined.withColumn("text", F.pandas_udf(_without, "string")("text", "removed")).withColumn(
-        "n_chars", F.length("text").cast("long")).withColumn(
-        "removed", F.coalesce("removed", F.array().cast(pair)))
-    return cleaned.drop("_id", "_body", "body")
+    cleaned = joined.withColumn("text", F.pandas_udf(_without, "string")("text", _CUT)).withColumn(
+        "n_chars", F.length("text").cast("long")).withColumn("removed", F.coalesce(_CUT, F.array().cast(pair)))
+    return cleaned.drop(_ID, _BODY, _CUT)
