@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tissuegrid.llm.common import materialize
 
 #: Samples per fingerprint: BLOCKS groups of SAMPLES that are aggregated together.
-BLOCKS, SAMPLES = 8, 8
+BLOCKS, SAMPLES = 6, 8
 #: Ids per chunk when neighbours are found, and most chunks.
 CHUNK, MOST_CHUNKS = 50_000, 4096
 #: Tasks per shuffle partition: counting words needs much more memory than the texts take.
@@ -110,38 +110,52 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     following = materialize(next_ids(rows), "next-ids")
-    dealt = rows.repartition(n, "doc_id")
-    repeated = not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
+    named, loose = rows.where(F.col("doc_id").isNotNull()), rows.where(F.col("doc_id").isNull())
+    repeated = not named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
+    # Dealt out once; every later use of the texts reads this exchange again.
+    dealt = named.repartition(n, "doc_id")
     single = dealt.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else dealt
     wanted = following.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "n")
-    third = lambda c: F.floor(c / 3).cast("int")
     heads = single.join(wanted.repartition(n, "doc_id"), "doc_id").select(
-        F.col("for_id").alias("doc_id"), F.substring("text", F.lit(1), third(F.col("n"))).alias("head"),
+        F.col("for_id").alias("doc_id"), F.substring("text", F.lit(1), _third(F.col("n"))).alias("head"),
         F.col("doc_id").alias("next_id")).repartition(n, "doc_id")
-    whole = dealt.join(heads, "doc_id", "left").withColumn("n_chars", F.length("text")).withColumn(
-        "body_id", F.xxhash64("text"))
-    third_of = third(F.col("n_chars"))
-    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - third_of),
-                      F.substring(F.coalesce("head", F.lit("")), F.lit(1), third_of))
-    whole = whole.withColumn("edited", edited)
-    facts = whole.select("doc_id", "body_id", "next_id", F.col("n_chars").cast("long").alias("n_chars"),
-                         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    distinct = whole.dropDuplicates(["doc_id", "body_id"]) if repeated else whole
-    sides = distinct.select("doc_id", "body_id", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("text").alias("body")),
-        F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("s")).select(
-        "doc_id", "body_id", "s.side", "s.body")
-    sampled = samples(sides, ["doc_id", "body_id", "side"])
-    pair = sampled.groupBy("doc_id", "body_id").agg(
-        F.first(F.when(F.col("side") == 0, F.col("samples")), ignorenulls=True).alias("own"),
-        F.first(F.when(F.col("side") == 1, F.col("samples")), ignorenulls=True).alias("changed"))
-    pair = pair.withColumnRenamed("doc_id", "id").withColumnRenamed("body_id", "bid")
-    known = materialize(facts.join(pair, facts["doc_id"].eqNullSafe(pair["id"]) & (facts["body_id"] == pair["bid"]), "left")
-                        .drop("id", "bid"), "fingerprints")
+    known = _both(dealt.join(heads, "doc_id"), repeated)
+    if not loose.isEmpty():
+        alone = loose.withColumn("head", F.lit("")).withColumn("next_id", F.lit(None).cast("long"))
+        known = known.unionByName(_both(alone.repartition(n, F.xxhash64("text")), True))
+    known = materialize(known, "fingerprints")
     beside = known.groupBy(F.col("doc_id").alias("next_id")).agg(F.min_by("own", "body_id").alias("beside")) if repeated \
         else known.select(F.col("doc_id").alias("next_id"), F.col("own").alias("beside"))
-    out = known.join(beside, "next_id", "left")
+    out = known.join(beside.where(F.col("next_id").isNotNull()), "next_id", "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", text_of(F.col("own")).alias("fingerprint"),
         text_of(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"),
         F.when(F.col("next_id").isNotNull(), likeness(F.col("own"), F.col("beside"))).alias("near_next"))
+
+
+def _third(n: Column) -> Column:
+    return F.floor(n / 3).cast("int")
+
+
+def _both(whole: DataFrame, repeated: bool) -> DataFrame:
+    """Samples of each text (``own``) and of its edited form (``changed``), with the facts that are reported."""
+    whole = whole.select("doc_id", "text", "head", "next_id", F.length("text").alias("n_chars"), F.xxhash64("text").alias("body_id"))
+    tail = _third(F.col("n_chars"))
+    whole = whole.withColumn("edited", F.concat(
+        F.substring("text", F.lit(1), F.col("n_chars") - tail), F.substring("head", F.lit(1), tail)))
+    facts = whole.select("doc_id", "body_id", "next_id", F.col("n_chars").cast("long").alias("n_chars"),
+                         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    distinct = whole.dropDuplicates(["doc_id", "body_id"]) if repeated else whole
+    sides = distinct.select("doc_id", "body_id", "next_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("text").alias("body")),
+        F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("s")).select(
+        "doc_id", "body_id", "next_id", "s.side", "s.body")
+    # The next id is carried along so that both uses of the heads' exchange ask for the same columns.
+    sampled = samples(sides, ["doc_id", "body_id", "next_id", "side"])
+    side = lambda i: F.first(F.when(F.col("side") == i, F.col("samples")), ignorenulls=True)
+    pair = sampled.groupBy("doc_id", "body_id").agg(side(0).alias("own"), side(1).alias("changed"))
+    pair = pair.withColumnRenamed("doc_id", "id").withColumnRenamed("body_id", "bid")
+    # Where ids are unique they are the key, by which both sides are dealt out already.
+    same = (facts["body_id"] == pair["bid"]) & facts["doc_id"].eqNullSafe(pair["id"]) if repeated \
+        else facts["doc_id"] == pair["id"]
+    return facts.join(pair, same, "left").drop("id", "bid")
