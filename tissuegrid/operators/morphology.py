@@ -19,7 +19,6 @@ from tissuegrid.functions import likelihood as lk
 from tissuegrid.session import materialize
 
 FACTOR_MAX = 5.0
-PRIOR_A = PRIOR_B = 0.5
 SLAB = 1.0
 PROPOSAL = 0.5
 KEEP_SHARE = {"joint": 0.05, "single": 0.1}
@@ -82,60 +81,56 @@ def gene_scores(blocks: DataFrame, model, betas: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def _flag_prior(gamma: np.ndarray) -> np.ndarray:
-    """Unnormalised log prior of a flag under the beta-binomial form of two trials."""
-    value = [math.lgamma(PRIOR_A + g) + math.lgamma(PRIOR_B + 2 - g) - math.lgamma(1 + g) - math.lgamma(2 - g)
-             for g in (0, 1)]
-    return np.where(gamma == 1, value[1], value[0])
-
-
 def sample_effects(
     blocks: DataFrame, model, start=None, iterations: int = 1500, burn: int | None = None,
     slab: float = SLAB, seed: int = 0, moves: str = "joint",
 ) -> tuple[np.ndarray, np.ndarray]:
     """Posterior means of the coefficients and their inclusion.
 
-    ``moves="joint"`` flips every flag of a gene at once, ``"single"`` flips one feature per
-    step in turn. Rarely included coefficients are set to zero at the end.
+    Each coefficient is zero, or normal of width ``slab``, with even odds a priori. A step touches one
+    feature (``"single"``, in turn) or all of them (``"joint"``). A touched coefficient that is zero
+    gets a draw from the slab (birth); another is set to zero (death) or moved (walk), each half of
+    the time. Genes do not share coefficients, so every gene accepts or rejects its whole step by its
+    own likelihood, and the state it keeps is the state that was scored: one job per step.
+    Rarely included coefficients are set to zero at the end.
     """
     if moves not in KEEP_SHARE:
         raise ValueError(f"unknown moves {moves}")
     rng = np.random.default_rng(seed)
-    n_genes = len(model.matrix)
-    n_features = len(blocks.select(F.col("cells")[0]["x"].alias("x")).first()["x"])
-    beta = np.zeros((n_features, n_genes)) if start is None else start[0].copy()
-    gamma = start[1] if start is not None else None
-    gamma = rng.integers(0, 2, beta.shape) if gamma is None else gamma.copy()
+    if start is None:
+        n_features = len(blocks.select(F.col("cells")[0]["x"].alias("x")).first()["x"])
+        beta = np.zeros((n_features, len(model.matrix)))
+    else:
+        beta = start[0].copy()
     burn = iterations // 2 if burn is None else burn
     sums, flags, kept = np.zeros_like(beta), np.zeros_like(beta), 0
-
-    def log_density(b):
-        # Slab and proposal share their width, so most terms cancel; kept for other widths.
-        return -b * b / (2 * slab * slab) - math.log(slab) + b * b / 2
-
-    for it in range(iterations):
-        # Flip the flags; a flag that turns on draws its coefficient.
-        touched = np.ones_like(gamma, bool)
-        if moves == "single":
-            touched[:] = False
-            touched[it % n_features] = True
-        trial_flag = np.where(touched, 1 - gamma, gamma)
-        trial = np.where(trial_flag == 1, np.where(touched, rng.normal(0, 1.0, beta.shape), beta), 0.0)
-        now, new = gene_scores(blocks, model, [beta, trial])
-        gain = (now - new)[None, :] + _flag_prior(trial_flag) - _flag_prior(gamma)
-        gain = gain + np.where(trial_flag == 1, log_density(trial), -log_density(beta))
-        accept = touched & (gain > np.log(rng.random(beta.shape)))
-        gamma = np.where(accept, trial_flag, gamma)
-        # Then move the coefficients that are switched on.
-        beta = np.where(gamma == 1, beta, 0.0)
-        trial = np.where(gamma == 1, rng.normal(beta, PROPOSAL), 0.0)
-        now, new = gene_scores(blocks, model, [beta, trial])
-        gain = (now - new)[None, :] + (beta * beta - trial * trial) / (2 * slab * slab)
-        beta = np.where(gain > np.log(rng.random(beta.shape)), trial, beta)
-        if it >= burn:
+    current = gene_scores(blocks, model, [beta])[0]
+    for step in range(iterations):
+        touched = np.ones(beta.shape, bool) if moves == "joint" else np.arange(len(beta))[:, None] == step % len(beta)
+        trial, log_ratio = propose(beta, np.broadcast_to(touched, beta.shape), slab, rng)
+        scored = gene_scores(blocks, model, [trial])[0]
+        accept = np.log(rng.random(beta.shape[1])) < current - scored + log_ratio
+        beta, current = np.where(accept, trial, beta), np.where(accept, scored, current)
+        if step >= burn:
             kept += 1
             sums += beta
-            flags += gamma
+            flags += beta != 0
     mean, share = sums / max(kept, 1), flags / max(kept, 1)
     included = share >= KEEP_SHARE[moves]
     return np.where(included, mean, 0.0), included.astype(int)
+
+
+def propose(beta: np.ndarray, touched: np.ndarray, slab: float, rng) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate coefficients and, per gene, the log ratio of prior and proposal densities.
+
+    A birth draws from the slab itself, so the densities cancel and the odds of choosing its reverse,
+    one half, remain; a death is its mirror image; a walk leaves the ratio of the slab's densities.
+    """
+    birth = touched & (beta == 0)
+    death = touched & (beta != 0) & (rng.random(beta.shape) < 0.5)
+    walk = touched & (beta != 0) & ~death
+    trial = np.where(birth, rng.normal(0.0, slab, beta.shape), beta)
+    trial = np.where(death, 0.0, trial)
+    trial = np.where(walk, beta + rng.normal(0.0, PROPOSAL, beta.shape), trial)
+    walked = np.where(walk, (beta * beta - trial * trial) / (2 * slab * slab), 0.0)
+    return trial, (walked + math.log(0.5) * birth - math.log(0.5) * death).sum(axis=0)
