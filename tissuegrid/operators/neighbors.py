@@ -339,31 +339,39 @@ def _cell(axis: str, side) -> "F.Column":
 def close_pairs(locs: DataFrame, axes: list[str], radius: float, p: int = 1, unit_rows: int = 1000) -> DataFrame:
     """Ordered pairs of distinct locations within ``radius``: columns ``a_*``, ``b_*`` and ``d``.
 
-    Grid of side ``radius``: a pair lies in adjoining grid cells. Crowded grid cells are split,
-    so no task compares more than a bounded block of one cell.
+    Grid of side ``radius``: a pair lies in adjoining grid cells. A crowded grid cell is split on both
+    sides, so a join key holds about ``unit_rows`` locations of the cell and as many of each neighbour's.
     """
     side = F.lit(float(radius))
     home = [_cell(a, side).alias(f"_g{a}") for a in axes]
     gcols = [f"_g{a}" for a in axes]
     gridded = locs.select("*", *home)
     splits = gridded.groupBy(*gcols).agg(F.ceil(F.count("*") / unit_rows).cast("int").alias("_parts"))
-    right = gridded.join(splits, gcols).select(
-        *gcols, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"),
+    own = F.pmod(F.xxhash64(*axes), "_parts").cast("int")
+    whole = gridded.join(splits, gcols)
+    # The neighbours that look into a cell are split by their own cell's parts; the cell answers each of them.
+    reached = splits.select(*gcols, "_parts")
+    for g in gcols:
+        reached = reached.withColumn("_o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(
+            g, F.col(g) + F.col("_o")).drop("_o")
+    reached = reached.groupBy(*gcols).agg(F.max("_parts").alias("_askers"))
+    right = whole.join(reached, gcols).select(
+        *gcols, own.alias("_part"), F.explode(F.sequence(F.lit(0), F.col("_askers") - 1)).alias("_asker"),
         *[F.col(c).alias(f"b_{c}") for c in locs.columns],
     )
-    left = gridded.select(*gcols, *[F.col(c).alias(f"a_{c}") for c in locs.columns])
+    left = whole.withColumn("_asker", own).drop("_parts").select(*gcols, "_asker", *[F.col(c).alias(f"a_{c}") for c in locs.columns])
     for g in gcols:
         left = left.withColumn("_o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(
             g, F.col(g) + F.col("_o")).drop("_o")
     left = left.join(splits, gcols).withColumn(
-        "_part", F.pmod(F.xxhash64(*[f"a_{a}" for a in axes]), "_parts").cast("int")).drop("_parts")
+        "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     gaps = [F.abs(F.col(f"a_{a}") - F.col(f"b_{a}")) for a in axes]
     if p == 1:
         dist = sum(gaps[1:], gaps[0])
     else:
         squares = [g * g for g in gaps]
         dist = F.sqrt(sum(squares[1:], squares[0]))
-    pairs = left.join(right, [*gcols, "_part"]).drop(*gcols, "_part").withColumn("d", dist)
+    pairs = left.join(right, [*gcols, "_part", "_asker"]).drop(*gcols, "_part", "_asker").withColumn("d", dist)
     return pairs.where((F.col("d") > 0) & (F.col("d") <= radius))
 
 

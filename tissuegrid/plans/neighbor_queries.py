@@ -66,9 +66,9 @@ def knn_orders_in_class(t):
     return rounded(nb.knn_join(p, p, 5, by="cls", exclude_self=True, broadcast_rows=10_000), "distance", digits=3)
 
 
-RADIUS = """pd AS (SELECT a.id AS query_id, b.id AS ref_id, abs(a.x - b.x) + abs(a.y - b.y) AS d FROM e a JOIN e b ON a.id <> b.id),
-  od AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, 10.0::DOUBLE / (SELECT count(*) FROM e) * (count(*) OVER () - 1) AS pos FROM pd WHERE d > 0),
-  rr AS (SELECT max(CASE WHEN i = floor(pos) THEN d END) + (max(CASE WHEN i = ceil(pos) THEN d END) -
+RADIUS = """pd AS MATERIALIZED (SELECT a.id AS query_id, b.id AS ref_id, abs(a.x - b.x) + abs(a.y - b.y) AS d FROM e a JOIN e b ON a.id <> b.id),
+  od AS MATERIALIZED (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, 10.0::DOUBLE / (SELECT count(*) FROM e) * (count(*) OVER () - 1) AS pos FROM pd WHERE d > 0),
+  rr AS MATERIALIZED (SELECT max(CASE WHEN i = floor(pos) THEN d END) + (max(CASE WHEN i = ceil(pos) THEN d END) -
     max(CASE WHEN i = floor(pos) THEN d END)) * any_value(pos - floor(pos)) AS r FROM od)"""
 
 
