@@ -17,6 +17,11 @@ def test_geojson_drops_malformed(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(doc))
     df = src.read_geojson(spark, str(tmp_path / "a.json"))
     assert df.count() == 2 and src.measurement_names(df) == ["A", "B"]
+    late = good(9)
+    late["properties"]["measurements"]["C"] = 2.0
+    doc["features"].append(late)
+    (tmp_path / "c.json").write_text(json.dumps(doc))
+    assert src.measurement_names(src.read_geojson(spark, str(tmp_path / "c.json"))) == ["A", "B", "C"]
     named = src.number_cells(df, ["file", "pos"]).orderBy("cell_id").collect()
     assert [r["cell_id"] for r in named] == ["cell_0", "cell_1"] and named[1]["measurements"]["B"] == 5.0
     (tmp_path / "b.jsonl").write_text("\n".join(json.dumps(good(i)) for i in range(3)))
@@ -28,6 +33,10 @@ def test_nuclei(spark, tmp_path):
     (tmp_path / "n.json").write_text(json.dumps(doc))
     df = src.read_nuclei(spark, str(tmp_path / "n.json"), 40, 20)
     row = df.where("nucleus_id = '1'").first()
+    many = {"nuc": {str(i): doc["nuc"]["1"] for i in range(120_000)}}
+    (tmp_path / "m.json").write_text(json.dumps(many))
+    assert src.read_nuclei(spark, str(tmp_path / "m.json")).count() == 120_000
+    assert 0.4 < src.read_nuclei(spark, str(tmp_path / "m.json"), share=0.5).count() / 120_000 < 0.6
     assert df.count() == 4 and row["contour"][0]["x"] == 5.0 and row["polygon"][0]["y"] == 5.5 and row["centroid"] == [6.0, 7.0]
 
 

@@ -58,7 +58,7 @@ def test_whole_workflow(spark, slide, tmp_path):
     assert radius[0] == pytest.approx(8, abs=0.5) and radius[1] == pytest.approx(8, abs=0.5)
 
     spatial = wf.Spatial(slide["counts"], slide["spots"], diameter=60.0, cells=cells, features=features)
-    settings = wf.Settings(adapt=False, epochs=2, mcmc_iterations=2, umi_min_sigma=100, fill_rounds=6, n_neighbors=4)
+    settings = wf.Settings(adapt=False, all_genes=True, epochs=2, mcmc_iterations=2, umi_min_sigma=100, fill_rounds=6, n_neighbors=4)
     found = wf.identify_cells(spatial, slide["ref"], settings, out=str(tmp_path))
     assert found.all_labels.count() == 75
     at = {r["cell_id"]: (round(r["x"]), round(r["y"])) for r in cells.collect()}
@@ -78,7 +78,7 @@ def test_adaptation_and_attention_fill(spark, slide):
     cells, features = wf.extract_features(spark, slide["geojson"])
     spatial = wf.Spatial(slide["counts"], slide["spots"], diameter=60.0, cells=cells, features=features)
     settings = wf.Settings(
-        adapt=True, cvae=cvae.CvaeConfig(epochs=3, samples=200), epochs=1, mcmc_iterations=1, umi_min_sigma=100,
+        adapt=True, all_genes=True, cvae=cvae.CvaeConfig(epochs=3, samples=200), epochs=1, mcmc_iterations=1, umi_min_sigma=100,
         fill="attention", gat=gat.GatConfig(hidden=8, epochs=3, block_nodes=40), neighbor_mode="knn", n_neighbors=4)
     found = wf.identify_cells(spatial, slide["ref"], settings)
     assert found.all_labels.count() == 75

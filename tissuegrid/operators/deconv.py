@@ -22,8 +22,6 @@ DAMPING = 0.3
 CURVATURE_FLOOR = 1e-3
 RIDGE = 1e-7
 START_SIGMA = 100
-MAX_FIT_SPOTS = 1000
-MAX_FIT_ENTRIES = 1_000_000
 SIGMA_EPOCHS = 8
 SIGMA_WINDOW = 8
 MULTIPLIERS = (0.8, 0.9, 1.0, 1.1, 1.2)
@@ -188,8 +186,10 @@ def sigma_window(sigma: int) -> np.ndarray:
     return lk.SIGMAS[max(0, at - SIGMA_WINDOW):at + SIGMA_WINDOW + 1]
 
 
-def sample_entries(entries: DataFrame, n: int = MAX_FIT_ENTRIES, seed: int = 0) -> DataFrame:
-    """The sigma fit is defined on a bounded sample of likelihood entries."""
+def sample_entries(entries: DataFrame, n: int | None = None, seed: int = 0) -> DataFrame:
+    """Likelihood entries of the sigma fit: all of them, or ``n`` where a bound is asked for."""
+    if n is None:
+        return entries
     key = F.concat_ws("-", F.col("id").cast("string"), F.col("ix").cast("string"))
     return entries.orderBy(hash_order(key, seed), "id", "ix").limit(n)
 
@@ -235,18 +235,20 @@ def expected_counts(fitted: DataFrame, spots: DataFrame, profiles: Profiles) ->
 
 
 def choose_sigma(
-    spots: DataFrame, profiles: Profiles, min_umi: float = 100, n_fit: int = MAX_FIT_SPOTS,
-    epochs: int = SIGMA_EPOCHS, seed: int = 0, start: int = START_SIGMA,
+    spots: DataFrame, profiles: Profiles, min_umi: float = 100, n_fit: int | None = None,
+    n_entries: int | None = None, epochs: int = SIGMA_EPOCHS, seed: int = 0, start: int = START_SIGMA,
 ) -> int:
-    """Alternate spot fits and a local sigma search on a bounded sample of spots."""
-    sample = spots.where(F.col("n_umi") > min_umi).orderBy(hash_order(F.col("id"), seed), "id").limit(n_fit)
+    """Alternate spot fits and a local sigma search; ``n_fit`` spots and ``n_entries`` entries bound them on request."""
+    sample = spots.where(F.col("n_umi") > min_umi)
+    if n_fit is not None:
+        sample = sample.orderBy(hash_order(F.col("id"), seed), "id").limit(n_fit)
     sample = materialize(sample, "sigma-spots")
     if sample.limit(1).count() == 0:
         raise ValueError("no spot exceeds min_umi; lower it")
     sigma = start
     for _ in range(epochs):
         fitted = fit_spots(sample, profiles, sigma)
-        entries = materialize(sample_entries(expected_counts(fitted, sample, profiles), seed=seed), "entries")
+        entries = materialize(sample_entries(expected_counts(fitted, sample, profiles), n_entries, seed), "entries")
         previous, sigma = sigma, best_sigma(score_sigmas(entries, sigma_window(sigma)))
         if sigma == previous:
             break

@@ -31,21 +31,21 @@ def _overlap(pairs: DataFrame, spots: DataFrame, edges: DataFrame, diameter: flo
 
 
 def overlap_matrix(cells: DataFrame, spots: DataFrame, edges: DataFrame, diameter: float,
-                   max_cells: int = 10, seed: int = 0, **how) -> DataFrame:
-    """Spot x cell overlap fractions; zero overlap drops the cell, then each spot is capped."""
+                   max_cells: int | None = None, seed: int = 0, **how) -> DataFrame:
+    """Spot x cell overlap fractions; zero overlap drops the cell. ``max_cells`` then caps each spot."""
     pairs = nearest_spots(cells, spots, diameter, **how)
     frac = _overlap(pairs, spots, edges, diameter).where("frac > 0")
-    return cap_per_spot(frac, max_cells, seed)
+    return frac if max_cells is None else cap_per_spot(frac, max_cells, seed)
 
 
 def overlap_from_assignment(assigned: DataFrame, spots: DataFrame, edges: DataFrame, diameter: float,
-                            max_cells: int = 10, seed: int = 0) -> DataFrame:
-    """As above for given ``(spot_id, cell_id)``: cap first, and keep zero overlaps.
+                            max_cells: int | None = None, seed: int = 0) -> DataFrame:
+    """As above for given ``(spot_id, cell_id)``: a cap comes first, zero overlaps are kept.
 
     Only cells of listed spots remain.
     """
-    kept = cap_per_spot(assigned.join(spots.select("spot_id"), "spot_id", "left_semi"), max_cells, seed)
-    kept = materialize(kept, "kept")
+    kept = assigned.join(spots.select("spot_id"), "spot_id", "left_semi")
+    kept = materialize(kept if max_cells is None else cap_per_spot(kept, max_cells, seed), "kept")
     frac = _overlap(kept, spots, edges, diameter)
     return kept.join(frac, ["spot_id", "cell_id"], "left").withColumn("frac", F.coalesce("frac", F.lit(0.0)))
 

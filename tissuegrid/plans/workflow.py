@@ -32,12 +32,7 @@ log = logging.getLogger("tissuegrid")
 # Fixed defaults of the method.
 UMI_MAX = 20_000_000
 CELL_MIN = 25
-REFERENCE_CELLS = 10_000
-ADAPT_CELLS = 5
-ALL_GENES_BELOW = 1000
-KNN_ABOVE = 30_000
 MARKER_CUTS = {"bulk": (1.0, 2e-4), "reg": (1.25, 3e-4)}
-ENHANCE_SAMPLE = (8000, 100)
 
 
 # ---- features ----------------------------------------------------------------------------------
@@ -112,11 +107,19 @@ class Reference:
 @dataclass(frozen=True)
 class Settings:
     image_mode: bool = False
+    umi_min: float = 100
+    umi_max: float = UMI_MAX
     umi_min_sigma: float = 300
     nu: float = 10.0
     n_neighbors: int = 10
-    max_cells: int = 10
-    neighbor_mode: str = "auto"
+    neighbor_mode: str = "radius"  # or "knn"
+    # Bounds on work, each off unless asked for: cells per spot and per type, spots and entries of the sigma fit.
+    max_cells: int | None = None
+    reference_cells: int | None = None
+    adapt_cells: int | None = None
+    sigma_spots: int | None = None
+    sigma_entries: int | None = None
+    all_genes: bool = False
     drop_low: bool = False
     adapt: bool = True
     adapt_blend: float = 1.0
@@ -156,12 +159,12 @@ class Warm:
     sigma: int
 
 
-def gene_lists(profiles, counts, image_mode: bool, markers: DataFrame | None) -> dict[str, DataFrame]:
+def gene_lists(profiles, counts, all_genes: bool, markers: DataFrame | None) -> dict[str, DataFrame]:
     """Search genes for the regression and the bulk fit."""
     if markers is not None:
         return {"bulk": markers.select("gene"), "reg": markers.select("gene")}
     measured = counts.select("gene").distinct()
-    if image_mode or measured.count() < ALL_GENES_BELOW:
+    if all_genes:
         common = measured.join(profiles.select("gene").distinct(), "gene")
         found = {"bulk": common, "reg": common}
     else:
@@ -176,16 +179,20 @@ def gene_lists(profiles, counts, image_mode: bool, markers: DataFrame | None) ->
     return found
 
 
+def _bounded(types: DataFrame, n: int | None, seed: int) -> DataFrame:
+    """All cells, or at most ``n`` of each type where a bound is asked for."""
+    return types if n is None else sampling.sample_per_class(types, n, seed)
+
+
 def warm_start(spatial: Spatial, reference: Reference, settings: Settings, markers: DataFrame | None = None) -> Warm:
     counts, sizes = spatial.counts, materialize(mx.library_sizes(spatial.counts), "sizes")
     mx.check_barcodes(spatial.spots, counts, sizes)
-    types = sampling.sample_per_class(reference.types, REFERENCE_CELLS, settings.seed)
+    types = _bounded(reference.types, settings.reference_cells, settings.seed)
     for row in mx.type_counts(types, CELL_MIN).where("NOT enough").collect():
         log.warning("cell type %s has %d cells, fewer than %d", row["cell_type"], row["n_cells"], CELL_MIN)
     profiles = materialize(mx.type_profiles(reference.counts, types), "profiles")
-    low = min(20 if settings.image_mode else 100, settings.umi_min_sigma)
-    kept = mx.restrict_counts(counts, sizes, None, low, UMI_MAX).drop("n_umi")
-    lists = gene_lists(profiles, kept, settings.image_mode, markers)
+    kept = mx.restrict_counts(counts, sizes, None, settings.umi_min, settings.umi_max).drop("n_umi")
+    lists = gene_lists(profiles, kept, settings.image_mode or settings.all_genes, markers)
     puck = materialize(kept.join(lists["bulk"], "gene", "left_semi"), "puck")
     sizes = sizes.join(puck.select("id").distinct(), "id", "left_semi")
     if settings.drop_low:
@@ -202,7 +209,7 @@ def warm_start(spatial: Spatial, reference: Reference, settings: Settings, marke
     axis = impute.gene_axis(lists["reg"])
     spots = materialize(deconv.spot_rows(puck, sizes, axis), "spots")
     shapes = deconv.Profiles(renormed, axis)
-    sigma = deconv.choose_sigma(spots, shapes, settings.umi_min_sigma, seed=settings.seed)
+    sigma = deconv.choose_sigma(spots, shapes, settings.umi_min_sigma, settings.sigma_spots, settings.sigma_entries, seed=settings.seed)
     fitted = materialize(deconv.fit_spots(spots, shapes, sigma), "fitted")
     return Warm(puck, sizes, lists["reg"], profiles, shapes, spots, fitted, sigma)
 
@@ -210,7 +217,7 @@ def warm_start(spatial: Spatial, reference: Reference, settings: Settings, marke
 def _balance(puck, reference, types, genes, settings: Settings) -> DataFrame:
     """Platform correction: replace spot counts by their reconstruction on the reference platform."""
     scale = 1e3 if settings.image_mode else 1e4
-    few = sampling.sample_per_class(types, ADAPT_CELLS, settings.seed)
+    few = _bounded(types, settings.adapt_cells, settings.seed)
     sc = reference.counts.join(few.select("id"), "id", "left_semi").join(genes, "gene", "left_semi")
     axis = impute.gene_axis(genes)
     config = settings.cvae
@@ -225,11 +232,10 @@ def _balance(puck, reference, types, genes, settings: Settings) -> DataFrame:
 
 
 def cell_graph(cells: DataFrame, settings: Settings, axes: list[str]) -> DataFrame:
-    """Neighbour edges: k nearest above 30000 cells, else Manhattan radius; or as asked."""
-    mode = settings.neighbor_mode
-    if mode == "auto":
-        mode = "knn" if cells.count() > KNN_ABOVE else "radius"
-    if mode == "knn":
+    """Neighbour edges as the settings ask: k nearest, or within a Manhattan radius that gives about as many."""
+    if settings.neighbor_mode not in ("knn", "radius"):
+        raise ValueError(f"unknown neighbor_mode {settings.neighbor_mode}")
+    if settings.neighbor_mode == "knn":
         return gr.knn_edges(cells, axes, settings.n_neighbors).select("src", "dst")
     radius = nb.pair_distance_quantile(cells, axes, settings.n_neighbors / cells.count())
     return nb.radius_neighbors(cells, axes, radius).select(F.col("query_id").alias("src"), F.col("ref_id").alias("dst"))
@@ -320,10 +326,13 @@ def fill_up(cells, labels, vectors, axes, n_types: int, s: Settings) -> DataFram
 
 def enhance_from_spots(
     spatial: Spatial, reference: Reference, found: Identified, k: int = 50, balance: bool = True,
-    sample: tuple[int, int] = ENHANCE_SAMPLE, seed: int = 0, out: str | None = None,
+    sample: tuple[int, int] | None = None, seed: int = 0, out: str | None = None,
 ) -> DataFrame:
-    """Whole-transcriptome counts ``(id, gene, value)`` for every cell of the slide."""
-    types = sampling.sample_if_large(reference.types, *sample, seed)
+    """Whole-transcriptome counts ``(id, gene, value)`` for every cell of the slide.
+
+    ``sample`` (limit, n) cuts every class of the reference to n cells once one exceeds the limit.
+    """
+    types = reference.types if sample is None else sampling.sample_if_large(reference.types, *sample, seed)
     refs = materialize(reference.counts.join(types.select("id"), "id", "left_semi"), "refs")
     cells = found.all_labels.select("id", "cell_type")
     signature = cells.join(found.warm.profiles.join(found.warm.genes, "gene", "left_semi"), "cell_type")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tissuegrid.functions.scalars import homography
-from tissuegrid.operators.ranking import hash_order, row_numbers
+from tissuegrid.operators.ranking import hash_uniform, row_numbers
 from tissuegrid.sources.tables import require_columns
 
 _GEOMETRY = "struct<coordinates: array<array<array<double>>>>"
@@ -20,7 +20,6 @@ _PROPERTIES = "struct<measurements: map<string,double>>"
 _NUCLEUS = "struct<contour: array<array<double>>, centroid: array<double>, type: int>"
 
 SLIDE_TYPES = (".svs", ".tif", ".ndpi")
-LARGE_SLIDE = 100_000
 PROBABILITY_NAMES = ("detection_probability", "probability", "detection_prob")
 
 
@@ -48,10 +47,9 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
 
 
 def measurement_names(features: DataFrame) -> list[str]:
-    """Columns of the feature table: the names the second feature carries."""
-    rows = features.orderBy("file", "pos").select("pos", F.map_keys("measurements").alias("k")).limit(2).collect()
-    rows = [r for r in rows if r["pos"] == 1] or rows[:1]
-    return list(rows[0]["k"]) if rows else []
+    """Columns of the feature table: every name that any feature carries, in order of name."""
+    names = features.select(F.explode(F.map_keys("measurements")).alias("k")).distinct()
+    return sorted(r["k"] for r in names.collect())
 
 
 def number_cells(cells: DataFrame, order: Sequence[str], prefix: str = "cell_") -> DataFrame:
@@ -60,20 +58,21 @@ def number_cells(cells: DataFrame, order: Sequence[str], prefix: str = "cell_")
     return numbered.withColumn("cell_id", F.concat(F.lit(prefix), (F.col("_rn") - 1).cast("string"))).drop("_rn")
 
 
-def read_nuclei(spark: SparkSession, path: str, detection_mag: int = 40, slide_mag: int = 40, seed: int = 0) -> DataFrame:
+def read_nuclei(
+    spark: SparkSession, path: str, detection_mag: int = 40, slide_mag: int = 40, share: float = 1.0, seed: int = 0,
+) -> DataFrame:
     """Nucleus map JSON: ``(file, nucleus_id, contour, polygon, centroid, type)`` at slide scale.
 
     Contours and centroids are floor-divided for the pixel grid, the polygon is divided exactly.
-    A file with more than 100000 nuclei is represented by a tenth of them.
+    ``share`` below 1 asks for that part of the nuclei, drawn by a hash of file and id.
     """
     ratio = detection_mag / slide_mag
     raw = spark.read.schema(f"nuc map<string, {_NUCLEUS}>").option("multiLine", True).json(path)
-    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.size("nuc").alias("n"),
-                      F.explode("nuc").alias("nucleus_id", "f"))
-    keep = (F.col("n") <= LARGE_SLIDE) | (
-        F.conv(F.substring(hash_order(F.concat_ws("/", "file", "nucleus_id"), seed), 1, 8), 16, 10).cast("long") % 10 == 0)
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.explode("nuc").alias("nucleus_id", "f"))
+    if share < 1:
+        rows = rows.where(hash_uniform(F.concat_ws("/", "file", "nucleus_id"), seed) < share)
     floor = lambda v: F.floor(v / ratio).cast("double")
-    return rows.where(keep).select(
+    return rows.select(
         "file", "nucleus_id",
         F.transform("f.contour", lambda p: F.struct(floor(p[0]).alias("x"), floor(p[1]).alias("y"))).alias("contour"),
         F.transform("f.contour", lambda p: F.struct((p[0] / ratio).alias("x"), (p[1] / ratio).alias("y"))).alias("polygon"),
