@@ -179,5 +179,7 @@ def identify(
     out = out.withColumn("posterior", F.transform("odds", lambda x: x / F.aggregate("odds", F.lit(0.0), lambda t, o: t + o)))
     out = out.withColumn("probability", F.array_max("posterior"))
     best = F.element_at(F.array(*map(F.lit, languages)), F.array_position("posterior", F.col("probability")).cast("int"))
-    return out.select(*key, "declared", "host", best.alias("lang"), F.round("probability", 9).alias("probability"),
-                      ((F.col("letters") >= letters) & (F.col("probability") >= accept)).alias("accepted"))
+    # Stored: a filter on the result would be rewritten in terms of all the steps above.
+    return materialize(out.select(
+        *key, "declared", "host", best.alias("lang"), F.round("probability", 9).alias("probability"),
+        ((F.col("letters") >= letters) & (F.col("probability") >= accept)).alias("accepted")), "languages")
