@@ -117,17 +117,15 @@ def nearest_spot_join(t):
     return rounded(sp.nearest_spots(_cells(edges), _spots(t), 40.0), "distance", digits=4)
 
 
-@query("overlap_matrix", f"""WITH {VERT}, {NEAR}, ci AS (SELECT spot_id, cell_id, cx, cy, 20.0 AS r FROM nr WHERE rk = 1 AND d <= 20 + radius), {DISC},
-  cp AS (SELECT *, row_number() OVER (PARTITION BY spot_id ORDER BY md5('0:' || cell_id::VARCHAR), cell_id) AS rn FROM fr WHERE frac > 0)
-SELECT spot_id, cell_id, round(frac, 6) AS frac FROM cp WHERE rn <= 3""")
+@query("overlap_matrix", f"""WITH {VERT}, {NEAR}, ci AS (SELECT spot_id, cell_id, cx, cy, 20.0 AS r FROM nr WHERE rk = 1 AND d <= 20 + radius), {DISC}
+SELECT spot_id, cell_id, round(frac, 6) AS frac FROM fr WHERE frac > 0""")
 def overlap_matrix(t):
     edges = vw.shared(ge.ring_edges(_vertices(t)))
-    return rounded(sp.overlap_matrix(_cells(edges), _spots(t), edges, 40.0, max_cells=3), "frac")
+    return rounded(sp.overlap_matrix(_cells(edges), _spots(t), edges, 40.0), "frac")
 
 
 @query("overlap_from_assignment", f"""WITH {VERT}, {NEAR}, aa AS (SELECT DISTINCT cell_id, cell_id % 9 AS spot_id FROM ed),
-  ak AS (SELECT *, row_number() OVER (PARTITION BY spot_id ORDER BY md5('0:' || cell_id::VARCHAR), cell_id) AS rn FROM aa JOIN so USING (spot_id)),
-  ci AS (SELECT spot_id, cell_id, cx, cy, 30.0 AS r FROM ak WHERE rn <= 10), {DISC}
+  ci AS (SELECT spot_id, cell_id, cx, cy, 30.0 AS r FROM aa JOIN so USING (spot_id)), {DISC}
 SELECT spot_id, cell_id, round(frac, 6) AS frac FROM fr""")
 def overlap_from_assignment(t):
     edges = vw.shared(ge.ring_edges(_vertices(t)))

@@ -349,8 +349,9 @@ def roi_filter(t):
 
 @query("slice_filter", """SELECT event_id AS id, event_type AS slice_id FROM events WHERE event_type IN ('click', 'view')""")
 def slice_filter(t):
-    return t.events.where(F.col("event_type").isin("click", "view")).select(
-        F.col("event_id").alias("id"), F.col("event_type").alias("slice_id"))
+    from tissuegrid.operators.idsets import in_slices
+    return in_slices(t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("slice_id")),
+                     "slice_id", ["click", "view"])
 
 
 @query("label_subset", """SELECT vec_id AS id, CASE WHEN label IN (1, 4, 7) THEN label END AS label FROM embeddings""")
@@ -362,25 +363,25 @@ def label_subset(t):
 @query("region_ids", """SELECT n_nationkey AS id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'
 INTERSECT SELECT DISTINCT c_nationkey FROM customer""")
 def region_ids(t):
-    asia = t.region.where("r_name = 'ASIA'").select("r_regionkey")
-    ids = t.nation.join(asia, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
-    return ids.select(F.col("n_nationkey").alias("id")).intersect(
-        t.customer.select(F.col("c_nationkey").alias("id")))
+    from tissuegrid.operators.idsets import common_ids, in_region
+    members = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("region"))
+    regions = t.region.select(F.col("r_regionkey").alias("region"), F.col("r_name").alias("name"))
+    return common_ids(in_region(members, regions, ["ASIA"]), t.customer.select(F.col("c_nationkey").alias("id")))
 
 
 @query("unlabelled_difference", """SELECT doc_id AS id FROM documents EXCEPT SELECT doc_id FROM labels""")
 def unlabelled_difference(t):
-    return t.documents.select(F.col("doc_id").alias("id")).join(
-        t.labels.select(F.col("doc_id").alias("id")), "id", "left_anti")
+    from tissuegrid.operators.idsets import missing_ids
+    return missing_ids(t.documents.withColumnRenamed("doc_id", "id"), t.labels.withColumnRenamed("doc_id", "id"))
 
 
-@query("id_union_outer", """WITH a AS (SELECT DISTINCT l_suppkey AS id, 1 AS has_cell FROM lineitem WHERE l_quantity > 49),
-  b AS (SELECT s_suppkey AS id, 1 AS has_nucleus FROM supplier WHERE s_acctbal < 5000)
+@query("id_union_outer", """WITH a AS (SELECT DISTINCT o_custkey AS id, 1 AS has_cell FROM orders),
+  b AS (SELECT DISTINCT user_id AS id, 1 AS has_nucleus FROM events)
 SELECT id, has_cell, has_nucleus FROM a FULL OUTER JOIN b USING (id)""")
 def id_union_outer(t):
-    a = t.lineitem.where("l_quantity > 49").select(F.col("l_suppkey").alias("id")).distinct()
-    b = t.supplier.where("s_acctbal < 5000").select(F.col("s_suppkey").alias("id"))
-    return a.withColumn("has_cell", F.lit(1)).join(b.withColumn("has_nucleus", F.lit(1)), "id", "full_outer")
+    from tissuegrid.operators.idsets import union_ids
+    return union_ids(t.orders.select(F.col("o_custkey").alias("id")), t.events.select(F.col("user_id").alias("id")),
+                     "has_cell", "has_nucleus")
 
 
 @query("domain_map", """SELECT c_custkey AS id, coalesce(r_name, 'n' || c_nationkey::VARCHAR) AS domain

@@ -24,7 +24,6 @@ from tissuegrid.session import materialize
 
 STL = ("SELECT l_suppkey AS id, p_brand AS gene, count(*)::DOUBLE AS value FROM lineitem"
        " JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
-N_FEATURES = 4
 
 
 def _spot_lines(t):
@@ -200,16 +199,14 @@ def coefficient_priors(t):
 # ---- assignment --------------------------------------------------------------------------------
 
 def _cells_in_spots(t):
-    """Every cell gets a spot; a spot then holds at most its cap."""
-    from tissuegrid.operators.sampling import cap_per_spot
+    """Every cell gets a spot."""
     n = t.supplier.agg(F.count("*")).scalar()
-    given = vw.cells(t).select((F.col("id") % n).alias("spot_id"), F.col("id").alias("cell_id"),
-                               ((F.col("label") + 1) / 10.0).alias("frac"))
-    return cap_per_spot(given, 5, seed=1)
+    return vw.cells(t).select((F.col("id") % n).alias("spot_id"), F.col("id").alias("cell_id"),
+                              ((F.col("label") + 1) / 10.0).alias("frac"))
 
 
 def _features(t):
-    long = vw.cells(t).select("id", F.posexplode(F.slice("v", 1, N_FEATURES)).alias("feature", "value"))
+    long = vw.cells(t).select("id", F.posexplode("v").alias("feature", "value"))
     scaled = standardize(long)
     return scaled.groupBy("id").agg(F.transform(
         F.sort_array(F.collect_list(F.struct("feature", "value"))), lambda s: s["value"]).alias("v"))
