@@ -80,13 +80,14 @@ class WordCache:
 
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
-        self.split = regex.compile(SPLIT)
+        self.split = regex.compile(SPLIT + r"|\n")
         # The short way is for vocabularies that normalise and split as described above.
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         steps = [n.get("type") for n in (told.get("normalizer") or {}).get("normalizers", [])]
         patterns = [t.get("pattern", {}).get("Regex") for t in (told.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        self.short = steps == ["NFC", "Replace", "Lowercase"] and patterns == [SPLIT, None]
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.short = small and steps == ["NFC", "Replace", "Lowercase"] and patterns == [SPLIT, None]
         self.bytes = str.maketrans({i: c for i, c in enumerate(byte_characters())})
         self.words, self.parts = Memory(), Memory()
 
@@ -103,19 +104,25 @@ class WordCache:
         return [[known[w] for w in words] for words in split]
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:
-        plain = {i: self.split.findall(w.lower()) for i, w in enumerate(chunks) if self.short and _is_plain(w)}
-        new = self.parts.unknown(set().union(*plain.values())) if plain else []
-        long = {}
-        for p in new:
-            mapped = p.encode().decode("latin-1").translate(self.bytes)
-            ids = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-            (self.parts if len(p) <= LONGEST else long)[p] = ids
-        known = self.parts
-        return [b"".join([long[p] if p in long else known[p] for p in plain[i]]) if i in plain else np.asarray(
-            self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            for i, w in enumerate(chunks)]
-
-
+        """Ids of each chunk; all plain ones are split by one call, line feeds standing between them."""
+        plain = [w for w in chunks if _is_plain(w)] if self.short else []
+        ids: dict[str, bytes] = {}
+        if plain:
+            parts = self.split.findall("\n".join(plain).lower())
+            known, long = self.parts, {}
+            for p in known.unknown(set(parts)):
+                mapped = p.encode().decode("latin-1").translate(self.bytes)
+                found = _BETWEEN if p == "\n" else np.array(
+                    [t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
+                (known if len(p) <= LONGEST else long)[p] = found
+            whole = b"".join([long[p] if p in long else known[p] for p in parts] if long else [known[p] for p in parts])
+            ids = dict(zip(plain, whole.split(_BETWEEN)))
+        return [ids[w] if w in ids else np.asarray(
+            self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in chunks]
+
+
+#: Stands between chunks; no ids contain it, as every id leaves its two upper bytes zero.
+_BETWEEN = b"\xff\xff\xff\xff"
 #: Latin letters up to U+024F without the one whose lower case depends on the rule set (U+0130).
 _PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]*")
 
