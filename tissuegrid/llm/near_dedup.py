@@ -8,8 +8,8 @@
 3. Pairs whose signatures agree enough are confirmed on full shingle sets.
 4. A star can miss a link between two members that are both unlike the hub. Buckets that still hold
    several components are therefore compared once more across components, in blocks of bounded
-   size inside tasks, first for the most alike pair of each member and component, then, for what is
-   still apart, for all of them. Only pairs whose signatures agree come out, and all are confirmed.
+   size inside tasks, first for each member's most alike partner, then, for what is still apart, for
+   all of them. Only pairs whose signatures agree come out, and all are confirmed.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tissuegrid.llm.common import connected, materialize, release
 from tissuegrid.llm.textarrays import SPACE, Words, batches, byte_table
+from tissuegrid.session import spread
 
 WIDTH = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -30,7 +31,7 @@ PERCENT = 75
 #: At a similarity of 0.75 a pair shares no bucket with probability (1 - 0.75**5)**48 = 2e-6.
 BANDS, ROWS = 48, 5
 #: Standard deviations below the threshold down to which signatures count as alike.
-SLACK = 4.5
+SLACK = 2.75
 #: Members of a bucket per block when components are compared.
 BLOCK = 1000
 
@@ -115,7 +116,7 @@ def near_duplicates(
     reps = materialize(full.groupBy("set_a", "set_b").agg(
         F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "signature"), "doc_id").alias("s"))
         .select("set_a", "set_b", "node", "s.bands", "s.signature"), "representatives")
-    links = _links(docs, full, reps, width, percent, block)
+    links = _links(docs, full, reps, width, percent, bands, rows, block)
     component = materialize(links, "components")
     group = reps.select("set_a", "set_b", "node").join(component, "node", "left").select(
         "set_a", "set_b", F.coalesce("component", "node").alias("component"))
@@ -128,11 +129,13 @@ def near_duplicates(
                       F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
 
 
-def _links(docs: DataFrame, full: DataFrame, reps: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+def _links(
+    docs: DataFrame, full: DataFrame, reps: DataFrame, width: int, percent: int, bands: int, rows: int, block: int,
+) -> DataFrame:
     """(``node``, ``component``) over representatives that have a link."""
-    bins_needed = _least_agreement(percent, BANDS * ROWS)
+    bins_needed = _least_agreement(percent, bands * rows)
     exploded = reps.select("node", F.posexplode("bands").alias("band", "value")).select(
-        "node", F.xxhash64("band", "value").alias("bucket"))
+        "node", "band", F.xxhash64("band", "value").alias("bucket"))
     counts = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = materialize(exploded.join(materialize(counts, "buckets"), "bucket"), "members")
     # Ids that stand in rows with different sets tie those sets together.
@@ -158,7 +161,7 @@ def _links(docs: DataFrame, full: DataFrame, reps: DataFrame, width: int, percen
     component = materialize(connected(_union(found)), "components")
 
     for best_only in (True, False):
-        pairs = materialize(_across(shared, signatures, component, bins_needed, block, best_only), "pairs")
+        pairs = materialize(_across(shared, signatures, component, bins_needed, rows, block, best_only), "pairs")
         if pairs.isEmpty():
             break
         more = materialize(_confirmed(pairs, members, percent), "links")
@@ -219,7 +222,7 @@ def _confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(
-    shared: DataFrame, signatures: DataFrame, component: DataFrame, least: int, block: int, best_only: bool,
+    shared: DataFrame, signatures: DataFrame, component: DataFrame, least: int, rows: int, block: int, best_only: bool,
 ) -> DataFrame:
     """Agreeing pairs between components that meet in a bucket.
 
@@ -227,7 +230,7 @@ def _across(
     other. Both sides are cut into parts of about ``block`` members; a group of the shuffle is one
     part of the smaller side with one part of either, so its size is bounded whatever the bucket holds.
     """
-    placed = shared.select("bucket", "node").join(component, "node", "left").withColumn(
+    placed = shared.select("bucket", "band", "node").join(component, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     placed = materialize(placed, "placed")
     per = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -235,12 +238,12 @@ def _across(
         F.count(F.lit(1)).alias("components"), F.sum("n").alias("total"),
         F.max(F.struct("n", (-F.col("component")).alias("minus"))).alias("top")).where("components > 1").select(
         "bucket", "total", F.col("top.n").alias("largest"), (-F.col("top.minus")).alias("main"))
-    rows = placed.join(materialize(main, "mixed"), "bucket").join(signatures, "node")
+    members = placed.join(materialize(main, "mixed"), "bucket").join(signatures, "node")
     parts = lambda n: F.ceil(n / F.lit(float(block))).cast("int")
-    rows = rows.withColumn("minor", F.col("component") != F.col("main")).withColumn(
+    members = members.withColumn("minor", F.col("component") != F.col("main")).withColumn(
         "small", parts(F.col("total") - F.col("largest"))).withColumn("large", parts(F.col("largest")))
     mine = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("small")).otherwise(F.col("large"))).cast("int")
-    rows = rows.withColumn("part", mine)
+    members = members.withColumn("part", mine)
     # Parts of the largest component are numbered after those of the others.
     to_small = lambda q: F.struct(F.least(q, F.col("part")).alias("i"), F.greatest(q, F.col("part")).alias("j"))
     to_large = lambda p: F.struct(F.col("part").alias("i"), (F.col("small") + p).alias("j"))
@@ -249,24 +252,50 @@ def _across(
     cells = F.when(F.col("minor"), F.concat(
         F.transform(each(F.col("small")), to_small), F.transform(each(F.col("large")), to_large)
     )).otherwise(F.transform(each(F.col("small")), from_large))
-    rows = rows.select("bucket", F.explode(cells).alias("cell"), "node", "component", "minor", "signature")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        small = frame[frame["minor"]]
-        x = np.frombuffer(b"".join(small["signature"]), dtype=np.uint8).reshape(len(small), -1)
-        y = np.frombuffer(b"".join(frame["signature"]), dtype=np.uint8).reshape(len(frame), -1)
-        node, owner = frame["node"].to_numpy(), frame["component"].to_numpy()
-        a, b = [], []
-        for i, (n, c) in enumerate(zip(small["node"].to_numpy(), small["component"].to_numpy())):
-            agree = (y == x[i]).sum(axis=1)
-            near = np.flatnonzero((agree >= least) & (owner != c))
-            if best_only and len(near):
-                near = near[np.argsort(-agree[near], kind="stable")]
-                near = near[np.unique(owner[near], return_index=True)[1]]
-            a += [n] * len(near)
-            b += node[near].tolist()
-        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype=np.int64)
-        return out.drop_duplicates()
-
-    got = rows.groupBy("bucket", "cell").applyInPandas(compare, "a long, b long")
-    return got.distinct()
+    members = members.select("bucket", F.explode(cells).alias("cell"), "band", "node", "component", "minor", "signature")
+    # Comparing costs far more than moving these rows: an explicit number of tasks spreads it.
+    dealt = spread(members, "bucket", "cell").sortWithinPartitions("bucket", "cell")
+    dealt = dealt.select("bucket", "cell.*", "band", "node", "component", "minor", "signature")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _runs(frames, ["bucket", "i", "j"]):
+            found = _alike(group, least, rows, best_only)
+            if len(found):
+                yield found
+
+    return dealt.mapInPandas(compare, "a long, b long").distinct()
+
+
+def _runs(frames: Iterator[pd.DataFrame], key: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Column arrays of each run of equal keys, which may span frames."""
+    held = None
+    for frame in frames:
+        if held is not None:
+            frame = pd.concat([held, frame], ignore_index=True)
+        keys = frame[key].to_numpy()
+        cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+        columns = {c: frame[c].to_numpy() for c in ("band", "node", "component", "minor", "signature")}
+        for a, b in zip(cut[:-1], cut[1:]):
+            yield {c: v[a:b] for c, v in columns.items()}
+        held = frame.iloc[cut[-1]:]
+    if held is not None and len(held):
+        yield {c: held[c].to_numpy() for c in ("band", "node", "component", "minor", "signature")}
+
+
+def _alike(group: dict[str, np.ndarray], least: int, rows: int, best_only: bool) -> pd.DataFrame:
+    """Pairs across components with enough equal bins; a pair comes only from the first band it shares."""
+    y = np.frombuffer(b"".join(group["signature"]), dtype=np.uint8).reshape(len(group["node"]), -1)
+    node, owner, band = group["node"], group["component"], group["band"][0]
+    a, b = [], []
+    for i in np.flatnonzero(group["minor"]):
+        equal = y == y[i]
+        agree = equal.sum(axis=1)
+        near = np.flatnonzero((agree >= least) & (owner != owner[i]))
+        if len(near) and band:
+            earlier = equal[near, :band * rows].reshape(len(near), band, rows).all(axis=2).any(axis=1)
+            near = near[~earlier]
+        if best_only and len(near):
+            near = near[np.argmax(agree[near]):][:1]
+        a += [node[i]] * len(near)
+        b += node[near].tolist()
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype=np.int64).drop_duplicates()
