@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,20 @@ def test_near_duplicates_equal_brute_force(documents, block):
         i: (len(sets[i]), want[i], want[i] == i) for i in range(len(texts))}
 
 
+def _meeting(bands, **more):
+    """Two documents of different components in one bucket of band 1, with equal signatures."""
+    n = len(bands)
+    columns = {"band": [1] * n, "node": [5, 3], "component": [5, 3], "minor": [True, False], "signature": [b"\1" * 240] * n, **more}
+    return {k: np.array(v) for k, v in columns.items()} | {"bands": np.array([*map(np.array, bands)])}
+
+
+def test_pair_is_passed_over_only_where_it_met_before():
+    # The short codes of band 0 agree in both cases, the hashes that made the buckets only in the second.
+    apart = near_dedup._alike(_meeting([[7, 9], [8, 9]]), least=150, best_only=False)
+    assert apart.values.tolist() == [[3, 5]]
+    assert not len(near_dedup._alike(_meeting([[7, 9], [7, 9]]), least=150, best_only=False))
+
+
 def test_near_duplicates_with_null_and_repeated_ids(documents):
     a, b = "a b c d e f g", "p q r s t u v"
     rows = near_dedup.near_duplicates(documents((1, a), (1, b), (2, b), (3, a), (3, a), (None, a), (4, None))).collect()

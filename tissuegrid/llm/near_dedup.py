@@ -35,6 +35,9 @@ SLACK = 2.75
 #: Members of a bucket per block when components are compared.
 BLOCK = 1000
 
+#: What members of a bucket are compared by.
+_COMPARED = ("bands", "signature")
+
 _SETS = "doc_id long, n_shingles long, set_a long, set_b long, bands array<int>, signature binary"
 
 
@@ -116,7 +119,7 @@ def near_duplicates(
     reps = materialize(full.groupBy("set_a", "set_b").agg(
         F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "signature"), "doc_id").alias("s"))
         .select("set_a", "set_b", "node", "s.bands", "s.signature"), "representatives")
-    links = _links(docs, full, reps, width, percent, bands, rows, block)
+    links = _links(docs, full, reps, width, percent, bands * rows, block)
     component = materialize(links, "components")
     group = reps.select("set_a", "set_b", "node").join(component, "node", "left").select(
         "set_a", "set_b", F.coalesce("component", "node").alias("component"))
@@ -130,10 +133,10 @@ def near_duplicates(
 
 
 def _links(
-    docs: DataFrame, full: DataFrame, reps: DataFrame, width: int, percent: int, bands: int, rows: int, block: int,
+    docs: DataFrame, full: DataFrame, reps: DataFrame, width: int, percent: int, bins: int, block: int,
 ) -> DataFrame:
     """(``node``, ``component``) over representatives that have a link."""
-    bins_needed = _least_agreement(percent, bands * rows)
+    bins_needed = _least_agreement(percent, bins)
     exploded = reps.select("node", F.posexplode("bands").alias("band", "value")).select(
         "node", "band", F.xxhash64("band", "value").alias("bucket"))
     counts = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -145,7 +148,7 @@ def _links(
              .select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     found = [twins]
     busy = shared.select("node").distinct()
-    signatures = materialize(reps.select("node", "signature").join(busy, "node", "left_semi"), "signatures")
+    signatures = materialize(reps.select("node", "bands", "signature").join(busy, "node", "left_semi"), "signatures")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(busy, "node", "left_semi")
     members = materialize(_sets_of(texts, width), "shingles")
 
@@ -161,7 +164,7 @@ def _links(
     component = materialize(connected(_union(found)), "components")
 
     for best_only in (True, False):
-        pairs = materialize(_across(shared, signatures, component, bins_needed, rows, block, best_only), "pairs")
+        pairs = materialize(_across(shared, signatures, component, bins_needed, block, best_only), "pairs")
         if pairs.isEmpty():
             break
         more = materialize(_confirmed(pairs, members, percent), "links")
@@ -222,7 +225,7 @@ def _confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(
-    shared: DataFrame, signatures: DataFrame, component: DataFrame, least: int, rows: int, block: int, best_only: bool,
+    shared: DataFrame, signatures: DataFrame, component: DataFrame, least: int, block: int, best_only: bool,
 ) -> DataFrame:
     """Agreeing pairs between components that meet in a bucket.
 
@@ -252,14 +255,14 @@ def _across(
     cells = F.when(F.col("minor"), F.concat(
         F.transform(each(F.col("small")), to_small), F.transform(each(F.col("large")), to_large)
     )).otherwise(F.transform(each(F.col("small")), from_large))
-    members = members.select("bucket", F.explode(cells).alias("cell"), "band", "node", "component", "minor", "signature")
+    members = members.select("bucket", F.explode(cells).alias("cell"), "band", "node", "component", "minor", *_COMPARED)
     # Comparing costs far more than moving these rows: an explicit number of tasks spreads it.
     dealt = spread(members, "bucket", "cell").sortWithinPartitions("bucket", "cell")
-    dealt = dealt.select("bucket", "cell.*", "band", "node", "component", "minor", "signature")
+    dealt = dealt.select("bucket", "cell.*", "band", "node", "component", "minor", *_COMPARED)
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _runs(frames, ["bucket", "i", "j"]):
-            found = _alike(group, least, rows, best_only)
+            found = _alike(group, least, best_only)
             if len(found):
                 yield found
 
@@ -274,26 +277,30 @@ def _runs(frames: Iterator[pd.DataFrame], key: list[str]) -> Iterator[dict[str,
             frame = pd.concat([held, frame], ignore_index=True)
         keys = frame[key].to_numpy()
         cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
-        columns = {c: frame[c].to_numpy() for c in ("band", "node", "component", "minor", "signature")}
+        columns = {c: frame[c].to_numpy() for c in ("band", "node", "component", "minor", *_COMPARED)}
         for a, b in zip(cut[:-1], cut[1:]):
             yield {c: v[a:b] for c, v in columns.items()}
         held = frame.iloc[cut[-1]:]
     if held is not None and len(held):
-        yield {c: held[c].to_numpy() for c in ("band", "node", "component", "minor", "signature")}
+        yield {c: held[c].to_numpy() for c in ("band", "node", "component", "minor", *_COMPARED)}
+
 
+def _alike(group: dict[str, np.ndarray], least: int, best_only: bool) -> pd.DataFrame:
+    """Pairs across components with enough equal bins; a pair comes only from the first band it shares.
 
-def _alike(group: dict[str, np.ndarray], least: int, rows: int, best_only: bool) -> pd.DataFrame:
-    """Pairs across components with enough equal bins; a pair comes only from the first band it shares."""
+    Bands are told equal by the hashes that made the buckets, not by the signature's short codes: only
+    then has the pair met in the earlier bucket.
+    """
     y = np.frombuffer(b"".join(group["signature"]), dtype=np.uint8).reshape(len(group["node"]), -1)
     node, owner, band = group["node"], group["component"], group["band"][0]
+    before = np.stack(group["bands"])[:, :band]
     a, b = [], []
     for i in np.flatnonzero(group["minor"]):
         equal = y == y[i]
         agree = equal.sum(axis=1)
         near = np.flatnonzero((agree >= least) & (owner != owner[i]))
         if len(near) and band:
-            earlier = equal[near, :band * rows].reshape(len(near), band, rows).all(axis=2).any(axis=1)
-            near = near[~earlier]
+            near = near[~(before[near] == before[i]).any(axis=1)]
         if best_only and len(near):
             near = near[np.argmax(agree[near]):][:1]
         a += [node[i]] * len(near)
