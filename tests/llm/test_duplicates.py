@@ -78,15 +78,36 @@ def test_near_duplicates_equal_brute_force(documents, block):
 def _meeting(bands, **more):
     """Two documents of different components in one bucket of band 1, with equal signatures."""
     n = len(bands)
-    columns = {"band": [1] * n, "node": [5, 3], "component": [5, 3], "minor": [True, False], "signature": [b"\1" * 240] * n, **more}
-    return {k: np.array(v) for k, v in columns.items()} | {"bands": np.array([*map(np.array, bands)])}
+    columns = {"band": [1] * n, "node": [5, 3], "component": [5, 3], "minor": [True, False], "n_shingles": [200] * n, **more}
+    same = {"signature": [b"\1" * 240] * n, "bitmap": [b"\1" * (near_dedup.BITS // 8)] * n}
+    return {k: np.array(v) for k, v in columns.items()} | same | {"bands": np.array([*map(np.array, bands)])}
 
 
 def test_pair_is_passed_over_only_where_it_met_before():
     # The short codes of band 0 agree in both cases, the hashes that made the buckets only in the second.
-    apart = near_dedup._alike(_meeting([[7, 9], [8, 9]]), least=150, best_only=False)
+    apart = near_dedup._alike(_meeting([[7, 9], [8, 9]]), least=150, percent=75, best_only=False)
     assert apart.values.tolist() == [[3, 5]]
-    assert not len(near_dedup._alike(_meeting([[7, 9], [7, 9]]), least=150, best_only=False))
+    assert not len(near_dedup._alike(_meeting([[7, 9], [7, 9]]), least=150, percent=75, best_only=False))
+
+
+def test_true_links_pass_all_tests_before_the_exact_one():
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 1 << 64, size=n, dtype=np.uint64)
+    signer, least = near_dedup.Signer(near_dedup.BANDS, near_dedup.ROWS), near_dedup._least_agreement(75, 240)
+    tried = 4000
+    linked = roomy = unlike = 0
+    for k in range(tried):
+        # 300 of 400 shingles in both: exactly at the threshold; every other pair is well below it.
+        both, one, other = draw(300), draw(50 + 100 * (k % 2)), draw(50)
+        x, y = (np.unique(np.append(both, rest)) for rest in (one, other))
+        bitmaps = [near_dedup._table([near_dedup._bitmap(v)], np.uint64) for v in (x, y)]
+        room = near_dedup._room(*bitmaps, np.array([len(x)]), np.array([len(y)]), 75)[0]
+        if k % 2:
+            unlike += room
+            continue
+        roomy += room
+        linked += (np.frombuffer(signer(x)[1], np.uint8) == np.frombuffer(signer(y)[1], np.uint8)).sum() >= least
+    assert roomy == linked == tried // 2 and unlike < tried // 20
 
 
 def test_near_duplicates_with_null_and_repeated_ids(documents):

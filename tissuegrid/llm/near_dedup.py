@@ -5,11 +5,13 @@
    its own (optimal densification). Texts with equal sets are folded into one representative.
 2. Bands of ``ROWS`` bins give buckets. In a bucket every member is paired with the bucket's hub
    only, the member that shares buckets with the most texts, so a group of n texts gives n pairs.
-3. Pairs whose signatures agree enough are confirmed on full shingle sets.
+3. Pairs whose signatures agree enough, and whose set sizes and bitmaps leave room for a link, are
+   confirmed on full shingle sets. The bitmap test loses nothing: a bit that only one text has set
+   stands for at least one shingle that the other has not.
 4. A star can miss a link between two members that are both unlike the hub. Buckets that still hold
    several components are therefore compared once more across components, in blocks of bounded
    size inside tasks, first for each member's most alike partner, then, for what is still apart, for
-   all of them. Only pairs whose signatures agree come out, and all are confirmed.
+   all of them. Only pairs that pass the tests of step 3 come out, and all are confirmed.
 """
 
 from __future__ import annotations
@@ -31,14 +33,17 @@ PERCENT = 75
 #: At a similarity of 0.75 a pair shares no bucket with probability (1 - 0.75**5)**48 = 2e-6.
 BANDS, ROWS = 48, 5
 #: Standard deviations below the threshold down to which signatures count as alike.
-SLACK = 2.75
+SLACK = 4.5
+#: Bits of a text's bitmap of shingles.
+BITS = 2048
 #: Members of a bucket per block when components are compared.
 BLOCK = 1000
 
 #: What members of a bucket are compared by.
-_COMPARED = ("bands", "signature")
+_COMPARED = ("bands", "signature", "bitmap", "n_shingles")
 
-_SETS = "doc_id long, n_shingles long, set_a long, set_b long, bands array<int>, signature binary"
+_SETS = "doc_id long, n_shingles long, set_a long, set_b long, bands array<int>, signature binary, bitmap binary"
+_SET_COLUMNS = ["n_shingles", "set_a", "set_b", "bands", "signature", "bitmap"]
 
 
 def _least_agreement(percent: int, bins: int) -> int:
@@ -46,6 +51,24 @@ def _least_agreement(percent: int, bins: int) -> int:
     return max(1, int(np.floor(p * bins - SLACK * np.sqrt(bins * p * (1 - p)))))
 
 
+def _bitmap(values: np.ndarray) -> bytes:
+    bits = np.zeros(BITS, dtype=bool)
+    bits[values & np.uint64(BITS - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _table(column, dtype: type) -> np.ndarray:
+    """Rows of equally long binaries as a matrix."""
+    return np.frombuffer(b"".join(column), dtype=dtype).reshape(len(column), -1)
+
+
+def _room(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these bitmaps and sizes can be linked: at most ``most`` shingles are in both."""
+    most = np.minimum(n_x - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64),
+                      n_y - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+    return 100 * most >= percent * (n_x + n_y - most)
+
+
 class Signer:
     """One-permutation signatures of sorted distinct 64-bit hashes."""
 
@@ -77,7 +100,7 @@ class Signer:
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Set size, 128-bit set digest, band hashes and signature of each text (null for empty sets)."""
+    """Set size, 128-bit set digest, band hashes, signature and bitmap of each text (null for empty sets)."""
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -88,12 +111,12 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows:
                 out = []
                 for values in Words(raw, table).shingle_sets(width):
                     if not len(values):
-                        out.append((0, None, None, None, None))
+                        out.append((0, None, None, None, None, None))
                         continue
                     digest = np.frombuffer(hashlib.blake2b(values.tobytes(), digest_size=16).digest(), dtype=np.int64)
-                    out.append((len(values), int(digest[0]), int(digest[1]), *signer(values)))
+                    out.append((len(values), int(digest[0]), int(digest[1]), *signer(values), _bitmap(values)))
                 ids = frame["doc_id"].iloc[first:first + len(raw)]
-                got = pd.DataFrame(out, columns=["n_shingles", "set_a", "set_b", "bands", "signature"], index=ids.index)
+                got = pd.DataFrame(out, columns=_SET_COLUMNS, index=ids.index)
                 got["set_a"], got["set_b"] = got["set_a"].astype("Int64"), got["set_b"].astype("Int64")
                 got.insert(0, "doc_id", ids)
                 yield got
@@ -117,8 +140,8 @@ def near_duplicates(
     full = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # The digest's minimum is combined before the shuffle: a set that many texts have stays small.
     reps = materialize(full.groupBy("set_a", "set_b").agg(
-        F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "signature"), "doc_id").alias("s"))
-        .select("set_a", "set_b", "node", "s.bands", "s.signature"), "representatives")
+        F.min("doc_id").alias("node"), F.min_by(F.struct(*_COMPARED), "doc_id").alias("s"))
+        .select("set_a", "set_b", "node", "s.*"), "representatives")
     links = _links(docs, full, reps, width, percent, bands * rows, block)
     component = materialize(links, "components")
     group = reps.select("set_a", "set_b", "node").join(component, "node", "left").select(
@@ -148,7 +171,7 @@ def _links(
              .select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     found = [twins]
     busy = shared.select("node").distinct()
-    signatures = materialize(reps.select("node", "bands", "signature").join(busy, "node", "left_semi"), "signatures")
+    signatures = materialize(reps.select("node", *_COMPARED).join(busy, "node", "left_semi"), "signatures")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(busy, "node", "left_semi")
     members = materialize(_sets_of(texts, width), "shingles")
 
@@ -159,12 +182,12 @@ def _links(
         "bucket", (-F.col("top.minus")).alias("hub"))
     star = shared.join(materialize(hubs, "hubs"), "bucket").where("node <> hub").select(
         F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    alike = _agreeing(star, signatures, bins_needed)
+    alike = _agreeing(star, signatures, bins_needed, percent)
     found.append(materialize(_confirmed(alike, members, percent), "links"))
     component = materialize(connected(_union(found)), "components")
 
     for best_only in (True, False):
-        pairs = materialize(_across(shared, signatures, component, bins_needed, block, best_only), "pairs")
+        pairs = materialize(_across(shared, signatures, component, bins_needed, percent, block, best_only), "pairs")
         if pairs.isEmpty():
             break
         more = materialize(_confirmed(pairs, members, percent), "links")
@@ -198,19 +221,21 @@ def _sets_of(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInPandas(sets, "node long, shingles array<long>")
 
 
-def _agreeing(pairs: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
-    """Pairs whose signatures agree in at least ``least`` bins."""
+def _agreeing(pairs: DataFrame, signatures: DataFrame, least: int, percent: int) -> DataFrame:
+    """Pairs whose signatures agree in at least ``least`` bins and whose sets can be linked."""
 
     def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
                 continue
-            x = np.frombuffer(b"".join(frame["x"]), dtype=np.uint8).reshape(len(frame), -1)
-            y = np.frombuffer(b"".join(frame["y"]), dtype=np.uint8).reshape(len(frame), -1)
-            yield frame.loc[(x == y).sum(axis=1) >= least, ["a", "b"]]
-
-    left = signatures.select(F.col("node").alias("a"), F.col("signature").alias("x"))
-    right = signatures.select(F.col("node").alias("b"), F.col("signature").alias("y"))
+            agree = (_table(frame["x"], np.uint8) == _table(frame["y"], np.uint8)).sum(axis=1)
+            room = _room(_table(frame["p"], np.uint64), _table(frame["q"], np.uint64),
+                         frame["n"].to_numpy(), frame["m"].to_numpy(), percent)
+            yield frame.loc[(agree >= least) & room, ["a", "b"]]
+
+    side = lambda node, x, p, n: signatures.select(
+        F.col("node").alias(node), F.col("signature").alias(x), F.col("bitmap").alias(p), F.col("n_shingles").alias(n))
+    left, right = side("a", "x", "p", "n"), side("b", "y", "q", "m")
     return pairs.join(left, "a").join(right, "b").mapInPandas(keep, "a long, b long")
 
 
@@ -225,7 +250,8 @@ def _confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(
-    shared: DataFrame, signatures: DataFrame, component: DataFrame, least: int, block: int, best_only: bool,
+    shared: DataFrame, signatures: DataFrame, component: DataFrame, least: int, percent: int, block: int,
+    best_only: bool,
 ) -> DataFrame:
     """Agreeing pairs between components that meet in a bucket.
 
@@ -262,7 +288,7 @@ def _across(
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _runs(frames, ["bucket", "i", "j"]):
-            found = _alike(group, least, best_only)
+            found = _alike(group, least, percent, best_only)
             if len(found):
                 yield found
 
@@ -285,22 +311,22 @@ def _runs(frames: Iterator[pd.DataFrame], key: list[str]) -> Iterator[dict[str,
         yield {c: held[c].to_numpy() for c in ("band", "node", "component", "minor", *_COMPARED)}
 
 
-def _alike(group: dict[str, np.ndarray], least: int, best_only: bool) -> pd.DataFrame:
-    """Pairs across components with enough equal bins; a pair comes only from the first band it shares.
+def _alike(group: dict[str, np.ndarray], least: int, percent: int, best_only: bool) -> pd.DataFrame:
+    """Pairs across components with enough equal bins and room for a link; a pair comes only from the first band it shares.
 
     Bands are told equal by the hashes that made the buckets, not by the signature's short codes: only
     then has the pair met in the earlier bucket.
     """
-    y = np.frombuffer(b"".join(group["signature"]), dtype=np.uint8).reshape(len(group["node"]), -1)
+    y, bits, n = _table(group["signature"], np.uint8), _table(group["bitmap"], np.uint64), group["n_shingles"]
     node, owner, band = group["node"], group["component"], group["band"][0]
     before = np.stack(group["bands"])[:, :band]
     a, b = [], []
     for i in np.flatnonzero(group["minor"]):
-        equal = y == y[i]
-        agree = equal.sum(axis=1)
+        agree = (y == y[i]).sum(axis=1)
         near = np.flatnonzero((agree >= least) & (owner != owner[i]))
         if len(near) and band:
             near = near[~(before[near] == before[i]).any(axis=1)]
+        near = near[_room(bits[near], bits[i], n[near], n[i], percent)]
         if best_only and len(near):
             near = near[np.argmax(agree[near]):][:1]
         a += [node[i]] * len(near)
