@@ -224,6 +224,11 @@ def test_fingerprints(documents):
     assert abs(sum(errors) / len(errors)) < 0.04 and max(map(abs, errors)) < 0.3
 
 
+def test_fingerprints_hold_64_samples(documents):
+    row = fingerprints.fingerprints(documents((1, "a b c"), (2, ""))).where("doc_id = 1").first()
+    assert len(row.fingerprint) == len(row.edited_fingerprint) == 4 * 64
+
+
 def test_fingerprints_with_null_and_repeated_ids(documents):
     rows = fingerprints.fingerprints(documents((2, "a b c"), (2, "a b c"), (1, "d e f"), (1, "a a"), (None, "a b c"))).collect()
     assert len(rows) == 5 and len({r.fingerprint for r in rows if r.doc_id != 1}) == 1
