@@ -24,3 +24,20 @@ def test_matches_sql(spark, con, name):
 def test_registry_is_consistent():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
     assert len(catalog.QUERIES) > 100
+
+
+def test_domain_adaptation_takes_every_reference_cell(spark, monkeypatch):
+    from tissuegrid.operators import cvae
+
+    seen = {}
+
+    def adapt(st, sc, axis, n_types, config):
+        seen.update(cells=sc.select("id").distinct().count(), samples=config.samples)
+        return None, spark.createDataFrame([], "id long, v array<double>"), None
+
+    monkeypatch.setattr(cvae, "adapt_domains", adapt)
+    catalog.QUERIES["domain_adaptation"](spark, FOLDER)
+    # Customers without an order line have no counts.
+    ordered = spark.read.parquet(f"{FOLDER}/orders.parquet").join(
+        spark.read.parquet(f"{FOLDER}/lineitem.parquet").selectExpr("l_orderkey AS o_orderkey"), "o_orderkey", "left_semi")
+    assert seen == {"cells": ordered.select("o_custkey").distinct().count(), "samples": cvae.CvaeConfig().samples}
