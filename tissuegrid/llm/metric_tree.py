@@ -8,8 +8,9 @@ and its distance to the routing vector of the page above.
 
 A query first searches the tree it lies in. The tables of tree centres and radii then tell which
 other trees could still hold something at least as good; blocks of queries meet those trees. Inside
-a tree pages are taken best first, and an entry whose stored distances already rule it out is passed
-over without computing anything on its vector. Bounds leave room for rounding and scores are whole
+a tree pages are taken best first, each with the queries of the block that still need it, and an
+entry whose stored distances already rule it out is passed over without computing anything on its
+vector. Bounds leave room for rounding and scores are whole
 numbers, so the result is exact whatever the pivots.
 
 Equal vectors are folded with their smallest ids, so a vector that a third of all rows hold is one.
@@ -157,7 +158,7 @@ def _placed(folded: DataFrame, tree: int) -> DataFrame:
     table = spark.createDataFrame(list(wanted.items()), "size int, wanted long")
     sample = folded.select("size", "v").withColumn("i", F.row_number().over(order)).where(
         F.col("i") <= MAX_PIVOTS).join(F.broadcast(table), "size").where(F.col("i") <= F.col("wanted")).collect()
-    pivots = {s: np.array([r["v"] for r in sample if r["size"] == s], dtype=np.int64).reshape(-1, s) for s in sizes}
+    pivots = {s: _matrix(pd.Series([r["v"] for r in sample if r["size"] == s]), s) for s in sizes}
     number = {s: at for at, s in enumerate(sorted(sizes))}
     shared = spark.sparkContext.broadcast({s: (pivots[s], int(sizes[s]["top"]), number[s] * MAX_PIVOTS) for s in sizes})
 
@@ -276,36 +277,55 @@ class Tree:
         self.root, self.radius = row.root, row.radius
         self.computed = 0
 
-    def search(self, query: np.ndarray, best: Best) -> None:
-        """Offer to ``best`` every vector that could rank in it, nearest page first."""
-        q = self.space.load(query)
-        square = float(q @ q)
-        space, slack = self.space, self.space.slack + 1e-7 * float(np.sqrt(square))
-        limit = best.distance(space, square) + slack
-        up = float(space.to_query(self.x[self.root] @ q, square))
-        queue = [(max(0.0, up - self.radius), 0, up)]
-        while queue:
-            bound, page, up = heapq.heappop(queue)
-            if bound > limit:
-                break
+    def search(self, queries: np.ndarray, bests: list[Best]) -> None:
+        """Offer to each query's ``Best`` every vector that could rank in it.
+
+        Pages wait in one queue, nearest to any query first, each with the queries it is still near enough
+        to; so a page meets all its queries in one product.
+        """
+        q = self.space.load(queries)
+        square = np.einsum("ij,ij->i", q, q).astype(np.float64)
+        slack = self.space.slack + 1e-7 * np.sqrt(square)
+        floor = np.array([b.floor for b in bests], dtype=np.float64)
+        limit = self._limits(floor, square, slack)
+        up = self.space.to_query(q @ self.x[self.root], square)
+        bound = np.maximum(0.0, up - self.radius)
+        queue = [(float(bound.min()), 0, np.arange(len(q)), bound, up)]
+        while queue and queue[0][0] <= limit.max():
+            _, page, who, bound, up = heapq.heappop(queue)
+            near = bound <= limit[who]
+            who, bound, up = who[near], bound[near], up[near]
             a, b = self.first[page], self.first[page + 1]
             # The triangle inequality over stored distances, before any product.
-            open_ = np.flatnonzero(np.abs(up - self.above[a:b]) - self.radii[a:b] <= limit) + a
-            if not len(open_):
+            open_ = np.abs(up[:, None] - self.above[a:b]) - self.radii[a:b] <= limit[who][:, None]
+            some = np.flatnonzero(open_.any(axis=0))
+            if not len(some):
                 continue
-            at = self.object[open_]
-            product = self.x[at] @ q
-            self.computed += len(at)
-            if self.child[open_[0]] < 0:
-                good = np.flatnonzero(product >= best.floor)
-                for i in good[np.argsort(-product[good], kind="stable")].tolist():
-                    best.offer(int(product[i]), self.ids[at[i]])
-                limit = best.distance(space, square) + slack
+            open_, at = open_[:, some], self.object[some + a]
+            product = q[who] @ self.x[at].T
+            self.computed += product.size
+            if self.child[a] < 0:
+                open_ &= product >= floor[who][:, None]
+                for i in np.flatnonzero(open_.any(axis=1)).tolist():
+                    best, good = bests[who[i]], np.flatnonzero(open_[i])
+                    for j in good[np.argsort(-product[i, good], kind="stable")].tolist():
+                        if not best.offer(int(product[i, j]), self.ids[at[j]]):
+                            break
+                    floor[who[i]] = best.floor
+                limit = self._limits(floor, square, slack)
             else:
-                distance = space.to_query(product, square)
-                least = np.maximum(distance - self.radii[open_], bound)
-                for i in np.flatnonzero(least <= limit).tolist():
-                    heapq.heappush(queue, (float(least[i]), int(self.child[open_[i]]), float(distance[i])))
+                distance = self.space.to_query(product, square[who][:, None])
+                least = np.maximum(distance - self.radii[some + a], bound[:, None])
+                open_ &= least <= limit[who][:, None]
+                for j, child in enumerate(self.child[some + a].tolist()):
+                    mine = np.flatnonzero(open_[:, j])
+                    if len(mine):
+                        heapq.heappush(queue, (float(least[mine, j].min()), child, who[mine], least[mine, j], distance[mine, j]))
+
+    def _limits(self, floor: np.ndarray, square: np.ndarray, slack: np.ndarray) -> np.ndarray:
+        """Farthest a vector may lie from each query and still rank."""
+        far = self.space.to_query(np.where(np.isfinite(floor), floor, 0.0), square)
+        return np.where(np.isfinite(floor), far + slack, np.inf)
 
 
 class Best:
@@ -315,9 +335,10 @@ class Best:
         self.n, self.held = n, {}
         self.floor = -np.inf if floor is None else floor
 
-    def offer(self, score: int, ids: list[int]) -> None:
+    def offer(self, score: int, ids: list[int]) -> bool:
+        """Take the ids that rank; False where the score is below all that does."""
         if score < self.floor:
-            return
+            return False
         for i in ids:
             if self.held.get(i, score - 1) < score:
                 self.held[i] = score
@@ -325,12 +346,7 @@ class Best:
             self.held = dict(sorted(self.held.items(), key=lambda e: (-e[1], e[0]))[:self.n])
         if len(self.held) == self.n:
             self.floor = max(self.floor, min(self.held.values()))
-
-    def distance(self, space: Space, square: float) -> float:
-        """Farthest a vector may lie that still ranks."""
-        if self.floor == -np.inf:
-            return np.inf
-        return float(space.to_query(np.float64(self.floor), square))
+        return True
 
 
 def _at_home(forest: DataFrame, n: int) -> DataFrame:
@@ -339,13 +355,15 @@ def _at_home(forest: DataFrame, n: int) -> DataFrame:
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                tree, out = Tree(row), []
-                for at in np.flatnonzero(np.frombuffer(row.asks, dtype=bool)).tolist():
-                    best = Best(n)
-                    tree.search(tree.whole[at], best)
-                    out.append((row.tree, at, row.size, row.top, tree.whole[at].tolist(), list(best.held), list(best.held.values())))
-                if out:
-                    yield pd.DataFrame(out, columns=["tree", "at", "size", "top", "v", "ids", "scores"])
+                tree = Tree(row)
+                asking = np.flatnonzero(np.frombuffer(row.asks, dtype=bool))
+                for lo in range(0, len(asking), BLOCK):
+                    at = asking[lo:lo + BLOCK]
+                    bests = [Best(n) for _ in at]
+                    tree.search(tree.whole[at], bests)
+                    yield pd.DataFrame({
+                        "tree": row.tree, "at": at, "size": row.size, "top": row.top, "v": tree.whole[at].tolist(),
+                        "ids": [list(b.held) for b in bests], "scores": [list(b.held.values()) for b in bests]})
 
     return forest.select(*_STORED).mapInPandas(
         search, "tree long, at int, size int, top long, v array<long>, ids array<long>, scores array<long>")
@@ -418,11 +436,9 @@ def _abroad(forest: DataFrame, visits: DataFrame, n: int) -> DataFrame:
                 tree = Tree(row)
                 queries = np.frombuffer(row.queries, dtype=np.int64).reshape(row.width, row.size)
                 keys = [np.frombuffer(b, dtype=np.int64).tolist() for b in (row.home, row.at, row.floors)]
-                out = []
-                for query, home, at, floor in zip(queries, *keys):
-                    best = Best(n, None if floor == np.iinfo(np.int64).min else floor)
-                    tree.search(query, best)
-                    out += [(home, at, i, s) for i, s in best.held.items()]
+                bests = [Best(n, None if f == np.iinfo(np.int64).min else f) for f in keys[2]]
+                tree.search(queries, bests)
+                out = [(home, at, i, s) for best, home, at in zip(bests, *keys[:2]) for i, s in best.held.items()]
                 if out:
                     yield pd.DataFrame(out, columns=["tree", "at", "vec_id", "score"])
 
