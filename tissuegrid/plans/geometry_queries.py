@@ -15,8 +15,10 @@ from tissuegrid.functions import scalars as fx
 from tissuegrid.operators import geometry as ge
 from tissuegrid.operators import images as ig
 from tissuegrid.operators import registration as rg
+from tissuegrid.operators import rings as ri
 from tissuegrid.operators import spots as sp
 from tissuegrid.plans import views as vw
+from tissuegrid.plans import workflow as wf
 from tissuegrid.plans.registry import query, rounded
 
 VERT = """vt AS (SELECT user_id AS cell_id, event_id AS seq, (10 + value) * cos(2 * pi() * (event_id % 60) / 60.0) + 7 * user_id AS x,
@@ -56,6 +58,68 @@ def polygon_radius(t):
     return rounded(ge.ring_radius(edges, ge.ring_measures(edges)), "radius", digits=4)
 
 
+# Every user's polygon as an outline of several rings: itself, two smaller copies inside each other about
+# its centre, and a copy aside with one hole. Nuclei are the polygon at 0.6 for four users of five.
+RINGS = f"""{VERT}, sc AS (SELECT * FROM (VALUES ('cell', 0, 1.0, 0), ('cell', 1, 0.5, 0), ('cell', 2, 0.2, 0), ('cell', 3, 0.9, 5000),
+    ('cell', 4, 0.3, 5000), ('nucleus', 0, 0.6, 0)) s(kind, ring, f, dx)),
+  rv AS (SELECT kind, cell_id, ring, pos, dx + 7 * cell_id + f * (x1 - 7 * cell_id) AS x1, 3 * cell_id + f * (y1 - 3 * cell_id) AS y1,
+    dx + 7 * cell_id + f * (x2 - 7 * cell_id) AS x2, 3 * cell_id + f * (y2 - 3 * cell_id) AS y2 FROM ed, sc
+    WHERE CASE kind WHEN 'cell' THEN cell_id % 7 > 0 ELSE cell_id % 5 > 0 END),
+  rs AS (SELECT kind, cell_id, ring, abs(sum(x1 * y2 - y1 * x2)) AS a2, sum(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) AS len,
+    sign(sum(x1 * y2 - y1 * x2)) * sum((x1 + x2) * (x1 * y2 - y1 * x2)) AS sx,
+    sign(sum(x1 * y2 - y1 * x2)) * sum((y1 + y2) * (x1 * y2 - y1 * x2)) AS sy,
+    min_by((x1 + x2) / 2, pos) AS px, min_by((y1 + y2) / 2, pos) AS py FROM rv GROUP BY 1, 2, 3),
+  ho AS (SELECT p.kind, p.cell_id, p.ring, e.ring AS around FROM rs p JOIN rv e ON p.kind = e.kind AND p.cell_id = e.cell_id AND p.ring <> e.ring
+    WHERE (e.y1 <= p.py) <> (e.y2 <= p.py) AND e.x1 + (p.py - e.y1) / (e.y2 - e.y1) * (e.x2 - e.x1) > p.px
+    GROUP BY ALL HAVING count(*) % 2 = 1),
+  ne AS (SELECT r.kind, r.cell_id, r.ring, count(h.around) AS depth, min_by(h.around, (o.a2, o.ring)) AS parent FROM rs r
+    LEFT JOIN ho h USING (kind, cell_id, ring) LEFT JOIN rs o ON o.kind = h.kind AND o.cell_id = h.cell_id AND o.ring = h.around GROUP BY ALL),
+  pa AS (SELECT kind, cell_id, CASE WHEN depth % 2 = 1 THEN parent ELSE ring END AS part, sum(CASE WHEN depth % 2 = 1 THEN -a2 ELSE a2 END) AS a2,
+    sum(CASE WHEN depth % 2 = 1 THEN -sx ELSE sx END) AS sx, sum(CASE WHEN depth % 2 = 1 THEN -sy ELSE sy END) AS sy, sum(len) AS len,
+    count(*) FILTER (depth % 2 = 1) AS holes FROM ne JOIN rs USING (kind, cell_id, ring) GROUP BY ALL),
+  ou AS (SELECT kind, cell_id, count(*) AS n_parts, sum(holes)::BIGINT AS n_holes, sum(a2) / 2 AS total_area,
+    unnest(max_by({{'part': part, 'area': a2 / 2, 'per': len, 'cx': sx / (3 * a2), 'cy': sy / (3 * a2)}}, (a2, -part))) FROM pa GROUP BY 1, 2),
+  ra AS (SELECT kind, cell_id, max(sqrt((x1 - cx) ** 2 + (y1 - cy) ** 2)) AS radius FROM ou JOIN rv USING (kind, cell_id) WHERE ring = part GROUP BY 1, 2)"""
+
+
+def _outlines(t):
+    cell, f, dx = F.col("cell_id"), F.col("f"), F.col("dx")
+    kinds = [("cell", 0, 1.0, 0), ("cell", 1, 0.5, 0), ("cell", 2, 0.2, 0), ("cell", 3, 0.9, 5000), ("cell", 4, 0.3, 5000), ("nucleus", 0, 0.6, 0)]
+    copies = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(r).cast("long").alias("ring"), F.lit(f_).alias("f"), F.lit(d).alias("dx"))
+                       for k, r, f_, d in kinds])
+    v = vw.shared(_vertices(t)).withColumn("s", F.explode(copies)).select("cell_id", "seq", "x", "y", "s.*")
+    v = v.where(F.when(F.col("kind") == "cell", cell % 7 > 0).otherwise(cell % 5 > 0))
+    return v.select("kind", "cell_id", "ring", "seq", (dx + 7 * cell + f * (F.col("x") - 7 * cell)).alias("x"),
+                    (3 * cell + f * (F.col("y") - 3 * cell)).alias("y"))
+
+
+@query("ring_nesting", f"""WITH {RINGS}
+SELECT cell_id, ring, depth, parent, CASE WHEN depth % 2 = 1 THEN parent ELSE ring END AS part, depth % 2 = 1 AS hole FROM ne WHERE kind = 'cell'""")
+def ring_nesting(t):
+    """Which ring of an outline lies in which, and the part it belongs to."""
+    edges = vw.shared(ri.ring_edges(_outlines(t).where("kind = 'cell'").drop("kind")))
+    return ri.nest(edges, vw.shared(ri.ring_sums(edges).where("a2 > 0")))
+
+
+@query("boundary_table", f"""WITH {RINGS},
+  b AS (SELECT ou.*, radius FROM ou JOIN ra USING (kind, cell_id)), c AS (SELECT * FROM b WHERE kind = 'cell'), n AS (SELECT * FROM b WHERE kind = 'nucleus')
+SELECT coalesce(c.cell_id, n.cell_id) AS cell_id, round(coalesce(c.cx, n.cx), 4) + 0.0 AS x, round(coalesce(c.cy, n.cy), 4) + 0.0 AS y,
+  round(c.area, 4) AS cell_area, round(c.per, 4) AS cell_perimeter, round(4 * pi() * c.area / c.per ** 2, 6) AS cell_circularity,
+  c.n_parts AS cell_n_parts, c.n_holes AS cell_n_holes, round(c.total_area, 4) AS cell_total_area,
+  round(n.area, 4) AS nucleus_area, round(n.per, 4) AS nucleus_perimeter, round(4 * pi() * n.area / n.per ** 2, 6) AS nucleus_circularity,
+  n.n_parts AS nucleus_n_parts, n.n_holes AS nucleus_n_holes, round(n.total_area, 4) AS nucleus_total_area,
+  round(coalesce(n.area / c.area, 0.0), 6) AS nucleus_cell_ratio, round(coalesce(c.radius, n.radius), 4) AS circumcircle,
+  CASE WHEN coalesce(c.cell_id, n.cell_id) % 3 = 0 THEN 0.5 ELSE 1.0 END AS probability FROM c FULL JOIN n ON c.cell_id = n.cell_id""")
+def boundary_table(t):
+    """Outlines of cells and nuclei with holes and several parts joined to one table of measures."""
+    v = _outlines(t)
+    probability = t.events.select(F.col("user_id").alias("cell_id")).distinct().where("cell_id % 3 = 0").withColumn("probability", F.lit(0.5))
+    side = lambda kind: v.where(F.col("kind") == kind).drop("kind")
+    b = wf.boundary_table(side("cell"), side("nucleus"), probability).drop("polygon")
+    b = rounded(b, "cell_circularity", "nucleus_circularity", "nucleus_cell_ratio")
+    return rounded(b, "x", "y", "circumcircle", *(f"{k}_{m}" for k in ("cell", "nucleus") for m in ("area", "perimeter", "total_area")), digits=4)
+
+
 @query("polygon_text", f"""WITH {VERT}, q AS (SELECT cell_id, pos, round(x1)::BIGINT AS x, round(y1)::BIGINT AS y FROM ed)
 SELECT cell_id, '[' || string_agg('(' || x::VARCHAR || ',' || y::VARCHAR || ')', ',' ORDER BY pos) || ']' AS polygon,
   count(*) AS n_parsed FROM q GROUP BY 1""")

@@ -6,6 +6,7 @@ Each stage is a function from tables to tables. Pass ``out`` to keep stage resul
 from __future__ import annotations
 
 import logging
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -22,6 +23,7 @@ from tissuegrid.operators import morphology as mo
 from tissuegrid.operators import neighbors as nb
 from tissuegrid.operators import normalize as nz
 from tissuegrid.operators import propagate as lp
+from tissuegrid.operators import rings as rg
 from tissuegrid.operators import sampling, spots as sp
 from tissuegrid.session import materialize
 from tissuegrid.sources import cells as src
@@ -46,7 +48,7 @@ def extract_features(
     ``patches`` limits cells to tissue, ``spots`` to the hull of the spots. Missing measurements
     take the mean of their feature; position and size count as features too.
     """
-    raw = materialize(src.read_geojson(spark, geojson, lines), "geojson")
+    raw = materialize(_largest_parts(materialize(src.read_geojson(spark, geojson, lines), "geojson")), "outlines")
     names = src.measurement_names(raw)
     at = lambda axis, f: f(F.transform("polygon", lambda p: p[axis]))
     centred = raw.select("*", ((at("x", F.array_min) + at("x", F.array_max)) / 2).alias("x"),
@@ -70,6 +72,59 @@ def extract_features(
     return table.drop("measurements"), features
 
 
+def _largest_parts(features: DataFrame) -> DataFrame:
+    """Features with the outside of their largest part as ``polygon``, where there are several rings."""
+    several = features.where(F.size("rings") > 1).select(F.struct("file", "pos").alias("cell_id"), "rings")
+    vertices = materialize(rg.explode_outlines(several), "vertices")
+    largest = rg.outside_rings(vertices, rg.outline_measures(vertices)).select(
+        "cell_id.file", "cell_id.pos", F.col("polygon").alias("_largest"))
+    return features.join(largest, ["file", "pos"], "left").withColumn(
+        "polygon", F.coalesce("_largest", "polygon")).drop("_largest", "rings")
+
+
+def boundary_table(cells: DataFrame, nuclei: DataFrame, probabilities: DataFrame | None = None) -> DataFrame:
+    """One row per id of either vertex table ``(cell_id, ring, seq, x, y)``: measures of cell and nucleus outline.
+
+    Position, ``circumcircle`` and ``polygon`` are those of the cell, or of the nucleus where there is no cell
+    outline. Without a cell or nucleus outline its columns are null and the ratio of areas is 0; an id that
+    the probabilities lack has 1.
+    """
+    both = cells.withColumn("kind", F.lit("cell")).unionByName(nuclei.withColumn("kind", F.lit("nucleus")))
+    vertices = materialize(both.withColumn("cell_id", F.struct("cell_id", "kind")).drop("kind"), "vertices")
+    outlines = materialize(rg.outline_measures(vertices), "measures")
+    whole = outlines.join(rg.outside_rings(vertices, outlines), "cell_id").select(
+        "cell_id.*", *(c for c in outlines.columns if c not in ("cell_id", "ring")), polygon_text(F.col("polygon")).alias("polygon"))
+    names = [c for c in whole.columns if c not in ("cell_id", "kind")]
+    side = lambda kind: F.first(F.when(F.col("kind") == kind, F.struct(*names)), ignorenulls=True).alias(kind)
+    one = whole.groupBy("cell_id").agg(side("cell"), side("nucleus"))
+    best = lambda c: F.coalesce(f"cell.{c}", f"nucleus.{c}")
+    measures = ["area", "perimeter", "circularity", "n_parts", "n_holes", "total_area"]
+    ratio = F.when(F.col("cell.area") > 0, F.col("nucleus.area") / F.col("cell.area"))
+    table = one.select(
+        "cell_id", best("centroid_x").alias("x"), best("centroid_y").alias("y"),
+        *(F.col(f"{k}.{m}").alias(f"{k}_{m}") for k in ("cell", "nucleus") for m in measures),
+        F.coalesce(ratio, F.lit(0.0)).alias("nucleus_cell_ratio"), best("radius").alias("circumcircle"), best("polygon").alias("polygon"))
+    return src.with_probability(table, probabilities)
+
+
+def extract_boundaries(
+    spark: SparkSession, cells: str, nuclei: str, probabilities: str | None = None,
+    alignment: Sequence[Sequence[float]] | None = None, scale: float = 1.0, ring: str | None = None, out: str | None = None,
+) -> DataFrame:
+    """Boundary files of cells and nuclei, brought to image space, as one table of outlines; kept under ``out``.
+
+    ``alignment`` maps image to boundary positions and ``scale`` divides the latter first; ``ring`` names the
+    column that numbers a cell's rings. A probability file without a known column counts as none.
+    """
+    read = lambda path: src.read_boundaries(spark, path, alignment, scale, ring)
+    found = src.read_probabilities(spark, probabilities) if probabilities else None
+    table = boundary_table(read(cells), read(nuclei), found)
+    if out is None:
+        return table
+    write_table(table, f"{out}/boundaries")
+    return spark.read.parquet(f"{out}/boundaries")
+
+
 def extract_shapes(points: DataFrame, known: DataFrame) -> DataFrame:
     """Image mode: shape features of the point clouds whose cell is in the expression table."""
     kept = points.join(known.select(F.col("id").alias("cell_id")), "cell_id", "left_semi")

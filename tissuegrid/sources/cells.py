@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from tissuegrid.functions.scalars import homography
 from tissuegrid.operators.ranking import hash_uniform, row_numbers
+from tissuegrid.sources.records import RANGE, read_records
 from tissuegrid.sources.tables import require_columns
 
-_GEOMETRY = "struct<coordinates: array<array<array<double>>>>"
-_PROPERTIES = "struct<measurements: map<string,double>>"
-_NUCLEUS = "struct<contour: array<array<double>>, centroid: array<double>, type: int>"
+_FEATURE = "geometry struct<type: string, coordinates: string>, properties struct<measurements: map<string,double>>"
+_NUCLEUS = "contour array<array<double>>, centroid array<double>, type int"
+_RING = "array<array<double>>"
 
 SLIDE_TYPES = (".svs", ".tif", ".ndpi")
 PROBABILITY_NAMES = ("detection_probability", "probability", "detection_prob")
@@ -27,23 +28,25 @@ def _points(ring: Column) -> Column:
     return F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
 
 
-def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """``(file, pos, polygon, measurements)`` per feature; unreadable features are dropped.
+def read_geojson(spark: SparkSession, path: str, lines: bool = False, range_bytes: int = RANGE) -> DataFrame:
+    """``(file, pos, polygon, rings, measurements)`` per feature; unreadable features are dropped.
 
-    ``lines=True`` reads one feature per line, which splits across tasks.
+    A file is one feature collection, read by ranges of ``range_bytes`` in as many tasks, or with
+    ``lines=True`` one feature per line. ``pos`` orders the features of a file. ``rings`` are all rings of
+    a polygon or of the parts of a multipolygon, ``polygon`` the first of them.
     """
     if lines:
-        raw = spark.read.schema(f"geometry {_GEOMETRY}, properties {_PROPERTIES}").json(path)
-        rows = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"),
-                          F.struct("geometry", "properties").alias("f"))
+        raw = spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("record"))
     else:
-        raw = spark.read.schema(
-            f"features array<struct<geometry: {_GEOMETRY}, properties: {_PROPERTIES}>>").option("multiLine", True).json(path)
-        rows = raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode("features").alias("pos", "f"))
-    return rows.select(
-        "file", "pos", _points(F.try_element_at("f.geometry.coordinates", F.lit(1))).alias("polygon"),
-        F.col("f.properties.measurements").alias("measurements"),
-    ).where("polygon IS NOT NULL AND measurements IS NOT NULL AND size(polygon) > 0")
+        raw = read_records(spark, path, range_bytes=range_bytes)
+    rows = raw.select("file", "pos", F.from_json("record", _FEATURE).alias("f"))
+    shape = F.col("f.geometry.coordinates")
+    parts = F.flatten(F.from_json(shape, f"array<array<{_RING}>>"))
+    rings = F.when(F.col("f.geometry.type") == "MultiPolygon", parts).otherwise(F.from_json(shape, f"array<{_RING}>"))
+    rows = rows.select("file", "pos", F.transform(rings, _points).alias("rings"), F.col("f.properties.measurements").alias("measurements"))
+    return rows.select("file", "pos", F.try_element_at("rings", F.lit(1)).alias("polygon"), "rings", "measurements").where(
+        "polygon IS NOT NULL AND measurements IS NOT NULL AND size(polygon) > 0")
 
 
 def measurement_names(features: DataFrame) -> list[str]:
@@ -60,15 +63,18 @@ def number_cells(cells: DataFrame, order: Sequence[str], prefix: str = "cell_")
 
 def read_nuclei(
     spark: SparkSession, path: str, detection_mag: int = 40, slide_mag: int = 40, share: float = 1.0, seed: int = 0,
+    range_bytes: int = RANGE,
 ) -> DataFrame:
     """Nucleus map JSON: ``(file, nucleus_id, contour, polygon, centroid, type)`` at slide scale.
 
     Contours and centroids are floor-divided for the pixel grid, the polygon is divided exactly.
-    ``share`` below 1 asks for that part of the nuclei, drawn by a hash of file and id.
+    ``share`` below 1 asks for that part of the nuclei, drawn by a hash of file and id. A file is read by
+    ranges of ``range_bytes`` in as many tasks; entries with neither contour nor centroid are dropped.
     """
     ratio = detection_mag / slide_mag
-    raw = spark.read.schema(f"nuc map<string, {_NUCLEUS}>").option("multiLine", True).json(path)
-    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.explode("nuc").alias("nucleus_id", "f"))
+    raw = read_records(spark, path, named=True, range_bytes=range_bytes)
+    rows = raw.select("file", F.col("name").alias("nucleus_id"), F.from_json("record", _NUCLEUS).alias("f")).where(
+        "f.contour IS NOT NULL OR f.centroid IS NOT NULL")
     if share < 1:
         rows = rows.where(hash_uniform(F.concat_ws("/", "file", "nucleus_id"), seed) < share)
     floor = lambda v: F.floor(v / ratio).cast("double")
@@ -80,14 +86,19 @@ def read_nuclei(
 
 
 def read_boundaries(
-    spark: SparkSession, path: str, alignment: Sequence[Sequence[float]] | None = None, scale: float = 1.0
+    spark: SparkSession, path: str, alignment: Sequence[Sequence[float]] | None = None, scale: float = 1.0, ring: str | None = None,
 ) -> DataFrame:
-    """Vertex table ``(cell_id, seq, x, y)`` in image space; ``seq`` is the row position in the file."""
-    raw = require_columns(spark.read.parquet(path), ["cell_id", "vertex_x", "vertex_y"], "boundaries")
+    """Vertex table ``(cell_id, ring, seq, x, y)`` in image space; ``seq`` is the row position in the file.
+
+    ``ring`` names the column that numbers the rings of a cell; without one each cell has a single ring.
+    """
+    needed = ["cell_id", "vertex_x", "vertex_y", *([ring] if ring else [])]
+    raw = require_columns(spark.read.parquet(path), needed, "boundaries")
     x, y = F.col("vertex_x") / scale, F.col("vertex_y") / scale
     if alignment is not None:
         x, y = homography(x, y, np.linalg.inv(np.asarray(alignment, float)).tolist())
-    return raw.select(F.col("cell_id").cast("string").alias("cell_id"),
+    number = F.col(ring).cast("long") if ring else F.lit(0).cast("long")
+    return raw.select(F.col("cell_id").cast("string").alias("cell_id"), number.alias("ring"),
                       F.col("_metadata.row_index").alias("seq"), x.alias("x"), y.alias("y"))
 
 
