@@ -75,6 +75,19 @@ def test_near_duplicates_equal_brute_force(documents, block):
         i: (len(sets[i]), want[i], want[i] == i) for i in range(len(texts))}
 
 
+def test_short_texts_at_the_threshold_are_linked(documents):
+    """Pairs of similarity exactly 3/4, set sizes 4 to 48: the longer text has a third more shingles than the shorter."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    texts = []
+    for size in [4] * 1500 + [8] * 300 + [12, 16, 24, 32, 48] * 60:
+        words = [word() for _ in range(size + 4)]
+        texts += [" ".join(words), " ".join(words[:3 * size // 4 + 4])]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(documents(*enumerate(texts))).collect()}
+    apart = [i for i in range(0, len(texts), 2) if got[i] != got[i + 1]]
+    assert not apart and len(set(got.values())) == len(texts) // 2
+
+
 def _meeting(bands, **more):
     """Two documents of different components in one bucket of band 1, with equal signatures."""
     n = len(bands)

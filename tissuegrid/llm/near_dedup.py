@@ -5,8 +5,8 @@
    its own (optimal densification). Texts with equal sets are folded into one representative.
 2. Bands of ``ROWS`` bins give buckets. In a bucket every member is paired with the bucket's hub
    only, the member that shares buckets with the most texts, so a group of n texts gives n pairs.
-3. Pairs whose signatures agree enough, and whose set sizes and bitmaps leave room for a link, are
-   confirmed on full shingle sets. The bitmap test loses nothing: a bit that only one text has set
+3. Pairs whose signatures agree enough (a test that small sets are spared), and whose set sizes and
+   bitmaps leave room for a link, are confirmed on full shingle sets. The bitmap test loses nothing: a bit that only one text has set
    stands for at least one shingle that the other has not.
 4. A star can miss a link between two members that are both unlike the hub. Buckets that still hold
    several components are therefore compared once more across components, in blocks of bounded
@@ -34,6 +34,9 @@ PERCENT = 75
 BANDS, ROWS = 48, 5
 #: Standard deviations below the threshold down to which signatures count as alike.
 SLACK = 4.5
+#: Bins of a small set are mostly borrowed and so agree or differ together: below this size only set sizes
+#: and bitmaps, which lose nothing, decide whether a pair is confirmed.
+SMALL = 64
 #: Bits of a text's bitmap of shingles.
 BITS = 2048
 #: Members of a bucket per block when components are compared.
@@ -222,16 +225,16 @@ def _sets_of(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _agreeing(pairs: DataFrame, signatures: DataFrame, least: int, percent: int) -> DataFrame:
-    """Pairs whose signatures agree in at least ``least`` bins and whose sets can be linked."""
+    """Pairs whose signatures agree in at least ``least`` bins, or one of which is small, and whose sets can be linked."""
 
     def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
                 continue
             agree = (_table(frame["x"], np.uint8) == _table(frame["y"], np.uint8)).sum(axis=1)
-            room = _room(_table(frame["p"], np.uint64), _table(frame["q"], np.uint64),
-                         frame["n"].to_numpy(), frame["m"].to_numpy(), percent)
-            yield frame.loc[(agree >= least) & room, ["a", "b"]]
+            n, m = frame["n"].to_numpy(), frame["m"].to_numpy()
+            room = _room(_table(frame["p"], np.uint64), _table(frame["q"], np.uint64), n, m, percent)
+            yield frame.loc[((agree >= least) | (np.minimum(n, m) < SMALL)) & room, ["a", "b"]]
 
     side = lambda node, x, p, n: signatures.select(
         F.col("node").alias(node), F.col("signature").alias(x), F.col("bitmap").alias(p), F.col("n_shingles").alias(n))
@@ -323,7 +326,7 @@ def _alike(group: dict[str, np.ndarray], least: int, percent: int, best_only: bo
     a, b = [], []
     for i in np.flatnonzero(group["minor"]):
         agree = (y == y[i]).sum(axis=1)
-        near = np.flatnonzero((agree >= least) & (owner != owner[i]))
+        near = np.flatnonzero(((agree >= least) | (np.minimum(n, n[i]) < SMALL)) & (owner != owner[i]))
         if len(near) and band:
             near = near[~(before[near] == before[i]).any(axis=1)]
         near = near[_room(bits[near], bits[i], n[near], n[i], percent)]
