@@ -105,6 +105,13 @@ class Profiles:
         col = rows["cell_type"].map({t: i for i, t in enumerate(self.types)})
         self.matrix[rows["ix"], col] = rows["mean"]
 
+    @classmethod
+    def stored(cls, matrix: np.ndarray, types: list[str], axis: DataFrame) -> Profiles:
+        """Profiles that were built before, from their parts."""
+        self = cls.__new__(cls)
+        self.matrix, self.types, self.axis = matrix, types, axis
+        return self
+
 
 def spot_rows(counts: DataFrame, sizes: DataFrame, axis: DataFrame) -> DataFrame:
     """``(id, n_umi, v)`` with counts over the axis; library sizes keep all genes."""

@@ -225,11 +225,13 @@ def predict(blocks: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
     return blocks.mapInPandas(run, f"id {id_type}, label long, score double")
 
 
-def fill_labels(nodes: DataFrame, edges: DataFrame, n_classes: int, config: GatConfig | None = None):
-    """Train on the labelled nodes and label the rest; known labels stay."""
+def fill_labels(
+    nodes: DataFrame, edges: DataFrame, n_classes: int, config: GatConfig | None = None, params: dict[str, np.ndarray] | None = None,
+):
+    """Train on the labelled nodes, unless trained ``params`` are given, and label the rest; known labels stay."""
     c = config or GatConfig()
     blocks = graph_blocks(nodes, edges, c.block_nodes)
-    params, losses = train(blocks, n_classes, c)
+    params, losses = (params, []) if params is not None else train(blocks, n_classes, c)
     found = predict(blocks, params).withColumnRenamed("label", "_new")
     return nodes.select("id", "label").join(found, "id").select(
         "id", F.coalesce(F.col("label").cast("long"), F.col("_new")).alias("label")), params, losses

@@ -25,9 +25,11 @@ from tissuegrid.operators import normalize as nz
 from tissuegrid.operators import propagate as lp
 from tissuegrid.operators import rings as rg
 from tissuegrid.operators import sampling, spots as sp
+from tissuegrid.plans import state
 from tissuegrid.session import materialize
 from tissuegrid.sources import cells as src
 from tissuegrid.sources.tables import write_table
+from tissuegrid.store import settings_of
 
 log = logging.getLogger("tissuegrid")
 
@@ -239,7 +241,14 @@ def _bounded(types: DataFrame, n: int | None, seed: int) -> DataFrame:
     return types if n is None else sampling.sample_per_class(types, n, seed)
 
 
-def warm_start(spatial: Spatial, reference: Reference, settings: Settings, markers: DataFrame | None = None) -> Warm:
+def warm_start(
+    spatial: Spatial, reference: Reference, settings: Settings, markers: DataFrame | None = None, out: str | None = None,
+    resume: bool = False,
+) -> Warm:
+    """The spot-level fit. It is kept under ``out``; ``resume`` takes what an earlier run with these settings left there."""
+    spark, path = spatial.counts.sparkSession, f"{out}/warm" if out else None
+    if state.have(spark, path, state.WARM, resume):
+        return state.load_warm(spark, path, settings_of(settings))
     counts, sizes = spatial.counts, materialize(mx.library_sizes(spatial.counts), "sizes")
     mx.check_barcodes(spatial.spots, counts, sizes)
     types = _bounded(reference.types, settings.reference_cells, settings.seed)
@@ -253,7 +262,7 @@ def warm_start(spatial: Spatial, reference: Reference, settings: Settings, marke
     if settings.drop_low:
         puck = mx.keep_top_share(puck, lists["bulk"].count(), sizes.count())
     if settings.adapt:
-        puck = _balance(puck, reference, types, lists["bulk"], settings)
+        puck = _balance(puck, reference, types, lists["bulk"], settings, out, resume)
     puck = materialize(puck, "puck")
     bulk = materialize(mx.bulk_vector(puck), "bulk")
     total = sizes.agg(F.sum("n_umi"))
@@ -266,10 +275,14 @@ def warm_start(spatial: Spatial, reference: Reference, settings: Settings, marke
     shapes = deconv.Profiles(renormed, axis)
     sigma = deconv.choose_sigma(spots, shapes, settings.umi_min_sigma, settings.sigma_spots, settings.sigma_entries, seed=settings.seed)
     fitted = materialize(deconv.fit_spots(spots, shapes, sigma), "fitted")
-    return Warm(puck, sizes, lists["reg"], profiles, shapes, spots, fitted, sigma)
+    warm = Warm(puck, sizes, lists["reg"], profiles, shapes, spots, fitted, sigma)
+    if out is None:
+        return warm
+    state.save_warm(spark, path, warm, settings_of(settings))
+    return state.load_warm(spark, path)
 
 
-def _balance(puck, reference, types, genes, settings: Settings) -> DataFrame:
+def _balance(puck, reference, types, genes, settings: Settings, out: str | None, resume: bool) -> DataFrame:
     """Platform correction: replace spot counts by their reconstruction on the reference platform."""
     scale = 1e3 if settings.image_mode else 1e4
     few = _bounded(types, settings.adapt_cells, settings.seed)
@@ -279,7 +292,15 @@ def _balance(puck, reference, types, genes, settings: Settings) -> DataFrame:
     if settings.image_mode:
         config = replace(config, st_mix=(config.st_mix[0], config.sc_mix[1]))
     n_types = types.select("cell_type").distinct().count()
-    _, rebuilt, _ = cvae.adapt_domains(nz.fraction_scale(puck, scale), nz.fraction_scale(sc, scale), axis, n_types, config)
+    spark, path, st = puck.sparkSession, f"{out}/autoencoder" if out else None, nz.fraction_scale(puck, scale)
+    if state.have(spark, path, state.AUTOENCODER, resume):
+        # The stored axis is the one the parameters belong to.
+        model, axis = state.load_autoencoder(spark, path, config)
+        rebuilt = cvae.reconstruct(impute.dense_vectors(st, axis), model, "st")
+    else:
+        model, rebuilt, _ = cvae.adapt_domains(st, nz.fraction_scale(sc, scale), axis, n_types, config)
+        if path:
+            state.save_autoencoder(spark, path, model, axis)
     long = rebuilt.select("id", F.posexplode("v").alias("ix", "value")).join(axis, "ix").select("id", "gene", "value")
     recon = nz.rescale_to_totals(materialize(long, "recon"), puck)
     out = recon if settings.adapt_blend >= 1 else nz.blend(puck, recon, settings.adapt_blend)
@@ -309,10 +330,17 @@ class Identified:
 
 def identify_cells(
     spatial: Spatial, reference: Reference, settings: Settings | None = None, markers: DataFrame | None = None,
-    warm: Warm | None = None, out: str | None = None,
+    warm: Warm | None = None, out: str | None = None, resume: bool = False,
 ) -> Identified:
-    """Labels of every cell. A given ``warm`` start is used as it is."""
+    """Labels of every cell. A given ``warm`` start is used as it is.
+
+    With ``out`` the spot fit, the models and the result are kept there. ``resume`` starts from the last of
+    them that is complete; results of other settings are refused.
+    """
     s = settings or Settings()
+    spark, path = spatial.counts.sparkSession, f"{out}/identified" if out else None
+    if state.have(spark, path, state.IDENTIFIED, resume):
+        return state.load_identified(spark, path, warm or state.load_warm(spark, f"{out}/warm"), settings_of(s))
     axes = ["x", "y", "z"] if "z" in spatial.spots.columns else ["x", "y"]
     if s.down_sample:
         n = int(spatial.spots.count() * s.down_sample)
@@ -320,7 +348,7 @@ def identify_cells(
         keep = picked.select("id")
         spatial = replace(spatial, spots=spatial.spots.join(keep, "id", "left_semi"),
                           counts=spatial.counts.join(keep, "id", "left_semi"))
-    warm = warm or warm_start(spatial, reference, s, markers)
+    warm = warm or warm_start(spatial, reference, s, markers, out, resume)
     spots = spatial.spots.withColumnRenamed("id", "spot_id")
     if s.image_mode:
         overlap = spots.select("spot_id", F.col("spot_id").alias("cell_id"), F.lit(1.0).alias("frac"))
@@ -346,26 +374,33 @@ def identify_cells(
     labels, sigma, effects = asg.identify_cells(
         warm.spots, warm.fitted, warm.shapes, warm.sigma, overlap, materialize(graph, "graph"), vectors, s.nu,
         s.epochs, s.umi_min_sigma, mcmc_iterations=s.mcmc_iterations, seed=s.seed)
-    every = labels if s.image_mode else materialize(fill_up(cells, labels, vectors, axes, len(warm.shapes.types), s), "all")
+    every = labels if s.image_mode else materialize(
+        fill_up(cells, labels, vectors, axes, len(warm.shapes.types), s, out, resume), "all")
     names = F.array(*[F.lit(t) for t in warm.shapes.types])
     named = lambda d: d.withColumn("cell_type", F.element_at(names, (F.col("label") + 1).cast("int")))
     result = Identified(named(labels), named(every), overlap, warm.shapes.types, sigma,
                         None if effects is None else effects[0], warm)
-    if out:
-        write_table(result.labels, f"{out}/labels")
-        write_table(result.all_labels, f"{out}/all_labels")
-        write_table(overlap, f"{out}/overlap")
-    return result
+    if out is None:
+        return result
+    state.save_identified(spark, path, result, settings_of(s))
+    state.export_labels(result, spatial.features, out)
+    return state.load_identified(spark, path, warm)
 
 
-def fill_up(cells, labels, vectors, axes, n_types: int, s: Settings) -> DataFrame:
+def fill_up(cells, labels, vectors, axes, n_types: int, s: Settings, out: str | None = None, resume: bool = False) -> DataFrame:
     """Labels for cells outside all spots: propagation with a likelihood pass, or graph attention."""
     if s.fill not in ("likelihood", "attention"):
         raise ValueError(f"unknown fill {s.fill}")
     near = materialize(gr.knn_edges(cells, axes, s.n_neighbors).select("src", "dst"), "near")
     if s.fill == "attention":
         nodes = gat.with_order(cells.select("id", "x", "y")).join(vectors, "id").join(labels, "id", "left")
-        return gat.fill_labels(nodes.select("id", "order", "v", "label"), near, n_types, s.gat)[0]
+        spark, path, known = cells.sparkSession, f"{out}/attention" if out else None, None
+        if state.have(spark, path, state.ATTENTION, resume):
+            known = state.load_attention(spark, path, s.gat)[0]
+        filled, params, losses = gat.fill_labels(nodes.select("id", "order", "v", "label"), near, n_types, s.gat, known)
+        if path and known is None:
+            state.save_attention(spark, path, params, s.gat, losses)
+        return filled
     free = cells.select("id").join(labels, "id", "left_anti")
     drawn = sampling.initial_labels(free.withColumn("_none", F.lit(None).cast("long")), "_none", n_types, s.seed)
     mass = lp.one_hot_mass(labels.unionByName(drawn.select("id", "label")))

@@ -15,6 +15,7 @@ from tissuegrid.functions.scalars import homography
 from tissuegrid.operators.ranking import hash_uniform, row_numbers
 from tissuegrid.sources.records import RANGE, read_records
 from tissuegrid.sources.tables import require_columns
+from tissuegrid.sources.tiles import as_rgb, ranged_tiles
 
 _FEATURE = "geometry struct<type: string, coordinates: string>, properties struct<measurements: map<string,double>>"
 _NUCLEUS = "contour array<array<double>>, centroid array<double>, type int"
@@ -153,19 +154,31 @@ def decode_image(data: bytes) -> np.ndarray:
     return np.asarray(Image.open(io.BytesIO(data)))
 
 
-def read_tiles(spark: SparkSession, path: str, size: int = 256, decode: Callable = decode_image) -> DataFrame:
+def read_tiles(spark: SparkSession, path: str, size: int = 256, decode: Callable | None = None) -> DataFrame:
     """``(image_id, tx, ty, width, height, rgb)``: image files cut into raw RGB tiles.
 
-    Grey images become RGB, bands beyond three are dropped. Edge tiles are padded with white.
+    Grey images become RGB, bands beyond three are dropped. Edge tiles are padded with white. Netpbm and
+    plain or deflated TIFF files are read by range, a bounded part in each task. Any other file, or every
+    file where ``decode`` is given, is decoded as a whole in one task.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    if decode is not None:
+        return _decoded_tiles(spark, [path], size, decode)
+    ranged, others = ranged_tiles(spark, path, size)
+    if not others:
+        return ranged
+    whole = _decoded_tiles(spark, others, size, decode_image)
+    return whole if ranged is None else ranged.unionByName(whole)
+
+
+def _decoded_tiles(spark: SparkSession, paths: list[str], size: int, decode: Callable) -> DataFrame:
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 img = decode(content)
                 img = img[..., None] if img.ndim == 2 else img
-                img = np.repeat(img[..., :1], 3, axis=2) if img.shape[2] < 3 else img[..., :3]
+                img = as_rgb(img)
                 h, w = img.shape[:2]
                 for ty in range(-(-h // size)):
                     for tx in range(-(-w // size)):

@@ -66,7 +66,9 @@ def brackets(block: np.ndarray, inside: bool, escaped: bool) -> tuple[np.ndarray
     return place, _STEP[block[place]].astype(np.int64), bool((len(quotes) + inside) % 2), after
 
 
-class _File:
+class RangedFile:
+    """A file read by byte ranges."""
+
     def __init__(self, path: str):
         self.handle = _system(path)[0].open_input_file(_system(path)[1])
         self.size = self.handle.size()
@@ -99,7 +101,7 @@ def _system(path: str) -> tuple[pafs.FileSystem, str]:
 
 def changes(part: JsonRange) -> tuple[int, int, int]:
     """Texts left open (0 or 1), and the change of nesting for a start outside and inside a text."""
-    file = _File(part.file)
+    file = RangedFile(part.file)
     escaped = file.escaped(part.start)
     net, inside = [0, 0], [False, True]
     for _, block in file.blocks(part.start, part.end):
@@ -112,7 +114,7 @@ def changes(part: JsonRange) -> tuple[int, int, int]:
 
 def records(part: JsonRange, level: int, named: bool) -> Iterator[tuple[str, int, str | None, str]]:
     """``(file, pos, name, record)`` of the objects that open at nesting ``level`` within the range."""
-    file = _File(part.file)
+    file = RangedFile(part.file)
     depth, inside, escaped = part.depth, part.inside, file.escaped(part.start)
     held, opened = b"", None
     for at, block in file.blocks(part.start, file.size):
@@ -136,7 +138,7 @@ def records(part: JsonRange, level: int, named: bool) -> Iterator[tuple[str, int
         held = held + raw[cut:] if opened is not None else b""
 
 
-def _name(file: _File, opened: int, before: bytes) -> str | None:
+def _name(file: RangedFile, opened: int, before: bytes) -> str | None:
     """The key of the record that opens at ``opened``, from what stands ``before`` it in its block or further back."""
     width = NAME_BYTES
     found = _NAME.search(before[-width:]) if len(before) >= width else None
@@ -178,11 +180,11 @@ class _Reader(DataSourceReader):
             yield from records(part, self.level, self.named)
 
 
-def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """Files behind a path, folder or pattern, with their sizes."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
     found = []
-    for status in jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(path)) or []:
+    for status in hadoop(path).getFileSystem(conf).globStatus(hadoop(path)) or []:
         inner = [status] if status.isFile() else status.getPath().getFileSystem(conf).listStatus(status.getPath())
         found += [(s.getPath().toString(), s.getLen()) for s in inner if s.isFile() and s.getPath().getName()[0] not in "._"]
     if not found:
@@ -200,7 +202,7 @@ def read_records(
     """
     spark.dataSource.register(JsonRecords)
     source = spark.read.format("json_records").option("level", level).option("named", str(named).lower())
-    ranges = [(f, at, min(at + range_bytes, size)) for f, size in _files(spark, path) for at in range(0, size, range_bytes)]
+    ranges = [(f, at, min(at + range_bytes, size)) for f, size in list_files(spark, path) for at in range(0, size, range_bytes)]
     found = source.option("what", "changes").option("ranges", json.dumps(ranges)).load().collect()
     made = {(r["file"], r["start"]): r for r in found}
     states, inside, depth = [], False, 0
