@@ -1,13 +1,17 @@
 """The batch jobs from files to results on a small invented slide with a known answer."""
 
 import json
+import shutil
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tissuegrid.operators import cvae, gat
+from tissuegrid.plans import state
 from tissuegrid.plans import workflow as wf
+from tissuegrid.sources.tables import read_csv
 
 TYPES, GENES = ["A", "B", "C"], 30
 
@@ -69,19 +73,40 @@ def test_whole_workflow(spark, slide, tmp_path):
     everyone = np.mean([truth[at[r["id"]]] == r["cell_type"] for r in found.all_labels.collect()])
     assert everyone > 0.7
 
-    value = wf.enhance_from_spots(spatial, slide["ref"], found, k=10)
+    # The kept result, and a run from the kept spot fit, give the same labels; other settings are refused.
+    again = wf.identify_cells(spatial, slide["ref"], settings, out=str(tmp_path), resume=True)
+    warm = state.load_warm(spark, f"{tmp_path}/warm")
+    anew = wf.identify_cells(spatial, slide["ref"], settings, warm=warm)
+    by_id = lambda d: sorted((r["id"], r["cell_type"]) for r in d.collect())
+    assert by_id(found.all_labels) == by_id(again.all_labels) == by_id(anew.all_labels)
+    assert np.array_equal(found.beta, again.beta) and found.sigma == again.sigma
+    with pytest.raises(ValueError, match="nu"):
+        wf.identify_cells(spatial, slide["ref"], replace(settings, nu=3.0), out=str(tmp_path), resume=True)
+    written = read_csv(spark, f"{tmp_path}/labels_csv", "id string, cell_type string")
+    assert by_id(written) == by_id(found.all_labels)
+    effects = read_csv(spark, f"{tmp_path}/factors_csv", "feature string, gene string, value double")
+    assert effects.count() == found.beta.size and np.isclose(effects.agg(F.sum("value")).first()[0], found.beta.sum())
+
+    value = wf.enhance_from_spots(spatial, slide["ref"], again, k=10)
     assert value.select("id").distinct().count() == 75
     assert value.where("value < 0 OR value IS NULL").count() == 0
 
 
-def test_adaptation_and_attention_fill(spark, slide):
+def test_adaptation_and_attention_fill(spark, slide, tmp_path, monkeypatch):
     cells, features = wf.extract_features(spark, slide["geojson"])
     spatial = wf.Spatial(slide["counts"], slide["spots"], diameter=60.0, cells=cells, features=features)
     settings = wf.Settings(
         adapt=True, all_genes=True, cvae=cvae.CvaeConfig(epochs=3, samples=200), epochs=1, mcmc_iterations=1, umi_min_sigma=100,
         fill="attention", gat=gat.GatConfig(hidden=8, epochs=3, block_nodes=40), neighbor_mode="knn", n_neighbors=4)
-    found = wf.identify_cells(spatial, slide["ref"], settings)
+    found = wf.identify_cells(spatial, slide["ref"], settings, out=str(tmp_path / "a"))
     assert found.all_labels.count() == 75
+    # A run that has the models but not the result takes them: nothing is trained again.
+    for part in ("autoencoder", "attention"):
+        shutil.copytree(tmp_path / "a" / part, tmp_path / "b" / part)
+    monkeypatch.setattr(cvae, "train", None)
+    monkeypatch.setattr(gat, "train", None)
+    again = wf.identify_cells(spatial, slide["ref"], settings, out=str(tmp_path / "b"), resume=True)
+    assert sorted(map(tuple, again.all_labels.collect())) == sorted(map(tuple, found.all_labels.collect()))
     kept = found.all_labels.join(found.labels.select("id", F.col("label").alias("own")), "id")
     assert kept.where("label <> own").count() == 0
 

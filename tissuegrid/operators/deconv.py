@@ -24,72 +24,111 @@ RIDGE = 1e-7
 START_SIGMA = 100
 SIGMA_EPOCHS = 8
 SIGMA_WINDOW = 8
+#: Spots that are fitted together, and products of gene and type pairs that are held for them.
+STACK, OUTER_CELLS = 256, 1 << 23
 MULTIPLIERS = (0.8, 0.9, 1.0, 1.1, 1.2)
 
 
 # ---- numeric helpers -------------------------------------------------------------------------
 
-def nonnegative_quadratic(d: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """``argmin u'Du/2 - c'u`` over ``u >= 0`` by active sets; ``d`` is positive definite."""
-    n = len(c)
-    u, free = np.zeros(n), np.zeros(n, bool)
-    tol = 1e-12 * max(1.0, np.abs(c).max())
-    for _ in range(5 * n):
-        slope = np.where(free, -np.inf, c - d @ u)
-        best = int(slope.argmax())
-        if slope[best] <= tol:
-            break
-        free[best] = True
-        while True:
-            trial = np.zeros(n)
-            trial[free] = np.linalg.solve(d[np.ix_(free, free)], c[free])
-            bad = free & (trial <= 0)
-            if not bad.any():
-                u = trial
-                break
-            room = u[bad] / np.maximum(u[bad] - trial[bad], 1e-300)
-            u = np.maximum(u + room.min() * (trial - u), 0.0)
-            free &= u > 1e-15
-            if not free.any():
-                break
-    return u
-
-
-def _on_simplex(d: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The same problem with ``sum(u) = 1``: a strong penalty row, then exact rescaling."""
-    big = 1e4 * max(1.0, np.abs(d).max())
-    u = nonnegative_quadratic(d + big, c + big)
-    return u / u.sum() if u.sum() > 0 else u
-
-
-def fit_one(
-    design: np.ndarray, y: np.ndarray, n_umi: float, table: np.ndarray | None, grid: np.ndarray | None,
+def stacked_nonnegative(d: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``argmin u'Du/2 - c'u`` over ``u >= 0`` by active sets for positive definite ``d (s, n, n)`` and ``c (s, n)``.
+
+    Returns the minima and which of the problems settled. All problems keep their own active set; one batched solve moves every problem that is not done. Held
+    coordinates are replaced by rows of the identity, so that all systems have one shape.
+    """
+    s, n = c.shape
+    u, free = np.zeros((s, n)), np.zeros((s, n), bool)
+    tol = 1e-12 * np.maximum(1.0, np.abs(c).max(axis=1))
+    open_, done, added = np.ones(s, bool), np.zeros(s, bool), np.zeros(s, int)
+    unit = np.eye(n)
+    while True:
+        # Problems whose last solve was inside: free the steepest coordinate or stop.
+        at = np.flatnonzero(open_ & ~done)
+        if len(at):
+            slope = np.where(free[at], -np.inf, c[at] - np.einsum("sij,sj->si", d[at], u[at]))
+            best = slope.argmax(axis=1)
+            end = (slope[np.arange(len(at)), best] <= tol[at]) | (added[at] >= 5 * n)
+            done[at[end]] = True
+            at, best = at[~end], best[~end]
+            free[at, best] = True
+            added[at] += 1
+        go = np.flatnonzero(~done)
+        if not len(go):
+            return u, added < 5 * n
+        f = free[go]
+        both = f[:, :, None] & f[:, None, :]
+        trial = np.linalg.solve(np.where(both, d[go], unit), np.where(f, c[go], 0.0)[..., None])[..., 0]
+        trial = np.where(f, trial, 0.0)
+        bad = f & (trial <= 0)
+        inside = ~bad.any(axis=1)
+        u[go[inside]], open_[go[inside]] = trial[inside], True
+        # The others go as far as the first coordinate that turns negative, and hold it at zero.
+        cut = go[~inside]
+        if len(cut):
+            now, to = u[cut], trial[~inside]
+            room = np.where(bad[~inside], now / np.maximum(now - to, 1e-300), np.inf).min(axis=1)
+            u[cut] = np.maximum(now + room[:, None] * (to - now), 0.0)
+            free[cut] &= u[cut] > 1e-15
+            open_[cut] = ~free[cut].any(axis=1)
+
+
+def _curvatures(matrix: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    """``-M' diag(curve) M`` for each row of ``curve``."""
+    genes, n = matrix.shape
+    if genes * n * n <= OUTER_CELLS:
+        outer = (matrix[:, :, None] * matrix[:, None, :]).reshape(genes, n * n)
+        return -(curve @ outer).reshape(len(curve), n, n)
+    return np.stack([-(matrix.T * row) @ matrix for row in curve])
+
+
+def fit_stack(
+    matrix: np.ndarray, size: np.ndarray, y: np.ndarray, table: np.ndarray | None, grid: np.ndarray | None,
     n_iter: int = 50, tol: float = 1e-3, constrain: bool = False,
-) -> tuple[np.ndarray, int, bool]:
-    """Weights of one observation. Without a table the bulk loss ``(ln prediction - ln y)^2`` is used."""
-    n = design.shape[1]
-    w = np.full(n, 1.0 / n)
-    floor = max(1e-4, n_umi * 1e-7)
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights ``(s, n)``, steps and convergence of a stack of spots with counts ``y (s, genes)``.
+
+    The design of a spot is ``matrix`` times its ``size``. Every spot takes the steps it would take alone;
+    those that have settled leave the stack. A spot whose inner problem did not settle counts as not converged.
+    Without a table the bulk loss ``(ln prediction - ln y)^2`` is used.
+    """
+    s, n = len(y), matrix.shape[1]
+    weights = np.full((s, n), 1.0 / n)
+    steps, converged, sound = np.full(s, n_iter), np.zeros(s, bool), np.ones(s, bool)
+    floor = np.maximum(1e-4, size * 1e-7)
+    at = np.arange(s)
     for i in range(1, n_iter + 1):
-        w = np.maximum(w, 0.0)
-        pred = np.maximum(np.abs(design @ w), floor)
+        w = np.maximum(weights[at], 0.0)
+        scale_by = size[at][:, None]
+        pred = np.maximum(np.abs(w @ matrix.T) * scale_by, floor[at][:, None])
         if table is None:
-            gap = np.log(pred) - np.log(y)
+            gap = np.log(pred) - np.log(y[at])
             slope, curve = -2 * gap / pred, -2 * (1 - gap) / pred ** 2
         else:
-            slope, curve = lk.log_derivatives(pred, y, table, grid)
-        pull = design.T @ slope
-        values, vectors = np.linalg.eigh(-(design.T * curve) @ design)
+            slope, curve = lk.log_derivatives(pred, y[at], table, grid)
+        pull = (slope @ matrix) * scale_by
+        values, vectors = np.linalg.eigh(_curvatures(matrix, curve * scale_by ** 2))
         values = np.maximum(values, CURVATURE_FLOOR)
-        scale = values.max()
-        d = (vectors * (values / scale)) @ vectors.T + RIDGE * np.eye(n)
-        target = pull / scale + d @ w
-        u = _on_simplex(d, target) if constrain else nonnegative_quadratic(d, target)
+        scale = values.max(axis=1)[:, None]
+        d = (vectors * (values / scale)[:, None, :]) @ vectors.transpose(0, 2, 1) + RIDGE * np.eye(n)
+        target = pull / scale + np.einsum("sij,sj->si", d, w)
+        if constrain:
+            # A strong penalty row for the sum, then exact rescaling.
+            big = (1e4 * np.maximum(1.0, np.abs(d).max(axis=(1, 2))))[:, None]
+            u, ok = stacked_nonnegative(d + big[..., None], target + big)
+            total = u.sum(axis=1, keepdims=True)
+            u = np.where(total > 0, u / np.where(total > 0, total, 1.0), u)
+        else:
+            u, ok = stacked_nonnegative(d, target)
+        sound[at] &= ok
         step = DAMPING * (u - w)
-        w = w + step
-        if np.abs(step).sum() <= tol:
-            return w, i, True
-    return w, n_iter, False
+        weights[at] = w + step
+        near = np.abs(step).sum(axis=1) <= tol
+        steps[at[near]], converged[at[near]] = i, True
+        at = at[~near]
+        if not len(at):
+            break
+    return weights, steps, converged & sound
 
 
 # ---- inputs ----------------------------------------------------------------------------------
@@ -156,8 +195,9 @@ def fit_bulk(design: DataFrame, total_umi: float, n_iter: int = 100, tol: float
     spark = design.sparkSession
     rows = design.toPandas().pivot_table(index=["gene", "b"], columns="cell_type", values="x", fill_value=0.0)
     b = rows.index.get_level_values("b").to_numpy(float)
-    w, _, _ = fit_one(rows.to_numpy(float), b, total_umi, None, None, n_iter, tol)
-    return spark.createDataFrame([(str(t), float(v)) for t, v in zip(rows.columns, w)], "cell_type string, weight double")
+    # The design holds the totals already, so its size only sets the floor of predictions.
+    w, _, _ = fit_stack(rows.to_numpy(float) / total_umi, np.array([total_umi]), b[None], None, None, n_iter, tol)
+    return spark.createDataFrame([(str(t), float(v)) for t, v in zip(rows.columns, w[0])], "cell_type string, weight double")
 
 
 def fit_spots(
@@ -170,13 +210,11 @@ def fit_spots(
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matrix, table, grid = shared.value
         for batch in batches:
-            out = []
-            for size, v in zip(batch["n_umi"], batch["v"]):
-                y = np.minimum(np.asarray(v), lk.MAX_COUNT)
-                out.append(fit_one(matrix * size, y, size, table, grid, n_iter, tol, constrain))
-            w, n, ok = zip(*out) if out else ((), (), ())
-            yield pd.DataFrame({"id": batch["id"], "n_umi": batch["n_umi"], "weights": list(w),
-                                "n_iter": list(n), "converged": list(ok)})
+            for lo in range(0, len(batch), STACK):
+                part = batch.iloc[lo:lo + STACK]
+                y = np.minimum(np.stack(part["v"].to_numpy()), lk.MAX_COUNT)
+                w, n, ok = fit_stack(matrix, part["n_umi"].to_numpy(float), y, table, grid, n_iter, tol, constrain)
+                yield pd.DataFrame({"id": part["id"], "n_umi": part["n_umi"], "weights": list(w), "n_iter": n, "converged": ok})
 
     key = f"id {spots.schema['id'].dataType.simpleString()}"
     return spread(spots, "id", rows=64).mapInPandas(fit, f"{key}, n_umi double, weights array<double>, n_iter int, converged boolean")

@@ -153,7 +153,8 @@ def graph_blocks(nodes: DataFrame, edges: DataFrame, block_nodes: int) -> DataFr
     near = materialize(own.unionByName(first).groupBy("block", "node").agg(F.min("ring").alias("ring")), "near")
     second = near.join(e, F.col("node") == F.col("src")).select("block", F.col("dst").alias("node"), F.lit(2).alias("ring"))
     members = near.unionByName(second).groupBy("block", "node").agg(F.min("ring").alias("ring"))
-    rows = members.join(nodes.select(F.col("id").alias("node"), "v", F.coalesce("label", F.lit(-1)).cast("int").alias("label")), "node")
+    rows = members.join(nodes.select(F.col("id").alias("node"), "v", F.coalesce("label", F.lit(-1)).cast("int").alias("label"),
+                                     F.xxhash64("id").alias("key")), "node")
     links = near.join(e, F.col("node") == F.col("src")).select(F.col("block").alias("at"), "src", "dst")
     id_type = nodes.schema["id"].dataType.simpleString()
 
@@ -167,11 +168,11 @@ def graph_blocks(nodes: DataFrame, edges: DataFrame, block_nodes: int) -> DataFr
         x = np.stack(m["v"].to_numpy()).astype(float)
         return pd.DataFrame({
             "block": [key[0]], "ids": [m["node"][:n_own].tolist()], "label": [m["label"][:n_own].tolist()],
-            "n_mid": [n_mid], "width": [x.shape[1]], "x": [x.tobytes()],
+            "n_mid": [n_mid], "keys": [m["key"][:n_mid].to_numpy(np.int64).tobytes()], "width": [x.shape[1]], "x": [x.tobytes()],
             "src": [src[order].astype(np.int64).tobytes()], "dst": [dst[order].astype(np.int64).tobytes()]})
 
     out = rows.groupBy("block").cogroup(links.groupBy("at")).applyInPandas(
-        packed, f"block long, ids array<{id_type}>, label array<int>, n_mid int, width int, x binary, src binary, dst binary")
+        packed, f"block long, ids array<{id_type}>, label array<int>, n_mid int, keys binary, width int, x binary, src binary, dst binary")
     return materialize(out, "blocks")
 
 
@@ -180,7 +181,8 @@ def _open(row) -> dict:
     n_own = len(row.ids)
     top = dst < n_own
     return {"x": np.frombuffer(row.x).reshape(-1, row.width), "n_own": n_own, "n_mid": row.n_mid, "src1": src, "dst1": dst,
-            "src2": src[top], "dst2": dst[top], "label": np.asarray(row.label, int), "block": row.block}
+            "src2": src[top], "dst2": dst[top], "label": np.asarray(row.label, int),
+            "keys": np.frombuffer(row.keys, np.int64).view(np.uint64)}
 
 
 def train(blocks: DataFrame, n_classes: int, config: GatConfig | None = None) -> tuple[dict[str, np.ndarray], list[float]]:
@@ -196,8 +198,8 @@ def train(blocks: DataFrame, n_classes: int, config: GatConfig | None = None) ->
             total = 0.0
             for row in batch.itertuples():
                 b = _open(row)
-                keys = np.arange(b["n_mid"]) + b["block"] * 1_000_003
-                keep = keyed_uniform(keys, c.heads * c.hidden, c.seed + epoch) >= c.dropout
+                # A node is dropped or kept alike in every block that holds it.
+                keep = keyed_uniform(b["keys"], c.heads * c.hidden, c.seed + epoch) >= c.dropout
                 loss, n, g = block_gradient(b, shared.value, keep / (1 - c.dropout))
                 total = total + np.concatenate([[loss, n], pack(g)])
             return total
