@@ -512,6 +512,61 @@ def test_autoencoder_gradient():
         assert flat[i] == pytest.approx(_numeric(f, v, i), rel=1e-4, abs=1e-4)
 
 
+def test_batch_moments_of_split_rows():
+    rng = np.random.default_rng(2)
+    a = 1e6 + rng.normal(size=(30, 4))
+    parts = [a[:0], a[:1], a[1:20], a[20:]]
+    handed = []
+    for p in parts:
+        tr.batch_moments(p, lambda v: handed.append(v) or np.ones((1, 9)))
+    n, mean, var = tr.batch_moments(parts[0], lambda v: np.stack(handed))
+    assert n == 30 and np.allclose(mean, a.mean(0), rtol=1e-14) and np.allclose(var, a.var(0), rtol=1e-8)
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    """Autoencoder fitted on rows in ``parts`` partitions, by ``tasks`` tasks, with Arrow batches of ``records`` rows."""
+    rng = np.random.default_rng(3)
+    data = [(int(k), [float(x) for x in rng.poisson(6, 9)], float(10 * (k % 2)), 0.5 + k % 3) for k in range(90)]
+    frame = materialize(spark.createDataFrame(data, "key long, v array<double>, cond double, weight double"))
+
+    def fit(parts, tasks, records, **settings):
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+        try:
+            m = cvae.new_model(9, 2, cvae.CvaeConfig(**settings))
+            m.scale_st = m.scale_sc = (np.zeros(9), np.full(9, 3.0))
+            return cvae.train(frame.repartition(parts).limit(0 if not records else 1000), m, tasks)
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    return fit
+
+
+def _same_model(a, b):
+    return np.allclose(a.losses, b.losses, rtol=1e-9) and np.allclose(
+        tr.pack(a.running), tr.pack(b.running), rtol=1e-6, atol=1e-9)
+
+
+@pytest.mark.parametrize("batch", [1000, 50])
+def test_autoencoder_training_does_not_depend_on_layout(fitted, batch):
+    run = lambda *layout: fitted(*layout, epochs=2, batch=batch, norm_rows=16)
+    one = run(1, 1, 10_000)
+    assert _same_model(one, run(7, 5, 10_000)) and _same_model(one, run(7, 5, 3))
+    assert one.losses[1] < one.losses[0]
+
+
+def test_autoencoder_over_whole_batches(fitted):
+    run = lambda *layout, n: fitted(*layout, epochs=1, norm_rows=n)
+    # 90 rows fall into one group of 1024, which is the whole batch of one task.
+    assert _same_model(run(1, 1, 10_000, n=1024), run(7, 7, 3, n=None))
+
+
+def test_autoencoder_without_rows(fitted):
+    for n in (16, None):
+        with pytest.raises(ValueError, match="no rows"):
+            fitted(1, 1, 0, epochs=1, norm_rows=n)
+
+
 def test_autoencoder_learns_and_is_stored(spark, tmp_path):
     rng = np.random.default_rng(1)
     base = rng.dirichlet(np.full(8, 0.5), size=2)

@@ -1,7 +1,8 @@
 """Conditional variational autoencoder that moves spot profiles to the reference platform.
 
-Training rows are pseudo-mixtures and real rows of both domains. A step is one job: each task
-computes the gradient of its rows, with batch normalisation over the rows of the task.
+Training rows are pseudo-mixtures and real rows of both domains. A step is one job. Batch normalisation
+takes its statistics over groups of rows chosen by their keys, or over the whole batch in a barrier
+stage; neither depends on how the rows are laid out.
 """
 
 from __future__ import annotations
@@ -17,17 +18,33 @@ from pyspark.sql import functions as F
 from tissuegrid.operators.impute import dense_vectors
 from tissuegrid.operators.normalize import min_max_fit
 from tissuegrid.operators.sampling import random_mix
-from tissuegrid.operators.training import Adam, keyed_normal, pack, summed, unpack
-from tissuegrid.session import materialize, spread
+from tissuegrid.operators.training import (
+    Adam,
+    Gather,
+    alone,
+    batch_moments,
+    keyed_normal,
+    pack,
+    summed_groups,
+    summed_together,
+    unpack,
+)
+from tissuegrid.session import materialize, release
 
 BN_EPS = 1e-5
 BN_MOMENTUM = 0.1
-TASK_ROWS = 256
+WHOLE_BATCH_TASK_ROWS = 256
+# A batch is made of this many stored slices of the rows, drawn anew in every epoch.
+BATCH_SLICES = 8
 
 
 @dataclass
 class CvaeConfig:
-    """Fixed defaults of the adaptation step."""
+    """Fixed defaults of the adaptation step.
+
+    ``norm_rows`` is the mean size of the groups that batch normalisation works on; None takes the whole
+    batch, whose tasks then exchange some 14 vectors a step, each taking about a second.
+    """
 
     lr: float = 0.01
     batch: int = 16384
@@ -40,6 +57,7 @@ class CvaeConfig:
     beta: float = 1.0
     seed: int = 30
     log: bool = True
+    norm_rows: int | None = 1024
 
 
 @dataclass
@@ -84,63 +102,67 @@ def new_model(genes: int, n_types: int, config: CvaeConfig) -> Cvae:
     return model
 
 
-def _forward(x, name, params, stats, act, trace=None):
+def _forward(x, name, params, stats, act, trace=None, gather=alone):
     """Linear, batch norm, activation. ``stats`` None uses the batch and records it in ``trace``."""
     a = x @ params[f"{name}.w"]
-    mean, var = (a.mean(0), a.var(0)) if stats is None else (stats[f"{name}.m"], stats[f"{name}.v"])
+    rows, mean, var = batch_moments(a, gather) if stats is None else (0, stats[f"{name}.m"], stats[f"{name}.v"])
     inv = 1 / np.sqrt(var + BN_EPS)
     z = (a - mean) * inv
     y = z * params[f"{name}.g"] + params[f"{name}.b"]
     out = {"elu": np.where(y > 0, y, np.expm1(np.minimum(y, 0))), "relu": np.maximum(y, 0), "none": y}[act]
     if trace is not None:
-        trace[name] = (x, z, inv, y, act, mean, var)
+        trace[name] = (x, z, inv, y, act, mean, var, rows)
     return out
 
 
-def _backward(d, name, params, trace, grads):
-    x, z, inv, y, act, _, _ = trace[name]
+def _backward(d, name, params, trace, grads, gather=alone):
+    """Gradient at the input; parameters get the share of the rows at hand."""
+    x, z, inv, y, act, _, _, rows = trace[name]
     if act == "elu":
         d = d * np.where(y > 0, 1.0, np.exp(np.minimum(y, 0)))
     elif act == "relu":
         d = d * (y > 0)
     grads[f"{name}.g"], grads[f"{name}.b"] = (d * z).sum(0), d.sum(0)
-    d = d * params[f"{name}.g"]
-    d = inv * (d - d.mean(0) - z * (d * z).mean(0))
+    along, level = gather(np.concatenate([grads[f"{name}.g"], grads[f"{name}.b"]])).sum(0).reshape(2, -1) / rows
+    d = inv * params[f"{name}.g"] * (d - level - z * along)
     grads[f"{name}.w"] = x.T @ d
     return d @ params[f"{name}.w"].T
 
 
-def _encode(x, cond, params, layers, stats, trace=None):
+def _encode(x, cond, params, layers, stats, trace=None, gather=alone):
     h = np.hstack([x, cond])
     for i in range(layers):
-        h = _forward(h, f"enc{i}", params, stats, "elu", trace)
-    return _forward(h, "mean", params, stats, "none", trace), _forward(h, "logvar", params, stats, "none", trace)
+        h = _forward(h, f"enc{i}", params, stats, "elu", trace, gather)
+    return tuple(_forward(h, name, params, stats, "none", trace, gather) for name in ("mean", "logvar"))
 
 
-def _decode(z, cond, params, layers, stats, trace=None):
+def _decode(z, cond, params, layers, stats, trace=None, gather=alone):
     h = np.hstack([z, cond])
     for i in range(layers):
-        h = _forward(h, f"dec{i}", params, stats, "elu", trace)
-    return _forward(h, "out", params, stats, "relu", trace)
+        h = _forward(h, f"dec{i}", params, stats, "elu", trace, gather)
+    return _forward(h, "out", params, stats, "relu", trace, gather)
+
 
+def loss_and_gradient(x, cond, weight, eps, params, layers, beta, gather: Gather = alone):
+    """Weighted squared error plus ``beta`` x KL, its gradient, and the statistics of the batch.
 
-def loss_and_gradient(x, cond, weight, eps, params, layers, beta):
-    """Weighted squared error plus ``beta`` x KL, its gradient, and the batch statistics."""
+    Loss and gradient are the share of these rows in a batch that the tasks behind ``gather`` hold together.
+    """
     trace, grads = {}, {}
-    mu, logvar = _encode(x, cond, params, layers, None, trace)
+    mu, logvar = _encode(x, cond, params, layers, None, trace, gather)
     std = np.exp(0.5 * logvar)
-    out = _decode(mu + eps * std, cond, params, layers, None, trace)
+    out = _decode(mu + eps * std, cond, params, layers, None, trace, gather)
     w = weight[:, None]
     loss = (w * (out - x) ** 2).sum() - 0.5 * beta * (w * (1 + logvar - mu ** 2 - np.exp(logvar))).sum()
-    d = _backward(2 * w * (out - x), "out", params, trace, grads)
+    d = _backward(2 * w * (out - x), "out", params, trace, grads, gather)
     for i in reversed(range(layers)):
-        d = _backward(d, f"dec{i}", params, trace, grads)
+        d = _backward(d, f"dec{i}", params, trace, grads, gather)
     d = d[:, :-1]
     d_mu = d + beta * w * mu
     d_logvar = d * eps * 0.5 * std - 0.5 * beta * w * (1 - np.exp(logvar))
-    d = _backward(d_mu, "mean", params, trace, grads) + _backward(d_logvar, "logvar", params, trace, grads)
+    d = _backward(d_mu, "mean", params, trace, grads, gather) + _backward(d_logvar, "logvar", params, trace, grads, gather)
     for i in reversed(range(layers)):
-        d = _backward(d, f"enc{i}", params, trace, grads)
+        d = _backward(d, f"enc{i}", params, trace, grads, gather)
     stats = {f"{n}.{s}": t[5 + j] for n, t in trace.items() for j, s in enumerate("mv")}
     return loss, grads, stats
 
@@ -204,33 +226,47 @@ def vector_scale(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 # ---- training and use ----------------------------------------------------------------------------
 
-def train(rows: DataFrame, model: Cvae) -> Cvae:
+def train(rows: DataFrame, model: Cvae, tasks: int | None = None) -> Cvae:
+    """Fit ``model``. The result depends on the keys of the rows, not on ``tasks`` or the layout of ``rows``."""
     c = model.config
+    spark = rows.sparkSession
     n_rows = rows.count()
     n_steps = max(1, -(-n_rows // c.batch))
-    # Batch statistics need enough rows per task and step.
-    base = materialize(spread(rows, "key", at_most=n_rows // (TASK_ROWS * n_steps)), "rows")
+    n_groups = max(1, n_rows // ((c.norm_rows or WHOLE_BATCH_TASK_ROWS) * n_steps))
+    if tasks is None:
+        tasks = min(spark.sparkContext.defaultParallelism, n_groups)
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("key", F.lit(c.seed + 1)), F.lit(n_groups)).cast("int"))
+    n_slices = n_steps * BATCH_SLICES
+    base = rows
+    if n_steps > 1:
+        sliced = rows.withColumn("slice", F.pmod(F.xxhash64("key", F.lit(c.seed)), F.lit(n_slices)).cast("int"))
+        base = materialize(sliced.repartition("slice"), "slices", by="slice")
     opt = Adam(c.lr, pack(model.params).size)
-    spark = rows.sparkSession
     for epoch in range(c.epochs):
         total = 0.0
+        order = np.random.default_rng([c.seed, epoch]).permutation(n_slices)
         for step in range(n_steps):
             shared = spark.sparkContext.broadcast((model.params, model.scale_st, model.scale_sc))
             clock = c.seed * 100_003 + epoch * n_steps + step
 
-            def gradient(batch: pd.DataFrame, shared=shared, clock=clock) -> np.ndarray:
+            def gradient(batch: pd.DataFrame, gather: Gather = alone, shared=shared, clock=clock) -> np.ndarray:
                 params, scale_st, scale_sc = shared.value
-                v, cond = np.stack(batch["v"].to_numpy()), batch["cond"].to_numpy()
+                v = np.array(batch["v"].tolist(), dtype=float).reshape(-1, model.genes)
+                cond = batch["cond"].to_numpy(dtype=float)
                 x = np.where(cond[:, None] > 0, scaled(v, scale_st, c.top, c.log), scaled(v, scale_sc, c.top, c.log))
-                eps = keyed_normal(batch["key"].to_numpy().view(np.uint64), model.latent, clock)
+                eps = keyed_normal(batch["key"].to_numpy(dtype=np.int64).view(np.uint64), model.latent, clock)
                 loss, grads, stats = loss_and_gradient(
-                    x, cond[:, None], batch["weight"].to_numpy(), eps, params, c.hidden_layers, c.beta)
+                    x, cond[:, None], batch["weight"].to_numpy(dtype=float), eps, params, c.hidden_layers, c.beta, gather)
                 return np.concatenate([[loss, len(batch)], pack(grads), pack(stats) * len(batch)])
 
             part = base
             if n_steps > 1:
-                part = base.where(F.pmod(F.xxhash64("key", F.lit(epoch)), F.lit(n_steps)) == step)
-            got = summed(part, gradient)
+                chosen = order[step * BATCH_SLICES:(step + 1) * BATCH_SLICES]
+                part = base.where(F.col("slice").isin([int(i) for i in chosen]))
+            if c.norm_rows is None:
+                got = summed_together(part, tasks, "key", gradient)
+            else:
+                got = summed_groups(part, tasks, "group", gradient)
             n_params = pack(model.params).size
             model.params = unpack(opt.step(pack(model.params), got[2:2 + n_params]), model.params)
             seen = unpack(got[2 + n_params:] / got[1], model.running)
@@ -238,6 +274,8 @@ def train(rows: DataFrame, model: Cvae) -> Cvae:
             total += float(got[0])
             shared.unpersist()
         model.losses.append(total / n_steps)
+    if n_steps > 1:
+        release(base)
     return model
 
 

@@ -55,18 +55,20 @@ def stage_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, label: str = "stage", by: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet stage table and read it back.
 
     Cuts lineage, pins values that depend on partition layout, gives Catalyst true sizes and
-    survives the loss of executors.
+    survives the loss of executors. ``by`` names a column of few values to lay out in folders, so
+    that a filter on it reads only those.
     """
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
     # Progress shows up under the stage's name in the job list.
     spark.sparkContext.setJobDescription(f"tissuegrid: {label}")
     try:
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
         spark.sparkContext.setJobDescription(None)
     return spark.read.schema(df.schema).parquet(path)
