@@ -17,24 +17,44 @@ def _ready(docs: DataFrame) -> DataFrame:
 
 
 def _chosen(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id stands in ``decisions``; rows without an id stay, as nothing can be decided on them."""
+    """Rows of ``docs`` whose id stands in ``decisions``; rows without an id stay."""
     named = docs.where(F.col("doc_id").isNotNull()).join(decisions.select("doc_id").distinct(), "doc_id", "left_semi")
     return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 
+def _nameless(docs: DataFrame) -> DataFrame:
+    """The rows without an id, stored with a number each (``_row``), by which they can be judged."""
+    rows = docs.where(F.col("doc_id").isNull()).withColumn("_row", F.monotonically_increasing_id())
+    return materialize(rows, "rows-without-id")
+
+
+def _by_number(nameless: DataFrame) -> DataFrame:
+    """Those rows with their number as id."""
+    return nameless.withColumn("doc_id", F.col("_row"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is established; those without a letter or a likely language go."""
-    found = language.identify(language.document_evidence(_ready(docs)), ["doc_id"])
-    return _chosen(docs, found.where("accepted"))
+    nameless = _nameless(_ready(docs))
+    named = docs.where(F.col("doc_id").isNotNull())
+    evidence = [language.document_evidence(d).withColumn("numbered", F.lit(n).cast("long"))
+                for n, d in enumerate((named, _by_number(nameless)))]
+    found = language.identify(evidence[0].unionByName(evidence[1]), ["doc_id", "numbered"]).where("accepted")
+    kept = _chosen(named, found.where("numbered = 0"))
+    rest = nameless.join(found.where("numbered = 1").select(F.col("doc_id").alias("_row")), "_row", "left_semi")
+    return kept.unionByName(rest.select(*docs.columns))
 
 
 def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
-    weights = toxicity.train(_ready(docs), table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, weights)
+    nameless = _nameless(_ready(docs))
+    named = docs.where(F.col("doc_id").isNotNull())
+    weights = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    bad = lambda d: toxicity.score(d, weights).where("predicted = 1").select("doc_id").distinct()
     # An id of which any text is toxic goes.
-    bad = scored.where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    kept = named.join(bad(named), "doc_id", "left_anti")
+    rest = nameless.join(bad(_by_number(nameless)).withColumnRenamed("doc_id", "_row"), "_row", "left_anti")
+    return kept.select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def test_toxicity_never_learns_from_held_out_rows(spark, documents):
     scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, label(False))).collect()}
     assert scores[1] > 0.9 > 0.1 > scores[2] and 0 < scores[None] < 1
     none = toxicity.train(docs, label(False).limit(0))
-    assert {r.predicted for r in toxicity.score(docs, none).collect()} == {1}  # without examples every score is a half
+    assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}  # without examples nothing is known to be toxic
     assert toxicity.score(documents(), none).count() == 0
 
 
@@ -142,6 +142,28 @@ def test_pipeline_decisions_take_effect(spark, documents):
         "language ID", "toxicity", "MinHash near-dedup", "substring dedup", "best-fit packing"]
 
 
+def test_pipeline_judges_rows_without_id(spark, documents, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, _talk(rng, "en", 40), "en", "s") for i in range(40)]
+    rows += [(None, _talk(rng, "en", 40), "en", "s"), (None, "", "en", "s"), (None, None, "en", "s"), (-1, "", "en", "s")]
+    kept = corpus_pipeline.language_id(spark, documents(*rows), FOLDER)
+    assert kept.columns == documents(*rows).columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted([*range(40), 0])
+    assert [r.text for r in kept.where("doc_id is null").collect()] == [rows[40][1]]
+
+    vile = [(i, "vile words" if i % 2 else "kind words", "en", "s") for i in range(200)]
+    vile += [(None, "vile words", "en", "s"), (None, "kind words", "en", "s"), (None, None, "en", "s")]
+    label = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *a: label)
+    kept = corpus_pipeline.toxic_texts(spark, documents(*vile), FOLDER)
+    assert kept.columns == documents(*vile).columns
+    assert {r.doc_id for r in kept.collect()} == {None, *range(0, 200, 2)}
+    nameless = {r.text for r in kept.where("doc_id is null").collect()}
+    assert "kind words" in nameless and "vile words" not in nameless
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *a: label.limit(0))
+    assert corpus_pipeline.toxic_texts(spark, documents(*vile), FOLDER).count() == 203
+
+
 def test_pipeline_stages_of_empty_documents(spark, documents):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, documents(), FOLDER).count() == 0, name

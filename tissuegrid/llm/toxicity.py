@@ -35,6 +35,9 @@ HELD_OUT = 2
 _SEPARATORS = [b for b in range(128) if not chr(b).isalnum()]
 _SHIFT = np.uint64(64 - BITS)
 
+#: Log odds of every text where there was no example.
+NOTHING_LEARNT = -35.0
+
 
 def is_held_out(doc_id: str = "doc_id"):
     """Whether a document's label must not be learnt from; false for a null id."""
@@ -91,7 +94,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, step
     """(``bucket``, ``weight``) learnt from rows of ``labels`` (``doc_id``, ``toxic``) that are not held out.
 
     Null labels, null ids, contradictory labels of one id (the greater counts) and repeated rows are
-    harmless; a labelled id without a document is passed over. Without any example the model is empty.
+    harmless; a labelled id without a document is passed over. Without any example the model is empty,
+    and ``score`` predicts 0 for every text.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out()).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
@@ -131,12 +135,13 @@ def score(docs: DataFrame, weights: DataFrame, threshold: float = THRESHOLD) ->
     """(``doc_id``, ``held_out``, ``score``, ``predicted``), one row per row of ``docs``.
 
     A null or empty text has no feature and gets the score of the bias alone. Repeated rows and rows
-    with a null ``doc_id`` are scored like any other; other columns are ignored.
+    with a null ``doc_id`` are scored like any other; other columns are ignored. An empty model knows
+    no toxic text: every score is close to 0.
     """
     # At most one row per bucket.
     learnt = weights.toPandas()
     at, w = learnt["bucket"].to_numpy(dtype=np.int64), learnt["weight"].to_numpy(dtype=float)
-    bias = float(w[at == 1 << BITS].sum())
+    bias = float(w[at == 1 << BITS].sum()) if len(at) else NOTHING_LEARNT
     shared = docs.sparkSession.sparkContext.broadcast((at[at < 1 << BITS], w[at < 1 << BITS]))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
