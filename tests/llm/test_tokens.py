@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import zlib
 
@@ -61,6 +62,16 @@ def test_counts_of_whole_and_spliced_texts(documents, library):
     assert sum(r.doc_id is None for r in got) == 1
 
 
+def test_vocabularies_that_join_across_spaces_get_whole_texts(documents):
+    path = os.path.join(os.path.dirname(WORD_BPE), "byte_bpe_50k.json")
+    exact = load(path)
+    texts = ["some words,  with   wide gaps\n\nand lines", " lead", "plain words here " * 40, "", None]
+    want = [len(exact.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    got = token_counts.count_tokens(documents(*enumerate(texts)), path, window=50, overlap=10).collect()
+    assert [r.n_tokens for r in sorted(got)] == want
+    assert [sum(map(len, ids)) // 4 for ids in WordCache(path).encode(texts)] == want
+
+
 def test_counts_of_an_empty_table(documents):
     assert token_counts.count_tokens(documents(), WORD_BPE).count() == 0
 

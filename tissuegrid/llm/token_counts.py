@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tissuegrid.llm.common import materialize
-from tissuegrid.llm.wordcache import cache_for, load
+from tissuegrid.llm.wordcache import cache_for, load, splits_at_spaces
 
 WINDOW = 1 << 15
 OVERLAP = 1 << 9
 #: Factor by which overlaps grow when neighbours have no common boundary.
 WIDEN = 8
+#: No text is longer than this many characters.
+LONGEST_TEXT = (1 << 31) - 1
 
 _COUNTS = "doc_id long, n_bytes long, n_tokens long"
 _LONG = "uid string, doc_id long, n_bytes long, text string"
@@ -37,8 +39,11 @@ def count_tokens(docs: DataFrame, path: str, window: int = WINDOW, overlap: int
     """(``doc_id``, ``n_bytes``, ``n_tokens``), one row per row of ``docs`` (``doc_id``, ``text``).
 
     A null or empty text counts 0 bytes and 0 tokens. Rows are counted one by one: repeated rows and
-    rows with a null ``doc_id`` are returned like any other. Other columns are ignored.
+    rows with a null ``doc_id`` are returned like any other. Other columns are ignored. The splice is
+    proven for vocabularies that split at white space only; with any other every text is encoded whole.
     """
+    if not splits_at_spaces(path):
+        window = LONGEST_TEXT
     size = F.coalesce(F.length("text"), F.lit(0))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     short = docs.where(size <= window).select(

@@ -5,11 +5,12 @@ ids are the ids of its space-separated chunks in a row. Chunks repeat, so each t
 once while it is remembered. A new chunk of plain Latin text is lower-cased and split as the
 vocabulary file says, and each part it has not seen goes to the library's merge model; any other
 chunk (other scripts or white space, special strings, text that is not in composed form) goes
-through the whole library.
+through the whole library. A vocabulary that is not known to split at white space gets whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -44,6 +45,15 @@ def load(path: str):
     return tokenizer
 
 
+def splits_at_spaces(path: str) -> bool:
+    """Whether the file normalises and splits as the word-level vocabulary does, never joining across white space."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    steps = [n.get("type") for n in (told.get("normalizer") or {}).get("normalizers", [])]
+    patterns = [t.get("pattern", {}).get("Regex") for t in (told.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    return steps == ["NFC", "Replace", "Lowercase"] and patterns == [SPLIT, None]
+
+
 class Memory(dict):
     """A dict of bounded size: what was not asked for in the last generation is forgotten."""
 
@@ -72,8 +82,6 @@ class Memory(dict):
 
 class WordCache:
     def __init__(self, path: str):
-        import json
-
         import regex
 
         from tissuegrid.llm.byte_bpe import byte_characters
@@ -81,18 +89,16 @@ class WordCache:
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
         self.split = regex.compile(SPLIT + r"|\n")
-        # The short way is for vocabularies that normalise and split as described above.
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
-        steps = [n.get("type") for n in (told.get("normalizer") or {}).get("normalizers", [])]
-        patterns = [t.get("pattern", {}).get("Regex") for t in (told.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        small = self.tokenizer.get_vocab_size() <= 1 << 16
-        self.short = small and steps == ["NFC", "Replace", "Lowercase"] and patterns == [SPLIT, None]
+        self.spaced = splits_at_spaces(path)
+        # The short way needs ids of two bytes.
+        self.short = self.spaced and self.tokenizer.get_vocab_size() <= 1 << 16
         self.bytes = str.maketrans({i: c for i, c in enumerate(byte_characters())})
         self.words, self.parts = Memory(), Memory()
 
     def encode(self, texts: Iterable[str | None]) -> list[list[bytes]]:
         """Per text the little-endian 32-bit ids of its chunks; joined they are the text's ids."""
+        if not self.spaced:
+            return [[self._whole(t)] if isinstance(t, str) and t else [] for t in texts]
         split = [t.replace("\n", " ").split(" ") if isinstance(t, str) and t else [] for t in texts]
         new = self.words.unknown(set().union(*split))
         long = {}
@@ -117,8 +123,10 @@ class WordCache:
                 (known if len(p) <= LONGEST else long)[p] = found
             whole = b"".join([long[p] if p in long else known[p] for p in parts] if long else [known[p] for p in parts])
             ids = dict(zip(plain, whole.split(_BETWEEN)))
-        return [ids[w] if w in ids else np.asarray(
-            self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in chunks]
+        return [ids[w] if w in ids else self._whole(w) for w in chunks]
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 #: Stands between chunks; no ids contain it, as every id leaves its two upper bytes zero.
