@@ -65,6 +65,33 @@ def test_plain(spark):
     check(spark, pts, pts, 5, exclude_self=True)
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3])
+def test_one_table_against_itself_on_the_curve(spark, dim):
+    """A crowd in one place, far outliers, a class of few, a pile of copies, ids of text, rows without class."""
+    rng = np.random.default_rng(dim)
+    v = np.vstack([rng.normal(size=(150, dim)), 5 + 1e-6 * rng.normal(size=(200, dim)),
+                   1e9 * rng.normal(size=(3, dim)), np.tile(np.full((1, dim), 2.0), (60, 1))])
+    rows = [(f"n{i:04d}", [float(x) for x in p], "ab"[i % 7 == 0]) for i, p in enumerate(v)]
+    rows += [("few0", [0.0] * dim, "c"), ("few1", [-0.0] * dim, "c")]
+    nobody = [("none", [0.0] * dim, None)]
+    df = spark.createDataFrame(rows + nobody, "id string, v array<double>, cls string")
+    want = brute(rows, rows, 5, "euclidean", "cls", True)
+    for part in (df, df.where("id <= 'n0352' OR id LIKE 'few%'")):
+        if part is not df:
+            some = [r for r in rows if r[0] <= "n0352" or r[0].startswith("few")]
+            want = brute(some, some, 5, "euclidean", "cls", True)
+        got = as_dict(nb.knn_join(part, part, 5, by="cls", exclude_self=True, broadcast_rows=0, block_rows=16))
+        for i, near in want.items():
+            assert [(round(d, 9), r) for d, r, _ in got.get(i, [])] == [(round(d, 9), r) for d, r in near], i
+        assert "none" not in got
+
+
+def test_points_asked_from_far_outside(spark):
+    refs = cloud(80, 2, 11, 1)
+    asks = [(i, [1e4 * x for x in v], "a") for i, v, _ in cloud(40, 2, 12, 1)] + [(99, [0.0, 0.0], "z")]
+    check(spark, asks, refs, 4, by="cls")
+
+
 def test_pile_of_copies_and_grid_ties(spark):
     """A third of all points share one location, the rest lie on a lattice full of ties."""
     pts = [(i, [3.0, 3.0], "a") for i in range(40)]

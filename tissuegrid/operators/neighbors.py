@@ -1,9 +1,12 @@
 """Exact nearest-neighbour and radius joins.
 
-``knn_join`` has two physical forms with one result:
+``knn_join`` has three physical forms with one result:
 
 * few references (row and byte bound checked first): the references are broadcast and every
   task scores its own queries, with no exchange at all;
+* points in at most three dimensions: locations are ordered along a space-filling curve and cut into
+  blocks of equal size, so a crowded place only gives more blocks. A query first meets the block at its
+  own place; the distance found there tells which other blocks' boxes it still has to meet;
 * otherwise: references are assigned to pivots, each query derives an upper bound of its k-th
   distance from pivot statistics, probes only the pivot cells the triangle and half-space
   inequalities cannot rule out, and blocks of bounded size meet in a co-grouped task. Copies of
@@ -32,6 +35,9 @@ BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4096
 QUERY_ROWS = 8192
+GRID_AXES = 3
+GRID_ROWS = 512
+MAX_BLOCKS = 1 << 20
 MAX_PIVOTS = 16_384
 PIVOT_BYTES = 128 << 20
 
@@ -130,10 +136,19 @@ def knn_join(
     q = queries.select("id", "v", cls.alias("cls"))
     # Computed once: its size decides the form, and either form reads it again.
     r = materialize(refs.select("id", "v", cls.alias("cls")), "references")
-    head = r.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))
+    head = r.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.min(F.size("v")).alias("least"),
+                 F.max(odd).alias("odd"), *[F.min(F.get("v", F.lit(i))).alias(f"lo{i}") for i in range(GRID_AXES)],
+                 *[F.max(F.get("v", F.lit(i))).alias(f"hi{i}") for i in range(GRID_AXES)]).first()
     small = head["n"] <= broadcast_rows and head["n"] * (head["d"] or 0) * 8 <= BROADCAST_BYTES
     if small:
         return _broadcast_knn(q, r, k, metric, exclude_self, ties)
+    plane = metric == "euclidean" and not ties and 0 < head["least"] == head["d"] <= GRID_AXES and not head["odd"]
+    if plane:
+        box = [(head[f"lo{i}"], head[f"hi{i}"]) for i in range(head["d"])]
+        found = _curve_knn(q, r, k, exclude_self, box, head["n"], min(block_rows, GRID_ROWS), queries is refs)
+        if found is not None:
+            return found
     return _blocked_knn(q, r, k, metric, exclude_self, ties, head["d"], block_rows)
 
 
@@ -330,6 +345,197 @@ def _blocked_knn(q, r, k, metric, exclude_self, ties, dim, block_rows) -> DataFr
     )
 
 
+# ---- points in two and three dimensions -----------------------------------------------------------
+
+def _along_curve(df: DataFrame, axes: list[str], box: list[tuple[float, float]]) -> DataFrame:
+    """Adds ``z``, the place on a space-filling curve: the bits of all axes, interleaved; outside ``box`` clipped."""
+    bits = 60 // len(axes)
+    top = (1 << bits) - 1
+    steps = []
+    for a, (lo, hi) in zip(axes, box):
+        scaled = (F.col(a) - F.lit(lo)) / F.lit((hi - lo) or 1.0) * F.lit(float(top))
+        steps.append(F.greatest(F.lit(0), F.least(F.lit(top), F.floor(scaled).cast("long"))).alias(f"_{a}"))
+    bit = [F.shiftleft(F.shiftright(F.col(f"_{a}"), i).bitwiseAND(F.lit(1).cast("long")), i * len(axes) + j)
+           for i in range(bits) for j, a in enumerate(axes)]
+    return df.select("*", *steps).select("*", sum(bit[1:], bit[0]).alias("z")).drop(*[f"_{a}" for a in axes])
+
+
+def _to_boxes(low: np.ndarray, high: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Least distances between boxes ``low..high`` (or points, if equal) and boxes ``lo..hi``."""
+    gap = np.maximum(np.maximum(lo[None] - high[:, None], low[:, None] - hi[None]), 0.0)
+    return np.sqrt((gap * gap).sum(2))
+
+
+def _enough(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray, want: int) -> np.ndarray:
+    """Radius around each point within which whole boxes hold ``want`` locations; infinite if all hold fewer."""
+    out = np.full(len(q), np.inf)
+    if n.sum() < want:
+        return out
+    step = max(1, 1_000_000 // len(n))
+    for s in range(0, len(q), step):
+        far = np.maximum(np.abs(q[s:s + step, None] - lo[None]), np.abs(q[s:s + step, None] - hi[None]))
+        far = np.sqrt((far * far).sum(2))
+        order = np.argsort(far, axis=1)
+        last = (np.cumsum(n[order], axis=1) < want).sum(1)
+        out[s:s + step] = np.take_along_axis(far, np.take_along_axis(order, last[:, None], 1), 1)[:, 0]
+    return out
+
+
+def _lists(asks: np.ndarray, loc: np.ndarray, size: int, parts) -> tuple[list, list]:
+    """Per asking row the distances and ids that ``nearest`` found, as lists."""
+    far, near = [np.zeros(0)] * size, [loc[:0]] * size
+    for qi, ri, dist, _ in parts:
+        cut = np.flatnonzero(np.diff(qi)) + 1
+        for i, a, b in zip(qi[np.r_[0, cut]] if len(qi) else [], np.r_[0, cut], np.r_[cut, len(qi)]):
+            far[i], near[i] = dist[a:b], loc[ri[a:b]]
+    return far, near
+
+
+def _curve_knn(q, r, k, exclude_self, box, size, block_rows, same) -> DataFrame | None:
+    """Blocks along the curve; None if classes are too many for the table of their boxes."""
+    spark = q.sparkSession
+    want = k + 1 if exclude_self else k
+    axes = [f"x{i}" for i in range(len(box))]
+    spots = [F.col("v")[i].cast("double").alias(a) for i, a in enumerate(axes)]
+    q = q.where("cls IS NOT NULL AND v IS NOT NULL").select("id", "cls", *spots)
+    r = r.where("cls IS NOT NULL").select("id", "cls", *spots)
+    place = ["cls", *axes]
+
+    # Copies of a location are folded; those with copies get their lists of ids at the end.
+    locs = r.groupBy(*place).agg(F.min("id").alias("loc"), F.count("*").alias("copies"))
+    locs = _along_curve(locs, axes, box)
+    rows = max(block_rows, math.ceil(size / MAX_BLOCKS))
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+        base, row, last, inside, block = TaskContext.get().partitionId() << 40, 0, None, 0, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            cls = batch["cls"].to_numpy()
+            fresh = np.r_[row == 0 or cls[0] != last, cls[1:] != cls[:-1]].astype(bool)
+            at = np.arange(len(cls))
+            start = np.maximum.accumulate(np.where(fresh, at, -1))
+            pos = np.where(start >= 0, at - start, at + inside)
+            opens = pos % rows == 0
+            first = np.maximum.accumulate(np.where(opens, at + row, -1))
+            first = np.where(first >= 0, first, block)
+            yield batch.assign(ask=base + row + at, block=base + first)
+            row, last, inside, block = row + len(cls), cls[-1], int(pos[-1]) + 1, int(first[-1])
+
+    longs = [T.StructField(c, T.LongType()) for c in ("ask", "block")]
+    table = locs.repartitionByRange("cls", "z", *axes).sortWithinPartitions("cls", "z", *axes)
+    cut = table.mapInPandas(number, T.StructType([*locs.schema, *longs]))
+    cut = materialize(cut, "blocks")
+    boxes = cut.groupBy("cls", "block").agg(
+        F.count("*").alias("n"), F.max("copies").alias("copies"), F.min("z").alias("z"), *[F.min(a).alias(f"lo_{a}") for a in axes],
+        *[F.max(a).alias(f"hi_{a}") for a in axes]).limit(4 * MAX_BLOCKS + 1).toPandas()
+    if len(boxes) > 4 * MAX_BLOCKS:
+        return None
+    book = spark.sparkContext.broadcast({c: (
+        g["block"].to_numpy(), g["z"].to_numpy(), g["n"].to_numpy(),
+        g[[f"lo_{a}" for a in axes]].to_numpy(float), g[[f"hi_{a}" for a in axes]].to_numpy(float),
+    ) for c, g in boxes.sort_values("block").groupby("cls", sort=False)})
+
+    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for c, g in batch.groupby("cls", sort=False):
+                if c in book.value:
+                    block, z = book.value[c][:2]
+                    yield g.assign(block=block[np.maximum(np.searchsorted(z, g["z"].to_numpy(), "right") - 1, 0)])
+
+    if same:
+        asks = cut.select("ask", *place, "block")
+    else:
+        asks = q.select(*place).distinct().withColumn("ask", F.monotonically_increasing_id())
+        asks = _along_curve(asks, axes, box)
+        asks = materialize(asks.mapInPandas(home, T.StructType([*asks.schema, longs[1]])).drop("z"), "asks")
+
+    # About 64 blocks a task; on small tables at least one task a core.
+    tasks = max(1, len(boxes) // 64, min(len(boxes), spark.sparkContext.defaultParallelism))
+    id_type = r.schema["id"].dataType
+    lists = [T.StructField("far", T.ArrayType(T.DoubleType())), T.StructField("near", T.ArrayType(id_type))]
+
+    def first(key: tuple[Any, ...], asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asking):
+            return pd.DataFrame(columns=["ask", *place, "far", "near", "bound", "more"])
+        held = held.sort_values("loc", kind="stable")
+        v = asking[axes].to_numpy(float)
+        far, near = _lists(asking["ask"], held["loc"].to_numpy(), len(v),
+                           nearest(v, held[axes].to_numpy(float), want, "euclidean"))
+        block, _, n, lo, hi = book.value[asking["cls"].iloc[0]]
+        bound = np.array([d[-1] if len(d) == want else np.inf for d in far])
+        short = ~np.isfinite(bound)
+        if short.any():
+            bound[short] = _enough(v[short], lo, hi, n, want)
+        bound = bound + 1e-9 * (1.0 + bound + np.abs(v).max(1))
+        # Boxes out of reach of all these rows first, then row by row.
+        reach = np.flatnonzero((_to_boxes(v.min(0)[None], v.max(0)[None], lo, hi)[0] <= bound.max()) & (block != key[0]))
+        more = [np.zeros(0, dtype="int64")] * len(v)
+        step = max(1, 1_000_000 // max(len(reach), 1))
+        for s in range(0, len(v) if len(reach) else 0, step):
+            hit = _to_boxes(v[s:s + step], v[s:s + step], lo[reach], hi[reach]) <= bound[s:s + step, None]
+            for i in np.flatnonzero(hit.any(1)):
+                more[s + i] = block[reach[hit[i]]]
+        return asking[["ask", *place]].assign(far=far, near=near, bound=bound, more=more)
+
+    def further(key: tuple[Any, ...], asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("loc", kind="stable")
+        far, near = _lists(asking["ask"], held["loc"].to_numpy(), len(asking), nearest(
+            asking[axes].to_numpy(float), held[axes].to_numpy(float), want, "euclidean",
+            limit=asking["bound"].to_numpy()))
+        out = asking[["ask"]].assign(far=far, near=near)
+        return out[np.array([len(d) > 0 and d[0] <= b for d, b in zip(far, asking["bound"])], dtype=bool)]
+
+    def meet(left: DataFrame, work, schema: T.StructType) -> DataFrame:
+        """Asking rows with the rows of their block; many asking rows are split and the block answers each part."""
+        units = left.groupBy("block").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("parts"))
+        a = left.join(units, "block").withColumn("part", F.pmod(F.xxhash64("ask"), "parts").cast("int")).drop("parts")
+        # Renamed, as both sides may come from the same table.
+        b = cut.select(*[F.col(c).alias(c) for c in ("block", "loc", *axes)]).join(units, "block").withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        a, b = (side.repartition(tasks, "block", "part").groupBy("block", "part") for side in (a, b))
+        return a.cogroup(b).applyInPandas(work, schema)
+
+    own = materialize(meet(asks, first, T.StructType([
+        asks.schema["ask"], *[asks.schema[c] for c in place], *lists, T.StructField("bound", T.DoubleType()),
+        T.StructField("more", T.ArrayType(T.LongType()))])), "first-blocks")
+    left = own.select("ask", *axes, "bound", F.explode("more").alias("block"))
+    hit = F.transform(F.arrays_zip("far", "near"), lambda x: F.struct(
+        x["far"].alias("distance"), x["near"].alias("ref_id")))
+    rest = meet(left, further, T.StructType([asks.schema["ask"], *lists])).groupBy("ask").agg(
+        F.flatten(F.collect_list(hit)).alias("others"))
+    found = F.when(F.col("others").isNull(), hit).otherwise(
+        F.slice(F.array_sort(F.concat(hit, F.col("others"))), 1, want))
+    answers = own.join(rest, "ask", "left").select("ask", *place, found.alias("found"))
+
+    alone = same
+    if len(boxes) and boxes["copies"].max() > 1:
+        alone = False
+        rn = F.row_number().over(Window.partitionBy(*place).orderBy("id"))
+        heaps = r.join(cut.where("copies > 1").select(*place, "loc"), place)
+        heaps = heaps.withColumn("_rn", rn).where(F.col("_rn") <= want)
+        piles = heaps.groupBy(*place, "loc").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("cls", "loc", "ids")
+        each = answers.select("ask", *place, F.explode("found").alias("hit")).select(
+            "ask", *place, F.col("hit.distance").alias("distance"), F.col("hit.ref_id").alias("loc"))
+        each = each.join(piles, ["cls", "loc"], "left").withColumn("ref_id", F.explode(F.coalesce("ids", F.array("loc"))))
+        answers = each.groupBy("ask", *place).agg(F.slice(F.sort_array(F.collect_list(
+            F.struct("distance", "ref_id"))), 1, want).alias("found"))
+    if alone:
+        # Every asking location is one reference.
+        out = answers.join(cut.select("ask", F.col("loc").alias("id")), "ask")
+    else:
+        # Many queries may share a location; the skew-join rule splits such a key.
+        out = q.join(materialize(answers, "answers"), place)
+    found = F.col("found")
+    if exclude_self:
+        found = F.filter(found, lambda x: x["ref_id"] != F.col("id"))
+    return out.select(F.col("id").alias("query_id"), F.posexplode(F.slice(found, 1, k)).alias("rank", "hit")).select(
+        "query_id", F.col("hit.ref_id").alias("ref_id"), F.col("hit.distance").alias("distance"),
+        (F.col("rank") + 1).cast("long").alias("rank"),
+    )
+
+
 # ---- fixed-radius neighbours ------------------------------------------------------------------
 
 def _cell(axis: str, side) -> "F.Column":

@@ -59,7 +59,7 @@ def knn_in_class(t):
   o_totalprice / 1000 AS x, (o_orderdate::DATE - DATE '1995-01-01')::DOUBLE AS y FROM orders)
 SELECT query_id, ref_id, round(distance, 3) AS distance, rank FROM {_near_sql(5, D2, "a.id <> b.id AND a.cls = b.cls", "o", "o")}""")
 def knn_orders_in_class(t):
-    """Larger than the broadcast bound, so it runs on pivot cells."""
+    """Larger than the broadcast bound, so it runs on blocks along a curve."""
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("double")
     p = t.orders.select(F.col("o_orderkey").alias("id"), F.array(F.col("o_totalprice") / 1000, day).alias("v"),
                         F.concat("o_orderstatus", "o_orderpriority").alias("cls"))
