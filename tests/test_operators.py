@@ -275,6 +275,44 @@ def test_hull_features_of_a_crowd(spark):
     assert inside.count() == 50
 
 
+def test_hulls_merge_in_levels(spark, monkeypatch):
+    """Many chunks per key, merged three at a time; a key of one point and one of points in a row."""
+    monkeypatch.setattr(ge, "HULL_CHUNK", 20)
+    monkeypatch.setattr(ge, "HULL_FAN", 3)
+    rng = np.random.default_rng(6)
+    pts = rng.normal(size=(1500, 2))
+    data = [("c", float(x), float(y)) for x, y in pts] + [("one", 1.0, 2.0)] + [("row", float(i), 0.0) for i in range(5)]
+    df = spark.createDataFrame(data, "cell_id string, x double, y double")
+    got = {r["cell_id"]: r for r in ge.hull_points(df).collect()}
+    assert np.allclose([(p["x"], p["y"]) for p in got["c"]["hull"]], ge._hull(pts))
+    assert len(got["one"]["hull"]) == 1 and len(got["row"]["hull"]) == 2 and got["c"]["n_points"] == 1500
+    wide = {r["cell_id"]: r["max_diameter"] for r in ge.shape_features(df).collect()}
+    hull = ge._hull(pts)
+    assert wide["c"] == pytest.approx(max(np.linalg.norm(hull - p, axis=1).max() for p in hull))
+    assert wide["one"] == 0 and wide["row"] == 4
+
+
+def test_diameter_of_hulls():
+    rng = np.random.default_rng(7)
+    shapes = [rng.normal(size=(n, 2)) * s for n in (3, 4, 5, 9, 40, 300) for s in ((1, 1), (1, 0.01), (1e-3, 50))]
+    shapes += [np.array(b, float) for b in ([(0, 0), (2, 0), (2, 1), (0, 1)], [(0, 0), (1, 0)], [(0, 0)],
+                                            [(0, 0), (4, 0), (4, 3), (0, 3), (2, 5), (2, -2)])]
+    shapes += [np.round(rng.normal(size=(60, 2)) * 3) for _ in range(20)]
+    for p in shapes:
+        hull = ge._hull(p)
+        want = max(np.linalg.norm(hull - c, axis=1).max() for c in hull)
+        assert ge._diameter(hull) == pytest.approx(want, rel=1e-12), p
+    turn = np.arange(100_000) * 2 * np.pi / 100_000
+    assert ge._diameter(np.column_stack([np.cos(turn), np.sin(turn)])) == pytest.approx(2, rel=1e-9)
+
+
+def test_hull_of_a_circle_of_many_corners(spark):
+    at = F.col("id") * (2 * math.pi / 100_000)
+    ring = spark.range(100_000).select(F.lit("c").alias("cell_id"), (1000 * F.cos(at)).alias("x"), (1000 * F.sin(at)).alias("y"))
+    got = ge.shape_features(ring).first()
+    assert got["max_diameter"] == pytest.approx(2000, rel=1e-8) and got["solidity"] == pytest.approx(1e5 / (math.pi * 1e6), rel=1e-6)
+
+
 def test_tissue_patches(spark):
     cells = spark.createDataFrame([(1, 255.5, 10.0), (2, 254.5, 10.0), (3, -0.4, 0.0), (4, 700.0, 700.0), (5, 300.0, 300.0)], "id int, x double, y double")
     patches = spark.createDataFrame([(0, 0), (200, 200), (200, 200)], "x int, y int")

@@ -20,6 +20,7 @@ from tissuegrid.session import materialize
 
 
 HULL_CHUNK = 4096
+HULL_FAN = 64
 
 
 # ---- assembly ------------------------------------------------------------------------------
@@ -168,21 +169,62 @@ def _hull_of(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"x": [h[:, 0] for h in hulls], "y": [h[:, 1] for h in hulls]})
 
 
+def _diameter(hull: np.ndarray) -> float:
+    """Greatest distance of two hull corners: each side is paired with the corner farthest from it.
+
+    Sides of a hull turn one way, so the corner opposite a side is where the sides have turned by half a circle.
+    """
+    n = len(hull)
+    if n < 3:
+        return float(np.hypot(*(hull[-1] - hull[0]))) if n else float("nan")
+    side = np.roll(hull, -1, axis=0) - hull
+    angle = np.arctan2(side[:, 1], side[:, 0])
+    turn = np.mod(angle - angle[0], 2 * math.pi)
+    # Rounding may put the last sides a hair beyond the full turn, or neighbours out of order.
+    turn[1:][turn[1:] == 0] = 2 * math.pi
+    turn = np.maximum.accumulate(turn)
+    half = turn + math.pi
+    far = np.searchsorted(np.r_[turn, turn + 2 * math.pi], half)
+    here, best = np.arange(n), 0.0
+    for a in (here, here + 1):
+        for off in (-1, 0, 1):
+            gap = hull[a % n] - hull[(far + off) % n]
+            best = max(best, float(np.hypot(gap[:, 0], gap[:, 1]).max()))
+    return best
+
+
+@F.pandas_udf(T.DoubleType())
+def _diameter_of(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    return pd.Series([_diameter(np.column_stack([x, y])) for x, y in zip(xs, ys)], dtype=float)
+
+
+def _merged(hulls: DataFrame, into) -> DataFrame:
+    """Hulls ``h`` of the same ``into`` as one."""
+    joined = hulls.groupBy("cell_id", "n_points", into.alias("_chunk")).agg(
+        F.flatten(F.collect_list("h.x")).alias("x"), F.flatten(F.collect_list("h.y")).alias("y"))
+    return joined.select("cell_id", "n_points", "_chunk", _hull_of("x", "y").alias("h"))
+
+
 def hull_points(points: DataFrame) -> DataFrame:
     """``(cell_id, x, y)`` -> ``(cell_id, hull array<struct<x,y>>, n_points)``.
 
-    Chunks of bounded size are reduced to their hulls first; a hull of hulls is the hull.
+    Chunks of bounded size are reduced to their hulls first; a hull of hulls is the hull. Hulls are merged
+    in levels, ``HULL_FAN`` at a time, so a task holds points of hulls only, however many chunks a key has.
     """
     n = points.groupBy("cell_id").agg(F.count("*").alias("n_points"))
     chunk = F.pmod(F.xxhash64("x", "y"), F.ceil(F.col("n_points") / HULL_CHUNK))
-    part = points.select("cell_id", F.col("x").cast("double"), F.col("y").cast("double")).join(n, "cell_id").groupBy(
+    # Copies of a point first: all would fall into one chunk.
+    part = points.select("cell_id", F.col("x").cast("double"), F.col("y").cast("double")).distinct().join(n, "cell_id").groupBy(
         "cell_id", "n_points", chunk.alias("_chunk")).agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y"))
-    reduced = part.select("cell_id", "n_points", _hull_of("x", "y").alias("h"))
-    whole = reduced.groupBy("cell_id", "n_points").agg(
-        F.flatten(F.collect_list("h.x")).alias("x"), F.flatten(F.collect_list("h.y")).alias("y"))
+    reduced = part.select("cell_id", "n_points", "_chunk", _hull_of("x", "y").alias("h"))
+    most = n.agg(F.max("n_points")).first()[0] or 1
+    left = -(-most // HULL_CHUNK)
+    while left > HULL_FAN:
+        left = -(-left // HULL_FAN)
+        reduced = _merged(reduced, F.floor(F.col("_chunk") / HULL_FAN))
+    whole = _merged(reduced, F.lit(0).cast("long"))
     hull = F.arrays_zip("h.x", "h.y").cast(POINTS)
-    return whole.select("cell_id", "n_points", _hull_of("x", "y").alias("h")).select(
-        "cell_id", hull.alias("hull"), "n_points")
+    return whole.select("cell_id", hull.alias("hull"), "n_points")
 
 
 def hull_edges(hulls: DataFrame) -> DataFrame:
@@ -202,9 +244,7 @@ def shape_features(points: DataFrame) -> DataFrame:
     hulls = materialize(hull_points(points), "hulls")
     sides = hull_edges(hulls)
     side = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    corner = hulls.select("cell_id", F.explode("hull").alias("p"), "hull")
-    reach = F.array_max(F.transform("hull", lambda q: F.hypot(q["x"] - F.col("p.x"), q["y"] - F.col("p.y"))))
-    widest = corner.select("cell_id", reach.alias("d")).groupBy("cell_id").agg(F.max("d").alias("max_diameter"))
+    widest = hulls.select("cell_id", _diameter_of("hull.x", "hull.y").alias("max_diameter"))
     per = sides.groupBy("cell_id").agg(
         (F.abs(F.sum(_cross(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))) / 2).alias("hull_area"),
         F.min(side).alias("min_diameter"), F.min("x1").alias("_x0"), F.max("x1").alias("_x1"),
