@@ -256,6 +256,20 @@ def test_circle_overlap_cases(spark):
     assert got["half"] == pytest.approx(math.pi * 50 / 1600) and got["around"] == pytest.approx(math.pi * 100 / 3600)
 
 
+def test_polygons_beside_or_around_a_circle_share_exactly_nothing_or_all_of_it(spark):
+    """Angles seen from the circle's centre sum to a hair beside zero in floating point."""
+    rng = np.random.default_rng(4)
+    star = lambda x, y, size: [(x + size * (1 + rng.random()) * math.cos(a), y + size * (1 + rng.random()) * math.sin(a))
+                               for a in np.arange(37) * 2 * math.pi / 37]
+    polygons = {f"beside{i}": star(60.0, 7.0 + i / 3, 20.0) for i in range(20)}
+    polygons["around"] = [(-30, -30), (30, -30), (30, 30), (-30, 30)]
+    edges = ge.ring_edges(_rings(spark, polygons))
+    circles = spark.createDataFrame([(1, k, 0.0, 0.0, 10.0) for k in polygons], "spot_id int, cell_id string, cx double, cy double, r double")
+    got = {r["cell_id"]: r["frac"] for r in ge.circle_overlap(edges, circles).collect()}
+    assert len(got) == 21 and got.pop("around") == math.pi * 100 / 3600
+    assert set(got.values()) == {0.0}
+
+
 def test_spot_boundary_and_tie(spark):
     spots = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 0.0)], "spot_id int, x double, y double")
     cells = spark.createDataFrame([("tie", 5.0, 0.0, 1.0), ("edge", -5.0, 0.0, 1.0), ("far", -5.1, 0.0, 1.0)], "cell_id string, x double, y double, radius double")

@@ -99,8 +99,8 @@ def ring_radius(edges: DataFrame, measures: DataFrame) -> DataFrame:
     return edges.join(center, "cell_id").groupBy("cell_id").agg(F.coalesce(F.max(d), F.lit(0.0)).alias("radius"))
 
 
-def _edge_in_disc(ax: Column, ay: Column, bx: Column, by: Column, r: Column) -> Column:
-    """Signed area shared by a disc around the origin and the triangle origin-a-b.
+def _edge_in_disc(ax: Column, ay: Column, bx: Column, by: Column, r: Column) -> tuple[Column, Column]:
+    """Signed area shared by a disc around the origin and the triangle origin-a-b, and whether the edge enters the disc.
 
     The edge is cut where it meets the circle: the inner piece spans a triangle, the outer
     pieces span sectors.
@@ -121,17 +121,25 @@ def _edge_in_disc(ax: Column, ay: Column, bx: Column, by: Column, r: Column) ->
     head = F.when(t1 > 0, sector(ax, ay, px, py)).otherwise(F.lit(0.0))
     tail = F.when(t2 < 1, sector(qx, qy, bx, by)).otherwise(F.lit(0.0))
     meets = (disc > 0) & (t1 < t2)
-    return F.when(a == 0, F.lit(0.0)).when(meets, head + inner + tail).otherwise(sector(ax, ay, bx, by))
+    area = F.when(a == 0, F.lit(0.0)).when(meets, head + inner + tail).otherwise(sector(ax, ay, bx, by))
+    return area, F.coalesce(meets, F.lit(False))
 
 
 def circle_overlap(edges: DataFrame, circles: DataFrame) -> DataFrame:
-    """Fraction of each polygon's area inside a circle: ``circles(spot_id, cell_id, cx, cy, r)``."""
+    """Fraction of each polygon's area inside a circle: ``circles(spot_id, cell_id, cx, cy, r)``.
+
+    Where no edge enters the disc, the ring goes round it a whole number of times: without rounding
+    that count, a polygon beside the disc would share a hair of area with it.
+    """
     rel = [F.col("x1") - F.col("cx"), F.col("y1") - F.col("cy"),
            F.col("x2") - F.col("cx"), F.col("y2") - F.col("cy")]
     joined = edges.join(circles, "cell_id")
+    area, enters = _edge_in_disc(*rel, F.col("r"))
     sums = joined.groupBy("spot_id", "cell_id").agg(
-        F.sum(_edge_in_disc(*rel, F.col("r"))).alias("_in"), F.sum(_cross(*rel) / 2).alias("_all"))
-    share = F.try_divide(F.abs("_in"), F.abs("_all"))
+        F.sum(area).alias("_in"), F.max(enters).alias("_enters"), (math.pi * F.max("r") * F.max("r")).alias("_disc"),
+        F.sum(_cross(*rel) / 2).alias("_all"))
+    whole = F.coalesce(F.round(F.try_divide(F.col("_in"), F.col("_disc"))), F.lit(0.0)) * F.col("_disc")
+    share = F.try_divide(F.abs(F.when(F.col("_enters"), F.col("_in")).otherwise(whole)), F.abs("_all"))
     return sums.select("spot_id", "cell_id",
                        F.least(F.coalesce(share, F.lit(0.0)), F.lit(1.0)).alias("frac"))
 
