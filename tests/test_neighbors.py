@@ -152,3 +152,32 @@ def test_repartitioning_changes_nothing(spark):
     b = as_dict(nb.knn_join(pts.repartition(5, "id"), pts.repartition(2), 4, broadcast_rows=0, block_rows=32))
     assert a == b
     assert nb.knn_join(pts, pts.where(F.lit(False)), 3).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_blocks_of_many_dimensions_meet_once(spark, metric):
+    """Queries in the middle of wide references, piles, equal scores, rows that are not finite; several parts and chunks."""
+    rng = np.random.default_rng(3)
+    refs = [(i, [float(x) for x in rng.normal(size=5) + 1], "ab"[i % 9 == 0]) for i in range(400)]
+    refs += [(400 + i, [1.0, 1.0, 1.0, 1.0, 1.0], "a") for i in range(70)] + [(470 + i, [0.0, 0.0, 0.0, 0.0, float(i % 2)], "a") for i in range(40)]
+    asks = [(i, [float(x) for x in 1 + 0.2 * rng.normal(size=5)], "abc"[i % 3]) for i in range(90)]
+    schema = "id long, v array<double>, cls string"
+    odd = [(900, [float("nan")] * 5, "a"), (901, [float("inf")] + [0.0] * 4, "a")]
+    qd, rd = spark.createDataFrame(asks + odd, schema), spark.createDataFrame(refs + odd, schema)
+    for ties in (False, True):
+        got = as_dict(nb.knn_join(qd, rd, 6, metric=metric, by="cls", ties=ties, broadcast_rows=0, block_rows=1))
+        for i, near in brute(asks, refs, 6, metric, 2, ties=ties).items():
+            assert [r for _, r, _ in got.get(i, [])] == [r for _, r in near], (ties, i)
+
+
+def test_wide_blocks_are_searched_without_a_row_per_query_and_pivot(spark):
+    """Kernel against the plain form; stretches that double, ended early for queries in the middle."""
+    rng = np.random.default_rng(5)
+    r = rng.normal(size=(3000, 20)) * rng.random((3000, 1))
+    q = 0.01 * rng.normal(size=(700, 20))
+    for metric, a, b in (("euclidean", q, r), ("cosine", nb._unit(q, 0), nb._unit(r, 1))):
+        got = [np.concatenate(x) for x in zip(*nb.closest(a, b, 7, metric, first=32))]
+        want = [np.concatenate(x) for x in zip(*nb.nearest(a, b, 7, metric))]
+        assert all((x == y).all() for x, y in zip(got, want))
+    same = np.ones((50, 20))
+    assert [len(x) for _, x, _, _ in nb.closest(same[:2], same, 3, "euclidean", ties=True, first=8)] == [100]
