@@ -135,6 +135,21 @@ def test_sampling_ignores_partitioning(spark):
     assert a != rows(sm.sample_per_class(types, 20, 4).select("id"))
 
 
+def test_farthest_points_compare_only_what_a_pick_can_change(spark):
+    """Clouds of unequal density with copies; a pass takes a share of the points, so passes do not grow with the table."""
+    assert [sm.batch_rows(n) for n in (100, 100_000, 10_000_000)] == [4096, 12_500, 65_536]
+    rng = np.random.default_rng(8)
+    for dim in (1, 3):
+        v = np.vstack([rng.normal(size=(60, dim)), 50 + 1e-3 * rng.normal(size=(60, dim)), np.full((10, dim), -4.0)])
+        df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(v)], "id long, v array<double>")
+        gap, want = np.full(len(v), np.inf), [0]
+        while len(want) < 100:
+            gap = np.minimum(gap, np.sqrt(((v - v[want[-1]]) ** 2).sum(1)))
+            want.append(int(gap.argmax()))
+        for batch in (40, None):
+            assert [r["id"] for r in sm.farthest_points(df, 100, batch).orderBy("pick").collect()] == want
+
+
 def test_farthest_points_in_small_batches(spark):
     rng = np.random.default_rng(1)
     xy = rng.random((60, 2))
