@@ -15,6 +15,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterable
+from itertools import filterfalse
 
 import numpy as np
 
@@ -71,12 +72,11 @@ class Memory(dict):
             self.old = dict(self)
             self.clear()
         old, new = self.old, []
-        for k in keys:
-            if k not in self:
-                if k in old:
-                    self[k] = old[k]
-                else:
-                    new.append(k)
+        for k in list(filterfalse(self.__contains__, keys)):
+            if k in old:
+                self[k] = old[k]
+            else:
+                new.append(k)
         return new
 
 
@@ -107,7 +107,8 @@ class WordCache:
         known = self.words
         if long:
             return [[long[w] if w in long else known[w] for w in words] for words in split]
-        return [[known[w] for w in words] for words in split]
+        look = known.__getitem__
+        return [list(map(look, words)) for words in split]
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk; all plain ones are split by one call, line feeds standing between them."""
