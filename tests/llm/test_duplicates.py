@@ -242,6 +242,24 @@ def test_fingerprints_hold_64_samples(documents):
     assert len(row.fingerprint) == len(row.edited_fingerprint) == 4 * 64
 
 
+def test_fingerprints_count_the_shared_part_once(spark):
+    parts = [(1, fingerprints.BOTH, "a b b c "), (1, 0, "c d"), (1, 1, "cx b"), (2, 0, "a b b c c d"), (2, 1, "a b b c cx b")]
+    rows = {r.k: r for r in fingerprints.samples(spark.createDataFrame(parts, "k long, side int, body string"), ["k"]).collect()}
+    assert rows[1].own == rows[2].own and rows[1].changed == rows[2].changed != rows[1].own
+
+
+def test_fingerprint_of_the_edited_form_is_that_of_the_same_text(documents):
+    # The kept parts end inside a word, in white space, or hold no white space; "A\u03a3" ends in a final sigma.
+    texts = {9: "aa bb cc dd", 7: "A\u03a3 B\tcc  ee ", 5: "unbroken", 3: " x", 1: "\u00e9\U0001f642 A\u03a3 zz"}
+    order, edited = list(texts), {}
+    for i, k in enumerate(order):
+        n, following = len(texts[k]) // 3, texts[order[(i + 1) % len(order)]]
+        edited[100 + k] = texts[k][:len(texts[k]) - n] + following[:n]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(documents(*texts.items())).collect()}
+    alone = {r.doc_id: r for r in fingerprints.fingerprints(documents(*edited.items())).collect()}
+    assert [got[k].edited_fingerprint for k in order] == [alone[100 + k].fingerprint for k in order]
+
+
 def test_fingerprints_with_null_and_repeated_ids(documents):
     rows = fingerprints.fingerprints(documents((2, "a b c"), (2, "a b c"), (1, "d e f"), (1, "a a"), (None, "a b c"))).collect()
     assert len(rows) == 5 and len({r.fingerprint for r in rows if r.doc_id != 1}) == 1

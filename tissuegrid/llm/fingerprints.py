@@ -22,6 +22,8 @@ from tissuegrid.llm.common import materialize
 BLOCKS, SAMPLES = 8, 8
 #: Ids per chunk when neighbours are found, and most chunks.
 CHUNK, MOST_CHUNKS = 50_000, 4096
+#: Mark of what a text and its edited form share (0: the text's own, 1: the edited form's).
+BOTH = 2
 #: Tasks per shuffle partition: counting words needs much more memory than the texts take.
 FINER = 4
 
@@ -66,21 +68,33 @@ def _value(seed: Column, j: int) -> Column:
 
 
 def samples(texts: DataFrame, key: list[str]) -> DataFrame:
-    """``key`` and ``samples``: 16-bit codes of the least values of each row's words; rows without words are left out.
+    """``key``, ``own`` and ``changed``: 16-bit codes of the least values of the words of each row's two bodies.
 
-    ``texts`` holds ``key`` and ``body``; where it is partitioned by some of ``key`` nothing moves.
+    ``texts`` holds ``key`` and parts of the bodies: ``side`` (0: own, 1: changed, BOTH) and ``body``; no word may
+    reach over two parts. Where it is partitioned by some of ``key`` nothing moves. A body without words has null,
+    a row without any is left out. A word that has one weight in both bodies gets its values once.
     """
-    words = texts.select(*key, F.explode(F.split(F.lower("body"), _WORD)).alias("word")).where("word <> ''")
-    counted = words.select(*key, F.xxhash64("word").alias("h")).groupBy(*key, "h").agg(
-        F.count(F.lit(1)).alias("w")).select(*key, "h", F.ln(F.col("w").cast("double")).alias("lw"))
-    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn(
+    words = texts.select(*key, "side", F.explode(F.split(F.lower("body"), _WORD)).alias("word")).where("word <> ''")
+    counted = words.select(*key, "side", F.xxhash64("word").alias("h")).groupBy(*key, "h").agg(
+        F.count_if(F.col("side") != 1).alias("w0"), F.count_if(F.col("side") != 0).alias("w1"))
+    weight = lambda side, w: F.struct(F.lit(side).alias("in"), F.ln(w.cast("double")).alias("lw"))
+    weights = F.when(F.col("w0") == F.col("w1"), F.array(weight(BOTH, F.col("w0")))).when(
+        F.col("w1") == 0, F.array(weight(0, F.col("w0")))).when(F.col("w0") == 0, F.array(weight(1, F.col("w1")))).otherwise(
+        F.array(weight(0, F.col("w0")), weight(1, F.col("w1"))))
+    weighed = counted.select(*key, "h", F.explode(weights).alias("e")).select(*key, "h", "e.in", "e.lw")
+    blocks = weighed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn(
         "seed", F.xxhash64("h", "block"))
-    least = blocks.groupBy(*key, "block").agg(*[F.min(_value(F.col("seed"), j)).alias(f"m{j}") for j in range(SAMPLES)])
+    least = blocks.groupBy(*key, "block", "in").agg(*[F.min(_value(F.col("seed"), j)).alias(f"m{j}") for j in range(SAMPLES)])
+    # As many entries as blocks: the least of a body's own words and of the shared ones.
+    of = lambda side, j: F.min(F.when(F.col("in").isin(side, BOTH), F.col(f"m{j}")))
+    least = least.groupBy(*key, "block").agg(*[of(side, j).alias(f"s{side}m{j}") for side in (0, 1) for j in range(SAMPLES)])
     code = lambda m: F.xxhash64(m).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    coded = least.select(*key, F.struct("block", F.array(*[code(F.col(f"m{j}")) for j in range(SAMPLES)]).alias("c")).alias("s"))
-    # As many entries as blocks.
-    gathered = coded.groupBy(*key).agg(F.array_sort(F.collect_list("s")).alias("s"))
-    return gathered.select(*key, F.flatten("s.c").alias("samples"))
+    codes = lambda side: F.when(F.col(f"s{side}m0").isNotNull(), F.struct("block", F.array(
+        *[code(F.col(f"s{side}m{j}")) for j in range(SAMPLES)]).alias("c")))
+    coded = least.select(*key, codes(0).alias("c0"), codes(1).alias("c1"))
+    gathered = coded.groupBy(*key).agg(*[F.array_sort(F.collect_list(f"c{side}")).alias(f"g{side}") for side in (0, 1)])
+    whole = lambda side: F.when(F.size(f"g{side}") > 0, F.flatten(f"g{side}.c"))
+    return gathered.select(*key, whole(0).alias("own"), whole(1).alias("changed"))
 
 
 def likeness(x: Column, y: Column) -> Column:
@@ -146,15 +160,19 @@ def _both(whole: DataFrame, repeated: bool) -> DataFrame:
     facts = whole.select("doc_id", "body_id", "next_id", F.col("n_chars").cast("long").alias("n_chars"),
                          F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     distinct = whole.dropDuplicates(["doc_id", "body_id"]) if repeated else whole
+    # Words of the kept part are counted once: it is split off behind its last white space, as its last word may go on.
+    kept = F.substring("text", F.lit(1), F.col("n_chars") - tail)
+    begun = F.length(F.split(F.reverse(kept), _WORD, 2)[0])
+    distinct = distinct.withColumn("cut", F.col("n_chars") - tail - begun)
+    rest = lambda body: F.substring(body, F.col("cut") + 1, F.length(body))
     sides = distinct.select("doc_id", "body_id", "next_id", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("text").alias("body")),
-        F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("s")).select(
+        F.struct(F.lit(BOTH).alias("side"), F.substring("text", F.lit(1), F.col("cut")).alias("body")),
+        F.struct(F.lit(0).alias("side"), rest("text").alias("body")),
+        F.struct(F.lit(1).alias("side"), rest("edited").alias("body")))).alias("s")).select(
         "doc_id", "body_id", "next_id", "s.side", "s.body")
     # The next id is carried along so that both uses of the heads' exchange ask for the same columns.
-    sampled = samples(sides, ["doc_id", "body_id", "next_id", "side"])
-    side = lambda i: F.first(F.when(F.col("side") == i, F.col("samples")), ignorenulls=True)
-    pair = sampled.groupBy("doc_id", "body_id").agg(side(0).alias("own"), side(1).alias("changed"))
-    pair = pair.withColumnRenamed("doc_id", "id").withColumnRenamed("body_id", "bid")
+    pair = samples(sides, ["doc_id", "body_id", "next_id"]).select(
+        F.col("doc_id").alias("id"), F.col("body_id").alias("bid"), "own", "changed")
     # Where ids are unique they are the key, by which both sides are dealt out already.
     same = (facts["body_id"] == pair["bid"]) & facts["doc_id"].eqNullSafe(pair["id"]) if repeated \
         else facts["doc_id"] == pair["id"]
