@@ -656,3 +656,14 @@ def test_keyed_noise():
     assert abs(u.mean() - 0.5) < 0.01 and abs(np.corrcoef(u.T)[0, 1]) < 0.03
     z = tr.keyed_normal(np.arange(20_000), 2, 5)
     assert abs(z.std() - 1) < 0.02 and np.array_equal(z[7], tr.keyed_normal(np.array([7]), 2, 5)[0])
+
+
+def test_greedy_search_is_spread_over_tasks(spark):
+    model = asg.SpotModel(np.random.default_rng(1).random((5, 3)), lk.count_table(50), lk.rate_grid(), 0.0, 0)
+    cells = spark.createDataFrame(
+        [(s, 2 * s + c, 1.0, 0, None, None, None) for s in range(40) for c in range(2)],
+        "spot_id long, id long, frac double, label long, mass map<long,double>, degree long, inner array<struct<dst: long, weight: double>>")
+    spots = spark.createDataFrame([(s, [1.0, 2.0, 0.0, 3.0, 1.0], 2.0) for s in range(40)], "spot_id long, v array<double>, scale double")
+    options = spark.createDataFrame([(s, t) for s in range(40) for t in range(3)], "id long, label long")
+    got = materialize(asg.greedy_epoch(spots, options, cells, model).withColumn("task", F.spark_partition_id()), "labels")
+    assert got.count() == 80 and got.select("task").distinct().count() > 1
