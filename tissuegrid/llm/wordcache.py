@@ -15,7 +15,8 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterable
-from itertools import filterfalse
+from itertools import compress
+from operator import not_
 
 import numpy as np
 
@@ -62,22 +63,27 @@ class Memory(dict):
         super().__init__()
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, key):
-        value = self[key] = self.old[key]
-        return value
+    def known(self, groups: list[list[str]]) -> tuple[list[list[bytes | None]], list[str]]:
+        """Per group what is remembered of each key, else None; and the keys that must be computed, once each.
 
-    def unknown(self, keys: set[str]) -> list[str]:
-        """Keys that must be computed; those of the last generation are taken over."""
+        Those of the last generation are taken over. Each key is looked up once, as that takes most of the time.
+        """
         if len(self) > REMEMBERED:
             self.old = dict(self)
             self.clear()
-        old, new = self.old, []
-        for k in list(filterfalse(self.__contains__, keys)):
+        get, old, keys, new = self.get, self.old, set(), []
+        found = [list(map(get, group)) for group in groups]
+        for group, values in zip(groups, found):
+            # Empty values are taken for unknown here.
+            keys.update(compress(group, map(not_, values)))
+        for k in keys:
+            if k in self:
+                continue
             if k in old:
                 self[k] = old[k]
             else:
                 new.append(k)
-        return new
+        return found, new
 
 
 class WordCache:
@@ -93,6 +99,8 @@ class WordCache:
         # The short way needs ids of two bytes.
         self.short = self.spaced and self.tokenizer.get_vocab_size() <= 1 << 16
         self.bytes = str.maketrans({i: c for i, c in enumerate(byte_characters())})
+        # Each id's bytes, for the short way.
+        self.packed = [i.to_bytes(4, "little") for i in range(1 << 16)] if self.short else []
         self.words, self.parts = Memory(), Memory()
 
     def encode(self, texts: Iterable[str | None]) -> list[list[bytes]]:
@@ -100,30 +108,34 @@ class WordCache:
         if not self.spaced:
             return [[self._whole(t)] if isinstance(t, str) and t else [] for t in texts]
         split = [t.replace("\n", " ").split(" ") if isinstance(t, str) and t else [] for t in texts]
-        new = self.words.unknown(set().union(*split))
+        found, new = self.words.known(split)
+        later = self.words
         long = {}
         for w, ids in zip(new, self._encoded(new)):
-            (self.words if len(w) <= LONGEST else long)[w] = ids
-        known = self.words
+            (later if len(w) <= LONGEST else long)[w] = ids
         if long:
-            return [[long[w] if w in long else known[w] for w in words] for words in split]
-        look = known.__getitem__
-        return [list(map(look, words)) for words in split]
+            return [[v or (long[w] if w in long else later[w]) for w, v in zip(words, f)] for words, f in zip(split, found)]
+        return [[v or later[w] for w, v in zip(words, f)] for words, f in zip(split, found)]
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk; all plain ones are split by one call, line feeds standing between them."""
-        plain = [w for w in chunks if _is_plain(w)] if self.short else []
+        plain = _plain(chunks) if self.short else []
         ids: dict[str, bytes] = {}
         if plain:
             parts = self.split.findall("\n".join(plain).lower())
-            known, long = self.parts, {}
-            for p in known.unknown(set(parts)):
-                mapped = p.encode().decode("latin-1").translate(self.bytes)
-                found = _BETWEEN if p == "\n" else np.array(
-                    [t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-                (known if len(p) <= LONGEST else long)[p] = found
-            whole = b"".join([long[p] if p in long else known[p] for p in parts] if long else [known[p] for p in parts])
-            ids = dict(zip(plain, whole.split(_BETWEEN)))
+            later, long = self.parts, {}
+            (found,), new = later.known([parts])
+            tokenize, packed = self.model.tokenize, self.packed
+            for p in new:
+                # Printable ASCII stands for itself.
+                mapped = p if p.isascii() else p.encode().decode("latin-1").translate(self.bytes)
+                value = _BETWEEN if p == "\n" else b"".join([packed[t.id] for t in tokenize(mapped)])
+                (later if len(p) <= LONGEST else long)[p] = value
+            whole = b"".join([v or (long[p] if p in long else later[p]) for p, v in zip(parts, found)])
+            pieces = whole.split(_BETWEEN)
+            if len(plain) == len(chunks):
+                return pieces
+            ids = dict(zip(plain, pieces))
         return [ids[w] if w in ids else self._whole(w) for w in chunks]
 
     def _whole(self, text: str) -> bytes:
@@ -136,7 +148,7 @@ _BETWEEN = b"\xff\xff\xff\xff"
 _PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]*")
 
 
-def _is_plain(chunk: str) -> bool:
-    """Printable Latin text without white space, special strings or uncomposed letters."""
-    return _PLAIN.fullmatch(chunk) is not None and "<|" not in chunk and (
-        chunk.isascii() or unicodedata.is_normalized("NFC", chunk))
+def _plain(chunks: list[str]) -> list[str]:
+    """Those in printable Latin text without white space, special strings or uncomposed letters."""
+    match, composed = _PLAIN.fullmatch, unicodedata.is_normalized
+    return [w for w in chunks if match(w) and "<|" not in w and (w.isascii() or composed("NFC", w))]
