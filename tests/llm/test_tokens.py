@@ -8,11 +8,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tissuegrid.llm import byte_bpe, packing, token_counts
+from tissuegrid.llm import byte_bpe, packing, token_counts, wordcache
 from tissuegrid.llm.queries import BYTE_BPE, WORD_BPE
 from tissuegrid.llm.wordcache import WordCache, load
 
@@ -51,6 +52,27 @@ def test_word_cache_on_odd_texts(words, library):
         assert np.frombuffer(b"".join(got), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_a_column_are_looked_up_once(library):
+    cache, asked = WordCache(WORD_BPE), []
+    values = cache.words.values
+    cache.words.values = lambda keys, compute: asked.append(keys) or values(keys, compute)
+    texts = ["skipped", *["the same words the same\nwords, again"] * 50, *ODD, None, "again Ⱥx Ʌ's ÀÉ' ǅ_²¼"]
+    column = pa.array(texts)[1:]
+    for _ in range(2):
+        ids, bounds = cache.encode_column(column)
+        for text, a, b in zip(texts[1:], bounds[:-1], bounds[1:]):
+            assert ids[a:b].tolist() == library.encode(text or "", add_special_tokens=False).ids
+    assert len(asked) == 2 and all(len(keys) == len(set(keys)) for keys in asked)
+
+
+def test_forgotten_words_are_encoded_again(monkeypatch, library):
+    monkeypatch.setattr(wordcache, "REMEMBERED", 3)
+    cache = WordCache(WORD_BPE)
+    for text in ["a b c d e", "e f g h", "a e i", "x" * 60, "a b", "x" * 60 + " e"]:
+        assert np.frombuffer(b"".join(cache.encode([text])[0]), dtype="<u4").tolist() == library.encode(
+            text, add_special_tokens=False).ids
+
+
 def test_counts_of_whole_and_spliced_texts(documents, library):
     rng = random.Random(5)
     long = " ".join("".join(rng.choices("abcde,.<|>", k=rng.randint(1, 30))) for _ in range(400))

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,23 +114,29 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 def cut_tokens(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: ``part`` and ``nth`` number the pieces of one length in each task."""
 
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part = cache_for(path), TaskContext.get().partitionId()
-        end = np.asarray([END], dtype="<u4").tobytes()
-        seen = np.zeros(capacity + 1, dtype=np.int64)
-        for frame in frames:
+        end = np.asarray([END], dtype="<u4")
+        seen = [0] * (capacity + 1)
+        for batch in batches:
+            ids, bounds = cache.encode_column(batch.column("text"))
             rows = []
-            for doc_id, words in zip(frame["doc_id"], cache.encode(frame["text"])):
-                ids = b"".join(words) + end
-                n = len(ids) // 4
-                for k, a in enumerate(range(0, n, capacity)):
-                    length = min(capacity, n - a)
-                    rows.append((doc_id, k, a, length, zlib.crc32(ids[4 * a:4 * (a + length)]), part, seen[length]))
+            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                n = b - a + 1
+                for k, start in enumerate(range(0, n, capacity)):
+                    length = min(capacity, n - start)
+                    crc = zlib.crc32(ids[a + start:min(a + start + length, b)])
+                    if start + length == n:
+                        crc = zlib.crc32(end, crc)
+                    rows.append((i, k, start, length, crc, seen[length]))
                     seen[length] += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            of, piece, start, length, crc, nth = np.array(rows, dtype=np.int64).reshape(-1, 6).T
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
+                pa.array(crc), pa.array(np.full(len(of), part, dtype=np.int32)), pa.array(nth),
+            ], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(pieces, _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, _PIECES)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

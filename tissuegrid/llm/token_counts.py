@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,11 +50,12 @@ def count_tokens(docs: DataFrame, path: str, window: int = WINDOW, overlap: int
     short = docs.where(size <= window).select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = cache_for(path)
-        for frame in frames:
-            total = [sum(map(len, ids)) // 4 for ids in cache.encode(frame["text"])]
-            yield frame[["doc_id", "n_bytes"]].assign(n_tokens=total)
+        for batch in batches:
+            _, bounds = cache.encode_column(batch.column("text"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(np.diff(bounds))], ["doc_id", "n_bytes", "n_tokens"])
 
     def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, at = TaskContext.get().partitionId(), 0
@@ -64,7 +66,7 @@ def count_tokens(docs: DataFrame, path: str, window: int = WINDOW, overlap: int
     # Row numbers hold because the numbered rows are stored before anything reads them.
     long = materialize(docs.where(size > window).withColumn(
         "n_bytes", F.octet_length("text").cast("long")).mapInPandas(number, _LONG), "long-texts")
-    parts = [short.mapInPandas(count, _COUNTS)]
+    parts = [short.mapInArrow(count, _COUNTS)]
     while True:
         done, open_ = _spliced(long, path, window, overlap)
         parts.append(done)

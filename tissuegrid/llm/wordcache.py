@@ -1,8 +1,9 @@
 """Whole-text token ids from the ``tokenizers`` library, encoded word by word with a bounded memory.
 
 The library splits at white space before it merges, and its special strings hold none, so a text's
-ids are the ids of its space-separated chunks in a row. Chunks repeat, so each task encodes a chunk
-once while it is remembered. A new chunk of plain Latin text is lower-cased and split as the
+ids are the ids of its space-separated chunks in a row. Chunks repeat, so Arrow splits a column of texts
+and numbers its distinct chunks; only those become Python strings, each is looked up once a column, and
+encoded once while it is remembered. A new chunk of plain Latin text is lower-cased and split as the
 vocabulary file says, and each part it has not seen goes to the library's merge model; any other
 chunk (other scripts or white space, special strings, text that is not in composed form) goes
 through the whole library. A vocabulary that is not known to split at white space gets whole texts.
@@ -14,11 +15,11 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Iterable
-from itertools import compress
-from operator import not_
+from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks, and parts of chunks, remembered per Python worker: about 60 MB for each generation.
 REMEMBERED = 250_000
@@ -56,45 +57,39 @@ def splits_at_spaces(path: str) -> bool:
     return steps == ["NFC", "Replace", "Lowercase"] and patterns == [SPLIT, None]
 
 
-class Memory(dict):
-    """A dict of bounded size: what was not asked for in the last generation is forgotten."""
+class Memory:
+    """Values by key, bounded: what was not asked for in the last generation is forgotten."""
 
     def __init__(self):
-        super().__init__()
+        self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def known(self, groups: list[list[str]]) -> tuple[list[list[bytes | None]], list[str]]:
-        """Per group what is remembered of each key, else None; and the keys that must be computed, once each.
-
-        Those of the last generation are taken over. Each key is looked up once, as that takes most of the time.
-        """
-        if len(self) > REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        get, old, keys, new = self.get, self.old, set(), []
-        found = [list(map(get, group)) for group in groups]
-        for group, values in zip(groups, found):
-            # Empty values are taken for unknown here.
-            keys.update(compress(group, map(not_, values)))
-        for k in keys:
-            if k in self:
-                continue
+    def values(self, keys: list[str], compute: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The value of each of the distinct ``keys``; one call computes all that are not remembered."""
+        if len(self.now) > REMEMBERED:
+            self.old, self.now = self.now, {}
+        now, old, new = self.now, self.old, []
+        found = list(map(now.get, keys))
+        for i in [i for i, v in enumerate(found) if v is None]:
+            k = keys[i]
             if k in old:
-                self[k] = old[k]
+                found[i] = now[k] = old[k]
             else:
-                new.append(k)
-        return found, new
+                new.append(i)
+        for i, v in zip(new, compute([keys[i] for i in new]) if new else []):
+            found[i] = v
+            if len(keys[i]) <= LONGEST:
+                now[keys[i]] = v
+        return found
 
 
 class WordCache:
     def __init__(self, path: str):
-        import regex
-
         from tissuegrid.llm.byte_bpe import byte_characters
 
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
-        self.split = regex.compile(SPLIT + r"|\n")
+        self.split = re.compile(_plain_split())
         self.spaced = splits_at_spaces(path)
         # The short way needs ids of two bytes.
         self.short = self.spaced and self.tokenizer.get_vocab_size() <= 1 << 16
@@ -104,18 +99,25 @@ class WordCache:
         self.words, self.parts = Memory(), Memory()
 
     def encode(self, texts: Iterable[str | None]) -> list[list[bytes]]:
-        """Per text the little-endian 32-bit ids of its chunks; joined they are the text's ids."""
+        """Per text a list of little-endian 32-bit ids; joined they are the text's ids."""
+        column = pa.array([t if isinstance(t, str) else None for t in texts], type=pa.large_string())
+        ids, bounds = self.encode_column(column)
+        return [[ids[a:b].tobytes()] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin, closed by their number; null: empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.spaced:
-            return [[self._whole(t)] if isinstance(t, str) and t else [] for t in texts]
-        split = [t.replace("\n", " ").split(" ") if isinstance(t, str) and t else [] for t in texts]
-        found, new = self.words.known(split)
-        later = self.words
-        long = {}
-        for w, ids in zip(new, self._encoded(new)):
-            (later if len(w) <= LONGEST else long)[w] = ids
-        if long:
-            return [[v or (long[w] if w in long else later[w]) for w, v in zip(words, f)] for words, f in zip(split, found)]
-        return [[v or later[w] for w, v in zip(words, f)] for words, f in zip(split, found)]
+            each = pa.array([self._whole(t) if t else b"" for t in texts.to_pylist()], type=pa.large_binary())
+            return _ids(each, np.arange(len(each) + 1))
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        first = split.offsets.to_numpy()
+        chunks = split.flatten().dictionary_encode()
+        known = self.words.values(chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), self._encoded)
+        ends = np.cumsum(np.fromiter(map(len, known), dtype=np.int64, count=len(known)))
+        values = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(known), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(b"".join(known))])
+        return _ids(values.take(chunks.indices), first - first[0])
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk; all plain ones are split by one call, line feeds standing between them."""
@@ -123,21 +125,20 @@ class WordCache:
         ids: dict[str, bytes] = {}
         if plain:
             parts = self.split.findall("\n".join(plain).lower())
-            later, long = self.parts, {}
-            (found,), new = later.known([parts])
-            tokenize, packed = self.model.tokenize, self.packed
-            for p in new:
-                # Printable ASCII stands for itself.
-                mapped = p if p.isascii() else p.encode().decode("latin-1").translate(self.bytes)
-                value = _BETWEEN if p == "\n" else b"".join([packed[t.id] for t in tokenize(mapped)])
-                (later if len(p) <= LONGEST else long)[p] = value
-            whole = b"".join([v or (long[p] if p in long else later[p]) for p, v in zip(parts, found)])
-            pieces = whole.split(_BETWEEN)
+            distinct = list(dict.fromkeys(parts))
+            known = dict(zip(distinct, self.parts.values(distinct, self._merged)))
+            pieces = b"".join(map(known.__getitem__, parts)).split(_BETWEEN)
             if len(plain) == len(chunks):
                 return pieces
             ids = dict(zip(plain, pieces))
         return [ids[w] if w in ids else self._whole(w) for w in chunks]
 
+    def _merged(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part by the library's merge model; printable ASCII stands for itself."""
+        tokenize, packed, table = self.model.tokenize, self.packed, self.bytes
+        mapped = [p if p.isascii() else p.encode().decode("latin-1").translate(table) for p in parts]
+        return [_BETWEEN if m == "\n" else b"".join([packed[t.id] for t in tokenize(m)]) for m in mapped]
+
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -152,3 +153,19 @@ def _plain(chunks: list[str]) -> list[str]:
     """Those in printable Latin text without white space, special strings or uncomposed letters."""
     match, composed = _PLAIN.fullmatch, unicodedata.is_normalized
     return [w for w in chunks if match(w) and "<|" not in w and (w.isascii() or composed("NFC", w))]
+
+
+def _plain_split() -> str:
+    """``SPLIT`` and the line feed for lower-cased plain chunks, with their letters and numbers written out."""
+    plain = [c for c in map(chr, range(0x250)) if _PLAIN.fullmatch(c)]
+    every = sorted({*plain, *"".join(plain).lower()})
+    letters, numbers = ("".join(c for c in every if unicodedata.category(c)[0] == kind) for kind in "LN")
+    return SPLIT.replace(r"\p{L}", letters).replace(r"\p{N}", numbers) + r"|\n"
+
+
+def _ids(chunks: pa.LargeBinaryArray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in ``chunks`` in a row, and the places where the chunks numbered ``first`` begin."""
+    _, offsets, data = chunks.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[chunks.offset:chunks.offset + len(chunks) + 1] // 4
+    ids = np.frombuffer(data, dtype="<u4") if data is not None else np.zeros(0, dtype="<u4")
+    return ids, at[first]
