@@ -622,6 +622,21 @@ def test_autoencoder_training_does_not_depend_on_layout(fitted, batch):
     assert one.losses[1] < one.losses[0]
 
 
+def test_autoencoder_steps_move_packed_rows(fitted, monkeypatch):
+    moved, rows = [], []
+    summed = cvae.summed_groups
+
+    def step(df, *rest):
+        moved.append(df.count())
+        rows.append(sum(len(np.frombuffer(r["keys"], dtype=np.int64)) for r in df.collect()))
+        return summed(df, *rest)
+
+    monkeypatch.setattr(cvae, "summed_groups", step)
+    fitted(3, 2, 10_000, epochs=2, batch=50, norm_rows=45)
+    # Two steps an epoch, each of 8 slices and one group; every row is in one step of an epoch.
+    assert len(moved) == 4 and max(moved) <= 8 and rows[0] + rows[1] == rows[2] + rows[3] == 90
+
+
 def test_autoencoder_over_whole_batches(fitted):
     run = lambda *layout, n: fitted(*layout, epochs=1, norm_rows=n)
     # 90 rows fall into one group of 1024, which is the whole batch of one task.
