@@ -1,5 +1,7 @@
 """Nearest neighbours against brute force, in both physical forms, with piles and ties."""
 
+import datetime
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -86,6 +88,23 @@ def test_one_table_against_itself_on_the_curve(spark, dim):
         assert "none" not in got
 
 
+def test_blocks_along_the_curve_meet_in_arrow(spark):
+    """Lists of neighbours are not made row by row; classes may be times."""
+    days = [datetime.datetime(2024, 1, 1 + i) for i in range(3)]
+    rows = [(f"n{i:03d}", v, days[i % 3]) for i, v, _ in cloud(160, 2, 8)]
+    table = spark.createDataFrame(rows, "id string, v array<double>, cls timestamp")
+    for asking in (table, table.where("id < 'n080'")):
+        joined = nb.knn_join(asking, table, 4, by="cls", exclude_self=True, broadcast_rows=0, block_rows=16)
+        plan = joined._jdf.queryExecution().toString()
+        assert "FlatMapCoGroupsInPandas" not in plan
+        if asking is table:
+            assert "FlatMapCoGroupsInArrow" in plan
+        asked = [r for r in rows if asking is table or r[0] < "n080"]
+        want = brute(asked, rows, 4, "euclidean", same_class=True, exclude=True)
+        got = as_dict(joined)
+        assert {q: [x[1] for x in found] for q, found in got.items()} == {q: [x[1] for x in found] for q, found in want.items()}
+
+
 def test_points_asked_from_far_outside(spark):
     refs = cloud(80, 2, 11, 1)
     asks = [(i, [1e4 * x for x in v], "a") for i, v, _ in cloud(40, 2, 12, 1)] + [(99, [0.0, 0.0], "z")]
