@@ -682,3 +682,27 @@ def test_greedy_search_is_spread_over_tasks(spark):
     options = spark.createDataFrame([(s, t) for s in range(40) for t in range(3)], "id long, label long")
     got = materialize(asg.greedy_epoch(spots, options, cells, model).withColumn("task", F.spark_partition_id()), "labels")
     assert got.count() == 80 and got.select("task").distinct().count() > 1
+
+
+def test_identification_broadcasts_no_table_by_its_file_size(spark, monkeypatch):
+    plans = []
+
+    def noted(df, *how, **more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, *how, **more)
+
+    monkeypatch.setattr(asg, "materialize", noted)
+    rng = np.random.default_rng(4)
+    matrix = rng.random((6, 3))
+    # Stored, so that sizes are known; their files are far below the bound of a broadcast.
+    spots = materialize(spark.createDataFrame(
+        [(s, 150.0, [float(x) for x in rng.poisson(20, 6)]) for s in range(12)], "id long, n_umi double, v array<double>"), "spots")
+    fitted = materialize(spark.createDataFrame([(s, [0.2, 0.3, 0.5]) for s in range(12)], "id long, weights array<double>"), "fitted")
+    overlap = materialize(spark.createDataFrame([(c % 12, c, 1.0) for c in range(24)], "spot_id long, cell_id long, frac double"), "overlap")
+    edges = materialize(spark.createDataFrame([(c, (c + 1) % 24, 1.0) for c in range(24)], "src long, dst long, weight double"), "edges")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    labels, _, _ = asg.identify_cells(
+        spots, fitted, deconv.Profiles.stored(matrix, ["a", "b", "c"], None), 50, overlap, edges, epochs=1)
+    assert labels.count() == 24
+    assert not [p for p in plans if "BroadcastExchange" in p]
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
