@@ -684,7 +684,8 @@ def test_greedy_search_is_spread_over_tasks(spark):
     assert got.count() == 80 and got.select("task").distinct().count() > 1
 
 
-def test_identification_broadcasts_no_table_by_its_file_size(spark, monkeypatch):
+@pytest.mark.parametrize("image", [False, True])
+def test_identification_broadcasts_no_table_by_its_file_size(spark, monkeypatch, image):
     plans = []
 
     def noted(df, *how, **more):
@@ -700,9 +701,11 @@ def test_identification_broadcasts_no_table_by_its_file_size(spark, monkeypatch)
     fitted = materialize(spark.createDataFrame([(s, [0.2, 0.3, 0.5]) for s in range(12)], "id long, weights array<double>"), "fitted")
     overlap = materialize(spark.createDataFrame([(c % 12, c, 1.0) for c in range(24)], "spot_id long, cell_id long, frac double"), "overlap")
     edges = materialize(spark.createDataFrame([(c, (c + 1) % 24, 1.0) for c in range(24)], "src long, dst long, weight double"), "edges")
+    features = materialize(spark.createDataFrame([(c, [c / 24.0, 1.0]) for c in range(24)], "id long, v array<double>"), "features")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     labels, _, _ = asg.identify_cells(
-        spots, fitted, deconv.Profiles.stored(matrix, ["a", "b", "c"], None), 50, overlap, edges, epochs=1)
+        spots, fitted, deconv.Profiles.stored(matrix, ["a", "b", "c"], None), 50, overlap, edges,
+        features if image else None, epochs=1, mcmc_iterations=1)
     assert labels.count() == 24
     assert not [p for p in plans if "BroadcastExchange" in p]
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
