@@ -1,7 +1,9 @@
 """Hand-computed fixtures, properties and brute-force checks of single operators."""
 
+import inspect
 import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -27,6 +29,7 @@ from tissuegrid.operators import registration as rg
 from tissuegrid.operators import sampling as sm
 from tissuegrid.operators import spots as sp
 from tissuegrid.operators import training as tr
+from tissuegrid.plans import catalog
 from tissuegrid.session import materialize
 
 
@@ -709,3 +712,18 @@ def test_identification_broadcasts_no_table_by_its_file_size(spark, monkeypatch,
     assert labels.count() == 24
     assert not [p for p in plans if "BroadcastExchange" in p]
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_greedy_labels_runs_the_operators_epochs(spark, monkeypatch):
+    asked = {}
+
+    def noted(*args, **how):
+        asked.update(inspect.signature(whole).bind(*args, **how).arguments)
+        return None, None, None
+
+    whole = asg.identify_cells
+    monkeypatch.setattr(asg, "identify_cells", noted)
+    catalog.QUERIES["greedy_labels"](spark, os.environ.get("SMOKE_SF_DIR", "/root/testdata/sf0.001"))
+    default = inspect.signature(whole).parameters["epochs"].default
+    assert asked.get("epochs", default) == default == 8
+    assert asked.get("n_fit") is None and asked.get("n_entries") is None
