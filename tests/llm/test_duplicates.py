@@ -170,6 +170,34 @@ def test_vectors_with_null_and_repeated_ids(spark):
     assert vector_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind, strip", [("float", 40), ("double", 64)])
+def test_near_vectors_travel_once_for_every_second_strip(spark, kind, strip, monkeypatch):
+    rng = np.random.default_rng(6)
+    near = rng.normal(size=(40, 8)).repeat(12, axis=0) + 0.08 * rng.normal(size=(480, 8))
+    rows = [(i, [float(np.float32(x)) for x in v], i % 2) for i, v in enumerate(near)]
+    rows += [(480 + i, rows[7 * i][1], rows[7 * i][2]) for i in range(60)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+    unit = np.array([r[1] for r in rows])
+    unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+    label = np.array([r[2] for r in rows])
+    linked = (unit @ unit.T >= vector_dedup.COSINE) & (label[:, None] == label) & ~np.eye(len(rows), dtype=bool)
+    want = _components(range(len(rows)), [(int(i), int(j)) for i, j in np.argwhere(linked) if i < j])
+    sent = []
+    stored = vector_dedup.materialize
+
+    def noted(frame, name):
+        out = stored(frame, name)
+        if name == "pairs":
+            sent.extend(out.groupBy("block").count().collect())
+        return out
+
+    monkeypatch.setattr(vector_dedup, "materialize", noted)
+    got = vector_dedup.near_vectors(df, interval=16, leaf=4, strip=strip).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (linked[i].sum(), want[i]) for i in want}
+    # A label has at most 270 vectors.
+    assert linked.sum() > 1000 and 1 < max(r["count"] for r in sent) <= 1 + math.ceil(270 / strip) // 2 + 1
+
+
 def _brute_lines(rows):
     found = collections.defaultdict(list)
     for doc_id, text in rows:
