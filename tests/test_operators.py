@@ -727,3 +727,15 @@ def test_greedy_labels_runs_the_operators_epochs(spark, monkeypatch):
     default = inspect.signature(whole).parameters["epochs"].default
     assert asked.get("epochs", default) == default == 8
     assert asked.get("n_fit") is None and asked.get("n_entries") is None
+
+
+def test_sigma_tables_leave_the_driver_after_each_epoch(spark, monkeypatch):
+    sent = []
+    share = deconv._shared_tables
+    monkeypatch.setattr(deconv, "_shared_tables", lambda *a: sent.append(share(*a)) or sent[-1])
+    entries = spark.createDataFrame([(float(i % 7) + 0.5, float(i % 5)) for i in range(200)], "x double, y double")
+    want = deconv.best_sigma(deconv.score_sigmas(entries, deconv.sigma_window(50)))
+    assert deconv.refit_sigma(entries, 50) == want
+    assert [os.path.exists(b._path) for b in sent] == [True, False]
+    # Tables of one window, not those of all epochs.
+    assert lk.count_table.cache_info().maxsize * lk.count_table(50).nbytes < 48e6
